@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gridsift.llm import fingerprints, tokens_orc, url_filter
+from gridsift.llm import fingerprints, language_id, tokens_orc, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.query,
+    "op5_language_id": language_id.query,
     "op9_token_orc": tokens_orc.query,
     "op10_fingerprints": fingerprints.query,
 }
