@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridsift.llm import fingerprints, language_id, tokens_orc, url_filter
+from gridsift.llm import fingerprints, language_id, tokens_orc, toxicity, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.query,
     "op5_language_id": language_id.query,
+    "op8_toxicity": toxicity.query,
     "op9_token_orc": tokens_orc.query,
     "op10_fingerprints": fingerprints.query,
 }
