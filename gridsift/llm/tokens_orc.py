@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from gridsift.llm import common
 
 END_ID = 1
-#: Chunks whose ids a Python worker keeps.
-CACHE_LIMIT = 500_000
-_WORKER: dict[str, tuple] = {}
+#: Chunks between white space, and words among them, whose ids a Python worker keeps.
+CHUNKS_KEPT, WORDS_KEPT = 300_000, 600_000
+_TAIL = b".,!?;:|"
+_WORKER: dict[str, Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -34,39 +35,71 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _tokenizer(path: str):
-    """The tokenizer and the ids of chunks already met, for this Python worker."""
-    if path not in _WORKER:
+class Encoder:
+    """Encodes texts with the tokenizers library, each distinct piece between white space once.
+
+    The tokenizer lower-cases, never joins text across white space and cuts between letters and
+    punctuation, so a text's ids are those of its chunks, and a chunk of letters with punctuation
+    after it has the ids of both.  Words not met yet are encoded many at a time; each ends with a
+    token marked as a word's end.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _WORKER[path] = (tokenizer, {})
-    return _WORKER[path]
-
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {b"": b""}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            whole = self._encode([b" ".join(some).decode()])[0]
+            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(whole, "<u4")]) + 1)).tolist()
+            if len(cuts) == len(some):
+                self.words.update(zip(some, (whole[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+            else:
+                self.words.update(zip(some, self._encode([w.decode() for w in some]), strict=True))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        bare = [c.rstrip(_TAIL) for c in chunks]
+        split = [b.decode().isalpha() for b in bare]
+        fresh = {b for b, plain in zip(bare, split, strict=True) if plain and b not in self.words}
+        if len(self.words) + len(fresh) > WORDS_KEPT:
+            self.words = {b"": b""}
+            fresh = {b for b, plain in zip(bare, split, strict=True) if plain}
+        self._learn_words(sorted(fresh))
+        other = {c[len(b) :] if plain else c for c, b, plain in zip(chunks, bare, split, strict=True)} - {b""}
+        coded = dict(zip(other, self._encode([c.decode() for c in other]), strict=True)) | {b"": b""}
+        for c, b, plain in zip(chunks, bare, split, strict=True):
+            self.chunks[c] = (self.words[b] + coded[c[len(b) :]] if len(b) < len(c) else self.words[b]) if plain else coded[c]
+
+    def ids(self, texts: list[bytes], end_id: int) -> list[bytes]:
+        """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
+        end = end_id.to_bytes(4, "little")
+        split = [text.lower().split() for text in texts]
+        fresh = set().union(*split).difference(self.chunks)
+        if len(self.chunks) + len(fresh) > CHUNKS_KEPT:
+            self.chunks.clear()
+            fresh = set().union(*split)
+        if fresh:
+            self._learn(list(fresh))
+        return [b"".join(map(self.chunks.__getitem__, own)) + end for own in split]
 
-def encode_texts(texts: list[str], path: str, end_id: int = END_ID) -> list[bytes]:
-    """Ids of each text with the end id, as little-endian unsigned 32-bit integers.
 
-    The tokenizer never joins text across white space, so each distinct chunk between
-    white space is encoded once and its ids are reused.  ``str.split`` also cuts at four
-    control characters that the tokenizer keeps; a text with one of them is encoded whole.
-    """
-    tokenizer, known = _tokenizer(path)
-    end = end_id.to_bytes(4, "little")
-    out = []
-    for text in texts:
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        chunks = [text] if odd else text.split()
-        if len(known) > CACHE_LIMIT:
-            known.clear()
-        fresh = list(set(chunks).difference(known)) if chunks else []
-        if fresh:
-            for chunk, coded in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(coded.ids, "<u4").tobytes()
-        out.append(b"".join(map(known.__getitem__, chunks)) + end)
-    return out
+def encode_texts(texts: list[bytes], path: str, end_id: int = END_ID) -> list[bytes]:
+    if path not in _WORKER:
+        _WORKER[path] = Encoder(path)
+    return _WORKER[path].ids(texts, end_id)
 
 
 def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -77,7 +110,7 @@ def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                coded = encode_texts([t or "" for t in part.column("text").to_pylist()], path, end_id)
+                coded = encode_texts([t or b"" for t in common.text_bytes(part.column("text"))], path, end_id)
                 ends = np.cumsum([0, *map(len, coded)]) // 4
                 values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
