@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridsift.llm import fingerprints, language_id, tokens_orc, toxicity, url_filter
+from gridsift.llm import embedding_dedup, fingerprints, language_id, tokens_orc, toxicity, url_filter
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.query,
     "op2_url_filter": url_filter.query,
     "op5_language_id": language_id.query,
     "op8_toxicity": toxicity.query,
