@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsift.llm import embedding_dedup, fingerprints, katz, language_id, minhash_dedup, tokens_orc, toxicity, url_filter
+from gridsift.llm import embedding_dedup, fingerprints, katz, language_id, minhash_dedup, mixing, tokens_orc, toxicity, url_filter
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
@@ -10,8 +10,9 @@ QUERIES = {
     "op4_katz": katz.query,
     "op5_language_id": language_id.query,
     "op6_minhash_dedup": minhash_dedup.query,
+    "op7_mixing": mixing.query,
     "op8_toxicity": toxicity.query,
     "op9_token_orc": tokens_orc.query,
     "op10_fingerprints": fingerprints.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
