@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridsift.llm import embedding_dedup, fingerprints, katz, language_id, minhash_dedup, mixing, tokens_orc, toxicity, url_filter
+from gridsift.llm import embedding_dedup, fingerprints, katz, language_id, minhash_dedup, mixing, sampled_pieces, tokens_orc, toxicity, url_filter
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
     "op2_url_filter": url_filter.query,
+    "op3_sampled_pieces": sampled_pieces.query,
     "op4_katz": katz.query,
     "op5_language_id": language_id.query,
     "op6_minhash_dedup": minhash_dedup.query,
