@@ -8,8 +8,8 @@ spans of words; a document's language is the one whose spans hold most letters.
 Counts are taken over all training rows.  The model has a fixed size for each language
 (``BUCKETS`` floats); the number of languages is that of the labels.
 
-Defined results: a text that is null or has no letter gives ``und`` and score 0; so does a text
-none of whose words has a script known from training.  Rows with null text or language are never
+Defined results: a text that is null or has no letter gives ``und`` and score 0; a text all of
+whose words are of scripts not met in training gives the language that sorts first and score 0.  Rows with null text or language are never
 learned from.  Every row is judged on its own, so repeated rows get equal answers.  Ties go to
 the language that sorts first.  With no training rows every answer is ``und``.
 """
@@ -65,6 +65,10 @@ def letters_of(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def gram_ids(spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of every ``<letters>``, and whose they are."""
     framed = [f"<{letters}>" for letters in spelled]
@@ -259,7 +263,7 @@ def predict(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
                     letters, labels, lengths = labeller.label(texts)
                     total, best = letters.sum(1), letters.argmax(1)
                     top = letters[np.arange(len(texts)), best]
-                    names = [languages[b] if t > 0 else UNDETERMINED for b, t in zip(best, total, strict=True)]
+                    names = [languages[b] if t > 0 or has_letter(text) else UNDETERMINED for b, t, text in zip(best, total, texts, strict=True)]
                     share = np.where(total > 0, top / np.maximum(total, 1), 0.0)
                 else:
                     labels, lengths = np.zeros(0, np.int8), np.zeros(len(texts), int)
