@@ -200,7 +200,7 @@ class Labeller:
         self.letters = np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        spelled = [letters_of(w)[:64] for w in words]
+        spelled = [letters_of(w) for w in words]
         n = len(self.model.languages)
         ids, owner = gram_ids(spelled)
         size = np.maximum(np.bincount(owner, minlength=len(words)), 1)
