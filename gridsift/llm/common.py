@@ -7,6 +7,7 @@ other than 0x20 and 0x09-0x0D.  ``bytes.lower`` and ``bytes.split`` do exactly t
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,9 +37,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder of this machine only where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder, which only a local session may use."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(shared_folder, "own", None)
         if folder is None or not os.path.isdir(folder):
             folder = shared_folder.own = tempfile.mkdtemp(prefix="spark-gridsift-")

@@ -314,9 +314,11 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             pairs = _last_pairs(now.select("rep", "n", "v", "component"), reps, lists)
         pairs = common.materialise(pairs.select("a", "b"), "pairs")
         edges = common.materialise(_verify(pairs, texts, width), "confirmed")
+        common.discard(pairs)
         if edges.limit(1).count():
             found.append(edges)
             components = connected_components(reduce(DataFrame.union, found))
+    common.discard(sketched, reps, lists, texts, *found)
     if components is not None:
         out = members.join(components.withColumnRenamed("id", "rep"), "rep", "left")
     else:
@@ -327,3 +329,20 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: Full sets of shingles as text, all pairs that share one, and the smallest id reachable over links.
+ORACLE = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - {WIDTH} + 1, 1) + 1), lambda i: array_to_string(w[i : i + {WIDTH} - 1], ' ')))) AS g
+  FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id != y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {PERCENT} * (x.n + y.n - shared)),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(least.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(least.b, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.a = d.doc_id
+"""

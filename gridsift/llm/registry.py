@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_orc": tokens_orc.query,
     "op10_fingerprints": fingerprints.query,
 }
-ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.ORACLE, "op6_minhash_dedup": minhash_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
