@@ -46,7 +46,7 @@ MUST_SHARE = 24
 DEVIATIONS = 4.0
 STAR_ROUNDS = 3
 #: Members of a block of a list in the last round, and members that a task takes at a time.
-BLOCK = 256
+BLOCK = 1_024
 SLOT = 4_000
 #: Pairs whose sketches are compared at a time.
 _AT_ONCE = 8_192
