@@ -103,7 +103,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             words[lang].update(text.split())
-        if sum(map(len, words.values())) > 4 * WORDS_KEPT:
+        if sum(map(len, words.values())) > 2 * WORDS_KEPT:
             yield from _emit(words)
             words.clear()
     yield from _emit(words)

@@ -42,7 +42,9 @@ COVERS = 3
 MIN_PRECISION = 0.9
 PREFIXES = range(4, 11)
 THRESHOLD = 0.3
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
+#: Terms that a task counts before it hands them on.
+TERMS_HELD = 250_000
 NEGATION_REACH = 3
 
 TAGS = ["other", "insult", "threat", "target", "negation", "report"]
@@ -179,7 +181,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             (toxic if label else other).update(_candidates(text))
-        if len(toxic) + len(other) > 1_000_000:
+        if len(toxic) + len(other) > TERMS_HELD:
             yield pa.RecordBatch.from_pydict({"term": list(toxic), "n_toxic": list(toxic.values()), "n_other": [other.pop(t, 0) for t in toxic]})
             yield pa.RecordBatch.from_pydict({"term": list(other), "n_toxic": [0] * len(other), "n_other": list(other.values())})
             toxic.clear()
