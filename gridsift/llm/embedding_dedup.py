@@ -4,7 +4,7 @@ Every table rotates a unit vector three times (random signs, then a fast Walsh-H
 transform) for each of ``HASHES`` functions; a function's code is the axis nearest to the
 rotated vector, with its sign.  A vector goes to the bucket of its codes and, as multiprobe,
 to those with one code replaced by the runner-up.  Vectors of a bucket with equal labels are
-compared in double precision, in blocks; a pair is counted in the first table and the smallest
+compared in double precision, in blocks (small buckets many at a time); a pair is counted in the first table and the smallest
 bucket where it meets, so no pair list is shuffled.  Blocks bound the rows of a task, whatever
 the size of a bucket.
 
@@ -18,6 +18,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ HASHES = 2
 ROTATIONS = 3
 #: Rows of a block of a bucket; a comparison takes two blocks.
 BLOCK = 512
+#: Rows of small buckets that a task takes at a time.
+SLOT = 4_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -127,42 +130,49 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(key: tuple, table: pa.Table, threshold: float, probes: int) -> pa.Table:
-    """Links found in a block: for each class the weight of new neighbours, and forest edges."""
-    t, bucket = key[0].as_py(), key[2].as_py()
-    i_block, j_block = key[3].as_py(), key[4].as_py()
-    rep, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy()
-    block = table.column("block").to_numpy()
-    units = table.column("unit").combine_chunks()
-    sizes = np.diff(units.offsets.to_numpy())
+def _pairs_of(t: int, bucket: int, own: np.ndarray, other: np.ndarray, x: np.ndarray, buckets: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of linked pairs of two blocks of a bucket that meet here first; one block against itself if ``other`` is ``own``."""
+    near = x[own] @ x[other].T >= threshold
+    if own is other:
+        near = np.triu(near, 1)
+    i, j = np.nonzero(near)
+    i, j = own[i], other[j]
+    new = np.ones(len(i), bool)
+    for earlier in range(t + 1):
+        bi, bj = buckets[i, earlier], buckets[j, earlier]
+        met = bi[:, :, None] == bj[:, None, :]
+        if earlier < t:
+            new &= ~met.any((1, 2))
+        else:  # in this table, the smallest bucket where they meet counts
+            new &= np.where(met, bi[:, :, None], np.iinfo(np.int64).max).min((1, 2)) == bucket
+    return i[new], j[new]
+
+
+def _compare(table: pa.Table, threshold: float, probes: int) -> pa.Table:
+    """Links found in a slot of buckets: for each class the weight of new neighbours, and forest edges."""
+    rows = table.combine_chunks().sort_by([(c, "ascending") for c in ("t", "label", "bucket", "i", "j")])
+    units, hashes = (rows.column(c).combine_chunks() for c in ("unit", "buckets"))
+    t, bucket, block, bi, bj, rep, weight = (rows.column(c).to_numpy() for c in ("t", "bucket", "block", "i", "j", "rep", "weight"))
+    code = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    ends = units.offsets.to_numpy()
+    size, flat = np.diff(ends), units.values.to_numpy()
+    x = np.zeros((len(rep), size.max(initial=0)))
+    x[np.arange(x.shape[1]) < size[:, None]] = flat[ends[0] : ends[-1]]
+    starts = hashes.offsets.to_numpy()
+    buckets = hashes.values.to_numpy()[starts[0] : starts[-1]].reshape(len(rep), -1, probes)
+    keys = np.stack([t, code, bucket, bi, bj])
+    cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
     links = np.zeros(len(rep), np.int64)
     edges: list[tuple[int, int]] = []
-    buckets = table.column("buckets").combine_chunks().values.to_numpy().reshape(len(rep), -1, probes)
-    starts = units.offsets.to_numpy()[:-1]
-    flat = units.values.to_numpy()
-    for dim in np.unique(sizes):
-        at = np.flatnonzero(sizes == dim)
-        x = np.stack([flat[s : s + dim] for s in starts[at]])
-        own, other = (at[block[at] == i_block], at[block[at] == j_block])
-        xi, xj = x[block[at] == i_block], x[block[at] == j_block]
-        near = xi @ xj.T >= threshold
-        if i_block == j_block:
-            near = np.triu(near, 1)
-        i, j = np.nonzero(near)
-        i, j = own[i], other[j]
-        new = np.ones(len(i), bool)
-        for earlier in range(t + 1):
-            bi, bj = buckets[i, earlier], buckets[j, earlier]
-            met = bi[:, :, None] == bj[:, None, :]
-            if earlier < t:
-                new &= ~met.any((1, 2))
-            else:  # in this table, the smallest bucket where they meet counts
-                shared = np.where(met, bi[:, :, None], np.iinfo(np.int64).max).min((1, 2))
-                new &= shared == bucket
-        i, j = i[new], j[new]
-        np.add.at(links, i, weight[j])
-        np.add.at(links, j, weight[i])
-        edges += _forest(len(rep), i, j)
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rep)], strict=True):
+        for dim in np.unique(size[lo:hi]):
+            at = lo + np.flatnonzero(size[lo:hi] == dim)
+            own = at[block[at] == bi[lo]]
+            other = own if bi[lo] == bj[lo] else at[block[at] == bj[lo]]
+            i, j = _pairs_of(int(t[lo]), int(bucket[lo]), own, other, x, buckets, threshold)
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            edges += [(lo + a, lo + b) for a, b in _forest(hi - lo, i - lo, j - lo)]
     hit = np.flatnonzero(links)
     a, b = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
     return pa.table(
@@ -195,14 +205,18 @@ def link(vectors: DataFrame, threshold: float = MIN_COSINE, tables: int = TABLES
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("rep", "t", "label", "bucket", "block", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"))
+        .select("rep", "t", "label", "bucket", "block", "blocks", F.least("block", "against").alias("i"), F.greatest("block", "against").alias("j"))
     )
-    full = spread.join(good.drop("label"), "rep")
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    slots = max(1, math.ceil(total / SLOT))
+    alone = F.xxhash64("t", "label", "bucket", "i", "j")
+    slot = F.when(F.col("blocks") > 1, alone).otherwise(F.pmod(F.xxhash64("t", "label", "bucket"), F.lit(slots)))
+    full = spread.withColumn("slot", slot).drop("blocks").join(good.drop("label"), "rep")
 
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        return _compare(key, table, threshold, probes)
+    def compare(table: pa.Table) -> pa.Table:
+        return _compare(table, threshold, probes)
 
-    found = full.groupBy("t", "label", "bucket", "i", "j").applyInArrow(compare, "a long, b long, links long")
+    found = full.groupBy("slot").applyInArrow(compare, "a long, b long, links long")
     found = common.materialise(found, "embedding-links")
     counts = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("found"))
     members = rows.join(classes.select("label", "embedding", "rep", "weight"), ["label", "embedding"]).join(good.select("rep"), "rep", "left_semi")
