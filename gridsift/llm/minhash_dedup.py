@@ -3,10 +3,13 @@
 1. Each text gets its set of distinct shingles (hashes of ``WIDTH`` words), their number, a hash
    of the whole set and the ``SKETCH`` smallest values.  Texts with equal sets form one class.
 2. Inverted lists: a class enters the lists of its ``KEYS`` smallest values but for its most
-   frequent ones.  Of that many values two classes at the threshold share ``MUST_SHARE`` but for
-   odds of about 5 in 100,000 (all of them where a set has no more values), so leaving out
-   ``MUST_SHARE - 1`` in one order of all values loses no pair (prefix filtering); passages that
-   many documents share thus stop making lists.
+   frequent ones.  Two classes at the threshold with more than ``KEYS`` values share
+   ``MUST_SHARE`` of these but for odds of about 5 in 100,000.  A set of n <= ``KEYS`` values
+   shares at least ``PERCENT`` of its own; a partner with more than ``KEYS`` has at most
+   n * (100 - ``PERCENT``) / ``PERCENT`` values that the set lacks, so of its keys at least
+   ``KEYS`` less that many are shared, whatever the hashes.  Leaving out one less than the
+   values surely shared, in one order of all values, keeps a list for the pair (prefix
+   filtering); passages that many documents share thus stop making lists.
 3. Pairs of a list pass if their sizes allow the threshold and the estimate from the sketch of
    the union is not clearly below it, which is exact where both sets fit in their sketches; full
    sets, made from the texts again, confirm them.
@@ -158,7 +161,8 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
     ranked = entries.join(often, "v").select("rep", "n", F.struct("often", "v").alias("e"))
     own = ranked.groupBy("rep", "n").agg(F.sort_array(F.collect_list("e")).alias("es"))
     count = F.least(F.col("n"), F.lit(KEYS))
-    must = F.when(F.col("n") <= KEYS, F.ceil(count * PERCENT / 100)).otherwise(MUST_SHARE)
+    fewest = F.least(F.ceil(count * PERCENT / 100), F.lit(KEYS) - F.floor(count * (100 - PERCENT) / PERCENT))
+    must = F.when(F.col("n") <= KEYS, fewest).otherwise(MUST_SHARE)
     listed = F.size("es") - must + 1
     typical = F.aggregate("es", F.lit(0).cast("long"), lambda s, e: s + e["often"])
     first = F.when(listed > 0, F.slice("es", F.lit(1), F.greatest(listed, F.lit(1)).cast("int")))

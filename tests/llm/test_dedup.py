@@ -61,6 +61,16 @@ def test_edited_copies_of_one_original(spark, monkeypatch):
     check_texts(spark, rows)
 
 
+def test_sets_that_fit_in_their_keys_and_partners_that_do_not(spark):
+    """Pairs (smaller, larger set) at or just above the threshold, the smaller one inside the larger."""
+    rows = []
+    for pair, (few, many) in enumerate([(36, 48), (37, 49), (44, 58), (45, 60), (46, 61), (47, 62), (48, 60), (48, 63), (48, 64), (49, 65)] * 12):
+        words = [f"p{pair}_{i}" for i in range(many + 4)]
+        rows += [(2 * pair, " ".join(words[: few + 4]), None), (2 * pair + 1, " ".join(words), None)]
+    out = check_texts(spark, rows)
+    assert sum(not r["kept"] for r in out.values()) == len(rows) // 2
+
+
 def test_texts_without_and_with_few_words(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     rows = [(1, None, "a"), (2, "", "a"), (3, " \t\n", "a"), (4, "One two", "b"), (5, "one  TWO ", "b"), (6, "one", "b"), (7, long, "c"), (8, long + " end", "c"), (9, "É one", "d"), (10, "é one", "d")]
