@@ -13,8 +13,8 @@ Tokens are the words of a text and one end.  Documents are cut into blocks of ab
 4. A block evaluates its tokens: recursively, the discounted probability of a retained n-gram,
    else the backoff weight times the probability of the shorter one.
 
-N-grams of order 2 and more that occur less than ``MIN_COUNT`` times are not retained; their mass
-goes to backoff.  All unknown tokens are one type, whose probability is the mass that discounts
+Every n-gram seen in training is retained, those seen once (``MIN_COUNT``) with their Good-Turing
+discount; what the discounts leave goes to backoff.  All unknown tokens are one type, whose probability is the mass that discounts
 leave at order 1.  Everything that grows with the corpus stays in partitioned tables.
 
 Defined results: a null or empty text has the end as its only token; rows are scored one by one,
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from gridsift.llm import common
 
 ORDER = 2
-MIN_COUNT = 2
+MIN_COUNT = 1
 #: Counts above this are not discounted.
 GOOD_TURING_MAX = 5
 BLOCK_BYTES = 12_000_000

@@ -210,3 +210,11 @@ def test_katz_without_rows_or_training(spark):
 def test_katz_beats_the_base_on_held_out_documents(spark):
     r = katz.query(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r["s"] > r["b"]
+
+
+def test_katz_keeps_bigrams_seen_once(spark):
+    """The words of both held-out texts occur equally often; only the first one's bigram was seen, once."""
+    rows = [(1, "x y", True), (2, "z w", True), (3, "y x", True), (4, "w z", True), (5, "x y", False), (6, "x w", False)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    out = {r["doc_id"]: r["score"] for r in katz.score(df, F.col("doc_id") <= 4).collect()}
+    assert out[5] > out[6] + 0.1
