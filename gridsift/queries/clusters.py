@@ -26,7 +26,6 @@ SWEEP = [
     (9, 0.0376, 7.78, 2.822, 4814.96),
     (10, 0.0353, 7.20, 2.805, 4760.85),
 ]
-RESTARTS = 2
 
 
 def _behavior(spark: SparkSession, d: str) -> DataFrame:
@@ -80,15 +79,15 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
     scores = _scores(spark, d)
-    return clustering.label(scores, clustering.fit_kmeans(scores, 3, restarts=RESTARTS)).select(KEY, "cluster")
+    return clustering.label(scores, clustering.fit_kmeans(scores, 3)).select(KEY, "cluster")
 
 
 def k_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(clustering.sweep(_scores(spark, d), range(2, 5), restarts=RESTARTS)[0])
+    return rounded(clustering.sweep(_scores(spark, d), range(*Settings.ks))[0])
 
 
 def stability_runs(spark: SparkSession, d: str) -> DataFrame:
-    ari, inertia = clustering.stability(_scores(spark, d), 2, runs=4)
+    ari, inertia = clustering.stability(_scores(spark, d), 2, restarts=clustering.RESTARTS)
     return rounded(spark.createDataFrame([clustering.stability_summary(ari, inertia, 2)]))
 
 
@@ -159,13 +158,11 @@ def cluster_balance(spark: SparkSession, d: str) -> DataFrame:
 
 def analysis(spark: SparkSession, d: str) -> DataFrame:
     """The whole analysis of the panel: its named profiles."""
-    settings = Settings(ks=(2, 4), restarts=1, test_stability=False)
-    return rounded(analyse(spark, settings, panel(spark, d).drop("hour", "day_of_week", "is_weekend", "month"), ["timestamp", "event_id"]).profiles)
+    return rounded(analyse(spark, Settings(), panel(spark, d).drop("hour", "day_of_week", "is_weekend", "month"), ["timestamp", "event_id"]).profiles)
 
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
-    settings = Settings(ks=(2, 4), restarts=1)
-    return rounded(ablate(spark, settings, panel(spark, d).drop("hour", "day_of_week", "is_weekend", "month"), ["timestamp", "event_id"])).withColumn("sizes", F.concat_ws(",", F.col("sizes").cast("array<string>")))
+    return rounded(ablate(spark, Settings(), panel(spark, d).drop("hour", "day_of_week", "is_weekend", "month"), ["timestamp", "event_id"])).withColumn("sizes", F.concat_ws(",", F.col("sizes").cast("array<string>")))
 
 
 QUERIES = {

@@ -135,3 +135,35 @@ def test_components_needed():
 def test_balance(spark):
     df = spark.createDataFrame([(0,), (0,), (1,)], "cluster int")
     assert math.isclose(clustering.balance(df).first()["balance"], 0.5)
+
+
+def test_registered_queries_do_the_whole_job(spark, monkeypatch):
+    """K 2 to 10, ten starts, ten runs, stability on."""
+    from inspect import signature
+    from unittest.mock import MagicMock
+
+    from gridsift.queries import clusters
+
+    calls = {}
+    for name in ("panel", "rounded", "_scores"):
+        monkeypatch.setattr(clusters, name, MagicMock())
+    for module, name in ((clusters, "analyse"), (clusters, "ablate"), (clusters.clustering, "sweep"), (clusters.clustering, "stability"), (clusters.clustering, "fit_kmeans")):
+        own = signature(getattr(module, name))
+
+        def record(*args, own=own, name=name, **named):
+            bound = own.bind(*args, **named)
+            bound.apply_defaults()
+            calls[name] = bound.arguments
+            return MagicMock(), MagicMock()
+
+        monkeypatch.setattr(module, name, MagicMock(side_effect=record))
+    for name in ("stability_summary", "label"):
+        monkeypatch.setattr(clusters.clustering, name, MagicMock())
+    clusters.analyse.side_effect = lambda *a: calls.update(analyse={"settings": a[1]}) or MagicMock()
+    for query in (clusters.analysis, clusters.ablation, clusters.k_sweep, clusters.stability_runs, clusters.kmeans_labels):
+        query(MagicMock(), "folder")
+    for name in ("analyse", "ablate"):
+        s = calls[name]["settings"]
+        assert (s.ks, s.restarts, s.test_stability) == ((2, 11), 10, True)
+    assert calls["sweep"]["ks"] == range(2, 11) and calls["sweep"]["restarts"] == calls["fit_kmeans"]["restarts"] == 10
+    assert (calls["stability"]["runs"], calls["stability"]["restarts"]) == (10, 10)
