@@ -6,7 +6,8 @@ some documents skips stripes and row groups by metadata, and stripes are read in
 
 Defined results: a null text counts as empty and gets only the end id; rows that repeat
 a ``doc_id`` are written one after the other; an empty table gives an empty set of files;
-other columns are ignored.
+other columns are ignored.  The literals of special tokens inside a text are encoded as ordinary
+characters (``encode_special_tokens``), not as the special tokens.
 """
 
 from __future__ import annotations
