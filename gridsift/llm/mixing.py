@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame expressions only.
 
 Documents fall into cells (source, language, topic).  Raking multiplies the cells' weights by
-target / current for one margin after the other until all three margins of the weighted tokens
-meet their targets.  Probabilities are proportional to the weights, at most 1, and calibrated so
+target / current for one margin after the other, ``SWEEPS`` times, which brings the margins of the
+weighted tokens to their targets; with sparse cells it can stop short, and targets may contradict
+each other, so ``margin_errors`` gives what is left.  Probabilities are proportional to the weights, at most 1, and calibrated so
 that the expected tokens are ``rate`` times all tokens; each document is drawn by a hash of its id.
 
 Texts are read where they are and never shuffled; only the table of cells is raked.  It has a row
@@ -122,6 +123,16 @@ def cell_table(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rat
     return common.materialise(probabilities(raked, rate), "mixed-cells")
 
 
+def margin_errors(cells: DataFrame) -> DataFrame:
+    """(margin, error) of ``cell_table`` output: the largest |share of weighted tokens - target share| of a level."""
+    parts = []
+    for margin in TEMPER:
+        now = F.sum(F.col("tokens") * F.col("weight")) / F.first("all_tokens")
+        off = cells.groupBy(margin).agg(F.abs(now - F.first(f"{margin}_share")).alias("off"))
+        parts.append(off.agg(F.lit(margin).alias("margin"), F.coalesce(F.max("off"), F.lit(0.0)).alias("error")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def draw(doc_id: Column, seed: str = SEED) -> Column:
     """A number in [0, 1) from the md5 of seed and id."""
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))

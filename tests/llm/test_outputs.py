@@ -113,6 +113,12 @@ def test_mixing_meets_its_targets(spark):
             assert r["now"] / total == pytest.approx(r["share"], abs=2e-3)
 
 
+def test_margin_errors_show_sweeps_that_stop_short(spark):
+    docs = mixing.with_levels(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    few, many = ({r["margin"]: r["error"] for r in mixing.margin_errors(mixing.cell_table(docs, sweeps=n)).collect()} for n in (1, mixing.SWEEPS))
+    assert set(many) == set(mixing.TEMPER) and max(many.values()) < 2e-3 and max(many.values()) < max(few.values())
+
+
 def test_mixing_of_nulls_and_nothing(spark):
     rows = [(1, None, None, None, 5.0), (2, "a b", "en", "web", 1.0), (3, "c " * 30_000, "en", None, 2.0), (3, "c", "en", "web", 2.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_weight double")
