@@ -6,11 +6,14 @@ other than 0x20 and 0x09-0x0D.  ``bytes.lower`` and ``bytes.split`` do exactly t
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -84,10 +87,39 @@ def crc_mod(column, modulus: int):
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
 
+_TENANT: dict[str, object] = {}
+
+
+def give_back() -> None:
+    """Hand memory that is free in this process back to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def tenant(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps for ``name`` from task to task, made if it is not there.
+
+    Workers outlive stages and operators, so only one of these is kept at a time: what an
+    earlier operator kept is dropped, and its memory given back, before ``make`` is called.
+    """
+    if name not in _TENANT:
+        if _TENANT:
+            _TENANT.clear()
+            give_back()
+        _TENANT[name] = make()
+    return _TENANT[name]
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept between batches up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -100,7 +132,8 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-WORD_HASHES = WordHashes()
+def word_hashes() -> WordHashes:
+    return tenant("words", WordHashes)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -55,7 +55,7 @@ class Grams:
         parts, sizes = [], []
         pad = np.full(pads, START, np.uint64)
         for text in texts:
-            own = common.WORD_HASHES.of((text or b"").lower().split())
+            own = common.word_hashes().of((text or b"").lower().split())
             parts += [pad, own, [END]]
             sizes.append(len(own) + 1)
         flat = np.concatenate([np.zeros(0, np.uint64), *parts]).astype(np.uint64)

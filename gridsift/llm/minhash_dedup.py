@@ -60,7 +60,7 @@ _ONE = np.uint64(1)
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 63-bit hashes of the shingles of a text."""
     words = text.lower().split()
-    hashes = common.WORD_HASHES.of(words)
+    hashes = common.word_hashes().of(words)
     if not words:
         return hashes
     if len(words) < width:

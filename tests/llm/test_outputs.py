@@ -23,7 +23,6 @@ def test_ids_equal_direct_encoding_and_survive_the_files(spark):
     from tokenizers import Tokenizer
 
     direct = Tokenizer.from_file(tokens_orc.default_tokenizer())
-    direct.encode_special_tokens = True
     target = common.new_path(spark, "test-orc")
     tokens_orc.write_orc(documents(spark).repartition(5, "text"), target)
     rows = {r["doc_id"]: r["ids"] for r in tokens_orc.read_orc(spark, target).collect()}
@@ -37,6 +36,38 @@ def test_ids_equal_direct_encoding_and_survive_the_files(spark):
         at += len(want)
 
 
+@pytest.mark.parametrize("plain_literals", [False, True])
+def test_encoder_equals_the_library_on_mixed_characters(plain_literals):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    direct = Tokenizer.from_file(tokens_orc.default_tokenizer())
+    direct.encode_special_tokens = plain_literals
+    draw = random.Random(5)
+    parts = "a B word Word, İ i ŉ ẖ H̱ ̱ ́ 's ' don't ß Σ ς <|endoftext|> <|STARTOFTEXT|> <|startoftext|> < | > . , ! ? ; : _ - *** &&& 1 23 ½ 日本 🙂 ﬁ ǅ K Å ≠ ̸ х Й é \u200d ı Ł ø Ǆ".split(" ")
+    parts += [" ", "  ", "\u00a0", "\u3000", "\x85", "\x1c", "\t", "\n", "\x0b", "\0"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 14))) for _ in range(3000)]
+    encoder = tokens_orc.Encoder(tokens_orc.default_tokenizer(), plain_literals)
+    for some in (texts[:1500], texts[1000:], [None]):
+        ids, lengths = encoder.ids(pa.array(some, pa.string()), 1)
+        for text, own in zip(some, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+            assert own.tolist() == [*direct.encode(text or "", add_special_tokens=False).ids, 1], text
+
+
+def test_encoder_forgets_and_learns_again(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([f"common word{i}. number {i} x{i}y?" for i in range(300)])
+    want = tokens_orc.Encoder(tokens_orc.default_tokenizer()).ids(texts, 1)
+    monkeypatch.setattr(tokens_orc, "PIECES_KEPT", 50)
+    small = tokens_orc.Encoder(tokens_orc.default_tokenizer())
+    parts = [small.ids(texts[i : i + 20], 1) for i in range(0, 300, 20)]
+    assert np.array_equal(np.concatenate([p[0] for p in parts]), want[0]) and np.array_equal(np.concatenate([p[1] for p in parts]), want[1])
+    assert len(small.place) < 300
+
+
 def test_files_are_in_order_and_prunable(spark):
     import pyarrow.orc
 
