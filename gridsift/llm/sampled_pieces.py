@@ -20,7 +20,8 @@ depend on partitions or retries.
 
 Defined results: a null or empty text has one segmentation, the empty one; a text with fewer than
 k segmentations gives all of them (its last log_inclusion values are 0); rows with equal doc_id
-and text get equal samples; a mark in the text decodes as a space; null ids use key 0.
+and text get equal samples; a mark in the text decodes as a space; null ids use key 0; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,17 +41,19 @@ SAMPLES = 2
 ALPHA = 1.0
 SEED = 20240101
 MARK = "▁"
-UNITS_KEPT = 150_000
+#: Units whose lattices a Python worker keeps.
+UNITS_KEPT = 200_000
 #: Text bytes handled at a time by a Python worker.
 PORTION = 2_000_000
 #: -log of the smallest exponential variable that draws can give.
 _REACH = 37.5
 _FIRST_LOOK = 96
 #: Log-probabilities are multiples of one over this, so their sums are exact in any order.
-_GRID = 2.0**28
+_GRID = 2.0**24
+_LEAST = -127.0
+_SLOTS = 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 _C = [np.uint64(x) for x in (0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7)]
-_WORKER: dict[tuple, Lattices] = {}
 
 
 def default_model() -> str:
@@ -82,6 +86,11 @@ def units_of(text: str) -> list[str]:
     return units
 
 
+def _ranges(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each stretch, one after the other."""
+    return np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
 def uniform(key: np.ndarray) -> np.ndarray:
     """In (0, 1), from 64-bit keys."""
     return ((common.mix(key) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -106,6 +115,7 @@ class Lattices:
             self.decoded.append(b"" if special else piece.replace(MARK, " ").encode())
         for b, i in enumerate(self.byte_ids):
             self.decoded[i] = bytes([b])
+        self.spelled = pa.array(self.decoded, pa.binary())
         ordinary = min(pieces.values(), default=0)
         self.log_weight = -alpha * np.log(np.arange(size) - ordinary + 10.0, where=np.arange(size) >= ordinary, out=np.zeros(size))
         self.byte_weight = -alpha * (np.log(size) + 2.0)
@@ -121,97 +131,166 @@ class Lattices:
                 else:
                     prefixes.setdefault(h, -1)
         self.prefix = np.array(sorted(prefixes), np.uint64)
-        self.prefix_id = np.array([prefixes[int(h)] for h in self.prefix], np.int64)
+        self.prefix_id = np.array([prefixes[int(h)] for h in self.prefix], np.int32)
+        self.slot = np.full(1 << _SLOTS, -1, np.int32)  # one prefix of those that fall there
+        with np.errstate(over="ignore"):
+            falls = (self.prefix * _P) >> np.uint64(64 - _SLOTS)
+        self.slot[falls] = np.arange(len(self.prefix))
+        self.crowded = np.bincount(falls, minlength=1 << _SLOTS) > 1
         self.reset()
 
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are beginnings of pieces, and the ids of those that are pieces (else -1)."""
+        falls = (h * _P) >> np.uint64(64 - _SLOTS)
+        place = self.slot[falls]
+        known = (place >= 0) & (self.prefix[place] == h)
+        again = np.flatnonzero(~known & self.crowded[falls])
+        if len(again):
+            place[again] = np.minimum(np.searchsorted(self.prefix, h[again]), len(self.prefix) - 1)
+            known[again] = self.prefix[place[again]] == h[again]
+        return known, np.where(known, self.prefix_id[place], -1)
+
     def reset(self) -> None:
         self.types: dict[str, int] = {}
+        self.uses = np.zeros(0, np.int32)  # of each type: how many portions of text held it
         self.first = np.zeros(0, np.int64)  # of each type: its first node
         self.offset = np.zeros(1, np.int64)  # of each node: its first edge
         self.start = np.zeros(0, np.int32)  # of each edge: the node it leaves
         self.end = np.zeros(0, np.int32)  # and the node it leads to
         self.out = np.zeros(0, np.int32)  # piece id, or minus the code point written as bytes
-        self.log_p = np.zeros(0)
+        self.log_p = np.zeros(0, np.int32)  # on the grid
         self.upto = np.zeros(0, np.float32)  # cumulative probability among the edges of a node
 
-    def add(self, units: list[str]) -> None:
-        """Build the lattices of new units, all at once."""
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        owner = np.repeat(np.arange(len(units)), sizes)
-        left = np.cumsum(sizes)[owner] - np.arange(len(codes))
-        starts, lengths, outs, scores = [], [], [], []
+    def _edges(self, codes: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(characters, piece ids or minus code points, scores) of the edges of each length."""
+        found = []
         at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
         for n in range(1, self.longest + 1):
             fits = left[at] >= n
             at, h = at[fits], h[fits]
             h = h * _P + codes[at + n - 1] + np.uint64(1)
-            place = np.minimum(np.searchsorted(self.prefix, h), len(self.prefix) - 1)
-            known = self.prefix[place] == h
-            ids = np.where(known, self.prefix_id[place], -1)
+            known, ids = self.look_up(h)
             whole = ids >= 0
-            starts.append(at[whole])
-            lengths.append(np.full(whole.sum(), n))
-            outs.append(ids[whole])
-            scores.append(self.log_weight[ids[whole]])
+            starts, outs, scores = at[whole], ids[whole], self.log_weight[ids[whole]]
             if n == 1:
                 alone = at[~whole]
                 code = codes[alone].astype(np.int64)
                 width = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
-                starts.append(alone)
-                lengths.append(np.ones(len(alone), np.int64))
-                outs.append(np.where(width == 1, self.byte_ids[np.minimum(code, 255)], -code))
-                scores.append(width * self.byte_weight)
+                starts = np.concatenate([starts, alone])
+                outs = np.concatenate([outs, np.where(width == 1, self.byte_ids[np.minimum(code, 255)], -code)])
+                scores = np.concatenate([scores, width * self.byte_weight])
+            found.append((starts, outs, scores))
             at, h = at[known], h[known]
             if not len(at):
                 break
-        start, length, out, score = map(np.concatenate, (starts, lengths, outs, scores))
-        node = start + owner[start]  # a unit has one node more than characters
-        end = node + length
-        beta = np.zeros(len(codes) + len(units))
-        order = np.lexsort((node, left[start]))
-        distance = left[start][order]
-        cuts = np.searchsorted(distance, np.arange(1, (left.max() if len(left) else 0) + 2))
+        return found
+
+    def add(self, units: list[str]) -> None:
+        """Build the lattices of new units, all at once; a node's longest pieces come first."""
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        owner = np.repeat(np.arange(len(units)), sizes)
+        left = np.cumsum(sizes)[owner] - np.arange(len(codes))
+        found = self._edges(codes, left)
+        degree = np.zeros(len(codes) + len(units), np.int64)  # a unit has one node more than characters
+        for starts, _, _ in found:
+            degree[starts + owner[starts]] += 1
+        offset = np.cumsum(degree)
+        slot, total = offset - degree, int(degree.sum())
+        node, end, out, score = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total)
+        for n in range(len(found), 0, -1):
+            starts, outs, scores = found[n - 1]
+            own = starts + owner[starts]
+            at = slot[own]
+            slot[own] += 1
+            node[at], end[at], out[at], score[at] = own, own + n, outs, scores
+        distance = left[node - np.repeat(np.arange(len(units)), np.add.reduceat(degree, np.cumsum(sizes + 1) - sizes - 1))]
+        order = np.argsort(distance.astype(np.uint16) if len(distance) and distance.max() < 1 << 16 else distance, kind="stable")
+        cuts = np.searchsorted(distance[order], np.arange(1, left.max() + 2))
+        beta = np.zeros(len(degree))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # from the ends of the units back
             some = order[a:b]
-            value = score[some] + beta[end[some]]
-            heads = np.flatnonzero(np.r_[True, node[some][1:] != node[some][:-1]])
+            value, own = score[some] + beta[end[some]], node[some]
+            heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             top = np.maximum.reduceat(value, heads)
             spread = np.diff(np.r_[heads, len(some)])
-            beta[node[some][heads]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, spread)), heads))
-        log_p = np.round((score + beta[end] - beta[node]) * _GRID) / _GRID
-        order = np.lexsort((-log_p, node))
-        node, end, out, log_p = node[order], end[order], out[order], log_p[order]
-        degree = np.bincount(node, minlength=len(beta))
-        offset = np.cumsum(degree)
-        p = np.cumsum(np.exp(log_p))
-        base = np.r_[0.0, p][offset - degree]
-        upto = p - np.repeat(base, degree)
+            beta[own[heads]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, spread)), heads))
+        log_p = np.maximum(score + beta[end] - beta[node], _LEAST)
+        share = np.cumsum(np.rint(np.exp(log_p) * 2.0**30).astype(np.int64))
+        upto = (share - np.repeat(np.concatenate([[0], share])[offset - degree], degree)) * 2.0**-30
         upto[(offset - 1)[degree > 0]] = 2.0  # the last edge takes what rounding leaves
         nodes, edges = len(self.offset) - 1, len(self.end)
         self.types.update(zip(units, range(len(self.types), len(self.types) + len(units)), strict=True))
         for name, new in (
+            ("uses", np.zeros(len(units))),
             ("first", nodes + np.cumsum(sizes + 1) - sizes - 1),
             ("offset", edges + offset),
             ("start", nodes + node),
             ("end", nodes + end),
             ("out", out),
-            ("log_p", log_p),
+            ("log_p", np.rint(log_p * _GRID)),
             ("upto", upto),
         ):
             old = getattr(self, name)
             setattr(self, name, np.concatenate([old, new.astype(old.dtype)]))
 
-    def types_of(self, texts: list[str]) -> list[np.ndarray]:
-        split = [units_of(t) for t in texts]
-        fresh = set().union(*split).difference(self.types)
+    def keep(self, units: list[str]) -> None:
+        """Forget all types but these."""
+        old = np.fromiter(map(self.types.__getitem__, units), np.int64, len(units))
+        counts = np.diff(np.r_[self.first, len(self.offset) - 1])[old]
+        nodes = _ranges(self.first[old], counts)
+        degree = self.offset[nodes + 1] - self.offset[nodes]
+        edges = _ranges(self.offset[nodes], degree)
+        moved = np.repeat(np.arange(len(nodes)) - nodes, degree).astype(np.int32)
+        self.types = dict(zip(units, range(len(units)), strict=True))
+        self.uses, self.first = self.uses[old], np.cumsum(counts) - counts
+        self.offset = np.concatenate([[0], np.cumsum(degree)])
+        self.start, self.end = self.start[edges] + moved, self.end[edges] + moved
+        self.out, self.log_p, self.upto = self.out[edges], self.log_p[edges], self.upto[edges]
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        """Types of distinct units; when too many are kept, those that one portion held only go."""
+        fresh = [u for u in units if u not in self.types]
         if len(self.types) + len(fresh) > UNITS_KEPT and self.types:
-            self.reset()
-            fresh = set().union(*split)
-        fresh = sorted(fresh)
+            here = set(units)
+            often = [u for u, i in self.types.items() if self.uses[i] > 1]
+            self.keep(often if len(often) <= UNITS_KEPT // 2 else [u for u in often if u in here])
+            fresh = [u for u in units if u not in self.types]
         for i in range(0, len(fresh), 50_000):
             self.add(fresh[i : i + 50_000])
-        return [np.fromiter(map(self.types.__getitem__, units), np.int64, len(units)) for units in split]
+        found = np.fromiter(map(self.types.__getitem__, units), np.int64, len(units))
+        self.uses[found] += 1
+        return found
+
+    def types_of(self, texts: list[str]) -> list[np.ndarray]:
+        """Types of the units of each text, as ``units_of`` cuts them.
+
+        Arrow cuts all texts but those with a mark of its own, which belongs to the word after it.
+        """
+        spaced = pc.replace_substring(pc.replace_substring(pa.array(texts, pa.string()), MARK, " "), " ", f" {MARK}")
+        spaced = pc.if_else(pc.equal(spaced, ""), "", pc.binary_join_element_wise(MARK, spaced, ""))
+        split = pc.split_pattern(pc.replace_substring(spaced, "\n", " \n "), " ")
+        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        coded = split.flatten().dictionary_encode()
+        which, units = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        place = {u: i for i, u in enumerate(units)}
+        apart = np.unique(owner[which == place[MARK]]) if MARK in place else owner[:0]
+        own = {int(i): units_of(texts[i]) for i in apart}
+        filled = ~np.isin(owner, apart)
+        if "" in place:
+            filled &= which != place[""]
+        which, owner = which[filled], owner[filled]
+        used = np.zeros(len(units), bool)
+        used[which] = True
+        names = [u for u, here in zip(units, used.tolist(), strict=True) if here]
+        names += list(dict.fromkeys(u for cut in own.values() for u in cut if not (u in place and used[place[u]])))
+        types = self._numbers(names)
+        number = np.zeros(len(units), np.int64)
+        number[used] = types[: used.sum()]
+        found = np.split(number[which], np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
+        for i, cut in own.items():
+            found[i] = np.fromiter(map(self.types.__getitem__, cut), np.int64, len(cut))
+        return found
 
     def straight(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sample from each node to the end of its unit: edges one unit after the other, and how many."""
@@ -239,17 +318,24 @@ class Lattices:
             path[begin[units] + step] = edges
         return path, count
 
-    def ids_of(self, path: np.ndarray) -> np.ndarray:
-        out = self.out[path]
-        if len(out) and out.min() < 0:
-            parts = [self.byte_ids[list(chr(-o).encode("utf-8", "surrogatepass"))] if o < 0 else [o] for o in out.tolist()]
-            out = np.concatenate(parts)
-        return out
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 text of piece ids; the mark at the beginning is dropped."""
-        text = b"".join(map(self.decoded.__getitem__, ids.tolist()))
-        return text[1:] if text.startswith(b" ") else text
+    def ids_of(self, paths: list[np.ndarray]) -> pa.ListArray:
+        """Piece ids along each path of edges; a character that is no piece has one for each byte."""
+        flat = np.concatenate([np.zeros(0, np.int64), *paths])
+        out, sizes = self.out[flat], np.ones(len(flat), np.int64)
+        bare = np.flatnonzero(out < 0)
+        if len(bare):
+            written = [self.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in (-out[bare]).tolist()]
+            sizes[bare] = list(map(len, written))
+            out = np.repeat(out, sizes)
+            out[out < 0] = np.concatenate(written)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, paths)])]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out.astype(np.int32)))
+
+    def spell(self, ids: pa.ListArray) -> pa.Array:
+        """UTF-8 text of each list of piece ids, a space before it for the mark at the beginning."""
+        bounds = ids.offsets.to_numpy()
+        pieces = self.spelled.take(ids.flatten())
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds - bounds[0]), pieces), b"")
 
 
 class _Path:
@@ -286,7 +372,7 @@ def _siblings(lattices: Lattices, texts: list[_Text], turn: int, want: int) -> N
     """
     sizes = np.fromiter((len(t.paths[-1].edges) for t in texts), np.int64, len(texts))
     flat = np.concatenate([np.zeros(0, np.int64), *(t.paths[-1].edges for t in texts)])
-    total = np.concatenate([[0.0], np.cumsum(lattices.log_p[flat], dtype=np.float64)])
+    total = np.concatenate([[0], np.cumsum(lattices.log_p[flat], dtype=np.int64)]) / _GRID
     base = np.cumsum(sizes) - sizes
     for text, lo, n in zip(texts, base.tolist(), sizes.tolist(), strict=True):
         text.paths[-1].log_prob = float(total[lo + n] - total[lo])
@@ -313,7 +399,7 @@ def _siblings(lattices: Lattices, texts: list[_Text], turn: int, want: int) -> N
         other = edge != taken[row]
         row, rank, edge = row[other], rank[other], edge[other]
         who, where = which[row], place[row]
-        phi = total[base[who] + where] - total[base[who]] + lattices.log_p[edge]
+        phi = total[base[who] + where] - total[base[who]] + lattices.log_p[edge] / _GRID
         near = phi + _REACH >= worst[who]
         rank, edge, who, where, phi = rank[near], edge[near], who[near], where[near], phi[near]
         key = seeds[who] + np.uint64(turn + 1) * _C[0] + where.astype(np.uint64) * _C[1] + rank.astype(np.uint64) * _P + np.uint64(7)
@@ -403,61 +489,64 @@ def _portions(sizes: list[int]) -> Iterator[slice]:
 
 
 def lattices_for(model: str, alpha: float) -> Lattices:
-    if (model, alpha) not in _WORKER:
-        _WORKER[model, alpha] = Lattices(model, alpha)
-    return _WORKER[model, alpha]
-
-
-def encode(docs: DataFrame, k: int = SAMPLES, *, with_ids: bool = True, model: str | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    return common.tenant(f"lattices {model} {alpha}", lambda: Lattices(model, alpha))
+
+
+def _rows(lattices: Lattices, keys: list, texts: list[str], k: int, seed: int) -> dict:
+    """Columns of the samples of some texts."""
+    found = sample(lattices, texts, _seeds(keys, seed), k)
+    paths = [path for search in found for path in search.paths]
+    spread = [len(search.paths) for search in found]
+    ids = lattices.ids_of([path.edges for path in paths])
+    ends, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
+    expected = [f" {t.replace(MARK, ' ')}".encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    again = pa.array([e for e, n in zip(expected, spread, strict=True) for _ in range(n)], pa.binary())
+    return {
+        "doc_id": pa.array([key for key, n in zip(keys, spread, strict=True) for _ in range(n)], pa.int64()),
+        "sample": pa.array([i for n in spread for i in range(n)], pa.int32()),
+        "ids": ids,
+        "n_pieces": pa.array(np.diff(ends).astype(np.int64)),
+        "ids_crc32": pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64()),
+        "log_prob": pa.array([path.log_prob for path in paths], pa.float64()),
+        "perturbed": pa.array([path.score for path in paths], pa.float64()),
+        "log_inclusion": pa.array([log_inclusion(path.log_prob, search.threshold) for search in found for path in search.paths], pa.float64()),
+        "round_trip": pc.equal(lattices.spell(ids), again),
+    }
+
+
+def encode(docs: DataFrame, k: int = SAMPLES, *, model: str | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """k rows for each document: sampled ids, their scores, and whether they decode to the text.
 
-    Columns: doc_id, sample, ids (unless ``with_ids`` is false), n_pieces, ids_crc32 (of the ids
-    as little-endian unsigned 32-bit integers), log_prob, perturbed, log_inclusion, round_trip.
+    Columns: doc_id, sample, ids, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit
+    integers), log_prob, perturbed, log_inclusion, round_trip.
     """
     common.ship(docs.sparkSession)
     model = model or default_model()
-    schema = "doc_id long, sample int, " + ("ids array<int>, " if with_ids else "")
-    schema += "n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
-    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            lattices = lattices_for(model, alpha)
-            for batch in batches:
-                keys, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-                for part in _portions([len(t) for t in texts]):
-                    rows: list[list] = [[] for _ in names]
-                    kept: list[np.ndarray] = []
-                    found = sample(lattices, texts[part], _seeds(keys[part], seed), k)
-                    for key, text, search in zip(keys[part], texts[part], found, strict=True):
-                        expected = text.replace(MARK, " ").encode("utf-8", "surrogatepass")
-                        for i, path in enumerate(search.paths):
-                            ids = lattices.ids_of(path.edges)
-                            whole = lattices.decode(ids) == expected
-                            scores = (path.log_prob, path.score, log_inclusion(path.log_prob, search.threshold))
-                            values = (key, i, *((None,) if with_ids else ()), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *scores, whole)
-                            kept += [ids] if with_ids else []
-                            for column, value in zip(rows, values, strict=True):
-                                column.append(value)
-                    if with_ids:
-                        ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
-                        flat = np.concatenate([np.zeros(0, np.int64), *kept]).astype(np.int32)
-                        rows[2] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                    kinds = {"doc_id": pa.int64(), "sample": pa.int32(), "n_pieces": pa.int64(), "ids_crc32": pa.int64(), "round_trip": pa.bool_()}
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds.get(n, pa.float64())) for n, c in zip(names, rows, strict=True)], names)
+        lattices = lattices_for(model, alpha)
+        for batch in batches:
+            keys, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+            for part in _portions([len(t) for t in texts]):
+                with np.errstate(over="ignore"):
+                    rows = _rows(lattices, keys[part], texts[part], k, seed)
+                yield pa.RecordBatch.from_arrays(list(rows.values()), list(rows))
 
+    schema = "doc_id long, sample int, ids array<int>, n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
-    """``rows`` (doc_id, sample, ids) with the text that the ids spell."""
+    """``rows`` (doc_id, sample, ids) with the text that the ids spell; null ids spell null."""
     common.ship(rows.sparkSession)
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = lattices_for(model, ALPHA)
         for batch in batches:
-            texts = [None if ids is None else lattices.decode(np.array(ids, np.int64)).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
+            given = batch.column("ids")
+            whole = lattices.spell(pc.if_else(pc.is_valid(given), given, pa.scalar([], given.type))).to_pylist()
+            texts = [t.removeprefix(b" ").decode("utf-8", "replace") if ok else None for t, ok in zip(whole, given.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sample"), pa.array(texts, pa.string())], ["doc_id", "sample", "text"])
 
     plain = rows.select(F.col("doc_id").cast("long"), F.col("sample").cast("int"), F.col("ids").cast("array<int>"))
@@ -465,4 +554,4 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
