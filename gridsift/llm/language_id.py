@@ -16,6 +16,7 @@ the language that sorts first.  With no training rows every answer is ``und``.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -99,6 +100,7 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.tenant("language counts", dict)
     words: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
@@ -161,14 +163,14 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]
-    out = np.zeros(len(scores), np.int8)
+    out = np.zeros(len(scores), np.int32)
     if not len(scores):
         return out
     stays = np.ones(scores.shape, bool)
-    came = np.zeros(len(scores), np.int8)
+    came = np.zeros(len(scores), np.int32)
     active = int((sizes > 0).sum())
     value = scores[starts[:active]].astype(np.float64)
-    finals = np.zeros(active, np.int8)
+    finals = np.zeros(active, np.int32)
     for t in range(1, int(sizes[0])):
         live = int(np.searchsorted(-sizes[:active], -t, side="left"))
         if live < len(value):
@@ -248,13 +250,14 @@ def predict(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
     session = docs.sparkSession
     common.ship(session)
     held = session.sparkContext.broadcast(model)
+    kept_as = f"labeller {uuid.uuid4().hex}"
     clash = {"lang_pred", "lang_score", "lang_spans"}
     docs = docs.select(*(c for c in docs.columns if c not in clash))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "lang_score double"])
     schema += ", lang_spans array<struct<lang:string,first_word:int,words:int>>" if spans else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(held.value)
+        labeller = common.tenant(kept_as, lambda: Labeller(held.value))
         languages = held.value.languages
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
@@ -266,7 +269,7 @@ def predict(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
                     names = [languages[b] if t > 0 or has_letter(text) else UNDETERMINED for b, t, text in zip(best, total, texts, strict=True)]
                     share = np.where(total > 0, top / np.maximum(total, 1), 0.0)
                 else:
-                    labels, lengths = np.zeros(0, np.int8), np.zeros(len(texts), int)
+                    labels, lengths = np.zeros(0, np.int32), np.zeros(len(texts), int)
                     names, share = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 added = [pa.array(names, pa.string()), pa.array(share, pa.float64())]
                 if spans:

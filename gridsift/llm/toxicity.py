@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -177,6 +178,7 @@ def _candidates(text: str | None) -> set[str]:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.tenant("toxicity counts", dict)
     toxic, other = Counter(), Counter()
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -286,6 +288,7 @@ def score(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
     session = docs.sparkSession
     common.ship(session)
     held = session.sparkContext.broadcast(model)
+    kept_as = f"matcher {uuid.uuid4().hex}"
     docs = docs.select(*(c for c in docs.columns if c not in {"tox_score", "tox_predicted", "tox_matches"}))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "tox_score double", "tox_predicted int"])
     kind = "array<struct<first_word:int,last_word:int,kind:string,weight:double>>"
@@ -293,7 +296,7 @@ def score(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        matcher = Matcher(m.words, m.prefixes)
+        matcher = common.tenant(kept_as, lambda: Matcher(m.words, m.prefixes))
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
                 texts = batch.column("text").to_pylist()
