@@ -36,9 +36,13 @@ VALID_NARROW = {
 IMPUTATIONS = ("forward_fill", "backward_fill", "mean", "drop")
 
 
+def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
+    return sorted(set(required) - set(df.columns))
+
+
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     """``df`` itself; ValueError if a required column is missing."""
-    missing = sorted(set(required) - set(df.columns))
+    missing = missing_columns(df, required)
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return df
@@ -69,10 +73,18 @@ def _fillable(df: DataFrame, columns: list[str] | None, by: str) -> list[str]:
     return [c for c in (columns or df.columns) if c != by]
 
 
-def _filled(c: str, order: Window, forward: bool) -> Column:
-    before = F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(c, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    return F.coalesce(before, after) if forward else F.coalesce(after, before)
+def _both_ways(by: str, order: list[str]) -> tuple[Window, Window]:
+    """Rows of a group up to the current one, in the given order and in its reverse.
+
+    A frame that only grows is kept up row by row; one that ends at the last row would be read
+    again for each row.
+    """
+    upto = lambda keys: Window.partitionBy(by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    return upto([F.col(c).asc_nulls_last() for c in order]), upto([F.col(c).desc_nulls_first() for c in order])
+
+
+def _nearest(c: str, frame: Window) -> Column:
+    return F.last(c, ignorenulls=True).over(frame)
 
 
 def fill(df: DataFrame, columns: list[str] | None = None, *, forward: bool = True, by: str = KEY, order: list[str] | None = None) -> DataFrame:
@@ -80,8 +92,9 @@ def fill(df: DataFrame, columns: list[str] | None = None, *, forward: bool = Tru
 
     ``forward=False`` looks after it first.  ``order`` breaks ties of time.
     """
-    own = Window.partitionBy(by).orderBy(*(F.col(c).asc_nulls_last() for c in (order or [TIME])))
-    return df.withColumns({c: _filled(c, own, forward) for c in _fillable(df, columns, by)})
+    before, after = _both_ways(by, order or [TIME])
+    first, second = (before, after) if forward else (after, before)
+    return df.withColumns({c: F.coalesce(_nearest(c, first), _nearest(c, second)) for c in _fillable(df, columns, by)})
 
 
 def fill_ungrouped(df: DataFrame, columns: list[str], *, forward: bool = True, time: str = TIME, order: list[str] | None = None) -> DataFrame:
@@ -92,8 +105,7 @@ def fill_ungrouped(df: DataFrame, columns: list[str], *, forward: bool = True, t
     """
     day = F.coalesce(F.date_trunc("day", F.col(time).cast("timestamp_ntz")).cast("date"), F.lit("9999-12-31").cast("date"))
     rows = df.withColumn("_day", day)
-    keys = [F.col(c).asc_nulls_last() for c in (order or [time])]
-    inside = Window.partitionBy("_day").orderBy(*keys)
+    before, after = _both_ways("_day", order or [time])
     rank = F.struct(*(F.struct(F.col(c).isNull(), F.col(c)) for c in (order or [time])))
     ends = rows.groupBy("_day").agg(
         *(F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"_last_{c}") for c in columns),
@@ -109,8 +121,8 @@ def fill_ungrouped(df: DataFrame, columns: list[str], *, forward: bool = True, t
     out = rows.join(carried, "_day")
     filled = {}
     for c in columns:
-        back = F.coalesce(F.last(c, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"_before_{c}"))
-        ahead = F.coalesce(F.first(c, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col(f"_after_{c}"))
+        back = F.coalesce(_nearest(c, before), F.col(f"_before_{c}"))
+        ahead = F.coalesce(_nearest(c, after), F.col(f"_after_{c}"))
         filled[c] = F.coalesce(back, ahead) if forward else F.coalesce(ahead, back)
     return out.withColumns(filled).select(*df.columns)
 
@@ -217,6 +229,7 @@ def clean(
     if imputation == "drop":
         rows = impute(rows, "drop")
     else:
-        gaps = [c for c in rows.columns if c not in (KEY, "is_weekend")]
-        rows = impute(rows, imputation, [c for c in gaps if imputation != "mean" or c not in CALENDAR], by=KEY if KEY in rows.columns else None, order=order)
+        rows = impute(rows, imputation, [c for c in rows.columns if c != KEY and c not in CALENDAR], by=KEY if KEY in rows.columns else None, order=order)
+        if imputation != "mean" and TIME in rows.columns:  # a time that was filled gives the calendar, but for is_weekend
+            rows = with_calendar(rows.withColumn("_weekend", F.col("is_weekend"))).withColumn("is_weekend", F.col("_weekend")).drop("_weekend")
     return without_outliers(rows, threshold=threshold) if remove_outliers else rows

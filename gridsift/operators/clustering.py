@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsift.operators import metrics
@@ -53,14 +53,20 @@ def label(points: DataFrame, model: KMeansModel, key: str = KEY) -> DataFrame:
 
 
 def sweep(points: DataFrame, ks: range, x: str = "pc", key: str = KEY, seed: int = SEED, restarts: int = RESTARTS) -> tuple[DataFrame, dict[int, KMeansModel]]:
-    """(k, inertia, silhouette, ch, db) for each K, and the models."""
+    """(k, inertia, silhouette, ch, db) for each K, and the models.
+
+    All labelings are one table, so distances between points are taken once for all K.
+    """
     spark = points.sparkSession
     fitted = fit_all(points, [(k, seed + i) for k in ks for i in range(restarts)])
     models = {k: _best(fitted[i * restarts : (i + 1) * restarts]) for i, k in enumerate(ks)}
-    rows = []
+    wide = points.select(F.col(key).cast("long").alias("id"), F.col(x).cast("array<double>").alias("x"), "features")
     for k, model in models.items():
-        found = metrics.all_metrics(metrics.points(label(points, model, key), key, "cluster", x))
-        rows.append((k, float(model.summary.trainingCost), found["silhouette"], found["ch"], found["db"]))
+        wide = model.copy().setPredictionCol(f"k{k}").transform(wide)
+    wide = wide.select("id", "x", F.array(*(f"k{k}" for k in models)).alias("clusters")).persist()
+    found = metrics.metrics_of_labelings(wide, len(models))
+    wide.unpersist()
+    rows = [(k, float(model.summary.trainingCost), own["silhouette"], own["ch"], own["db"]) for (k, model), own in zip(models.items(), found, strict=True)]
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double, ch double, db double"), models
 
 
@@ -133,7 +139,3 @@ def sizes(labels: DataFrame) -> DataFrame:
 def balance(labels: DataFrame) -> DataFrame:
     """One row: the smallest cluster's size over the largest's."""
     return sizes(labels).agg((F.min("size") / F.max("size")).alias("balance"))
-
-
-def empty_metrics(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "k int, inertia double, silhouette double, ch double, db double")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,7 +152,3 @@ def validate(panel: DataFrame) -> dict[str, DataFrame]:
         "profiles": archetype_profile(hourly),
         "variation": archetype_profile(hourly.join(first_consumers(panel).select(KEY), KEY, "left_semi"), KEY),
     }
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

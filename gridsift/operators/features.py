@@ -53,20 +53,23 @@ def behavioral_columns() -> dict[str, Column]:
     return shape | {c: F.col(c) for c in BEHAVIORAL if c not in shape}
 
 
-def scale_aggregates(columns: list[str]) -> dict[str, Column]:
-    """Mean, max, min, median, std and sum of the consumption; means of the measures that are present."""
+def scale_aggregates(columns: list[str], *, total: bool = True) -> dict[str, Column]:
+    """Mean, max, min, median, std and sum of the consumption; means of the measures that are present.
+
+    ``total=False`` leaves the sum out, as the older scale set does.
+    """
     value = F.col(VALUE)
-    kinds = {"mean": F.avg, "max": F.max, "min": F.min, "median": F.median, "std": F.stddev_samp, "sum": F.sum}
+    kinds = {"mean": F.avg, "max": F.max, "min": F.min, "median": F.median, "std": F.stddev_samp, **({"sum": F.sum} if total else {})}
     out = {f"{VALUE}_{name}": f(value) for name, f in kinds.items()}
     return out | {f"{m}_mean": F.avg(m) for m in MEASURES if m in columns}
 
 
-def raw_features(panel: DataFrame, feature_set: str = "combined") -> DataFrame:
+def raw_features(panel: DataFrame, feature_set: str = "combined", *, total: bool = True) -> DataFrame:
     """One row for each consumer with its features as they are, nulls included."""
     if feature_set not in FEATURE_SETS:
         raise ValueError(f"unknown feature set: {feature_set}")
     behavior = behavioral_aggregates() if feature_set != "scale" else {}
-    scale = scale_aggregates(panel.columns) if feature_set != "behavioral" else {}
+    scale = scale_aggregates(panel.columns, total=total) if feature_set != "behavioral" else {}
     rows = panel.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(*(c.alias(n) for n, c in (behavior | scale).items()))
     named = behavioral_columns() if behavior else {}
     return rows.select(KEY, *(c.alias(n) for n, c in named.items()), *scale)

@@ -15,6 +15,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridsift.shipping import ship
+
 #: Points of a block of the silhouette; a task compares two blocks.
 BLOCK = 2048
 
@@ -94,12 +96,12 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _distance_sums(key: tuple, table: pa.Table) -> pa.Table:
-    """Sums of distances from each point of block i to the points of block j, by their cluster."""
+    """Sums of distances from each point of block i to the points of block j, by their cluster in each labeling."""
     i, j = key[0].as_py(), key[1].as_py()
     block, side = table.column("block").to_numpy(), table.column("x").combine_chunks()
-    ids, clusters = table.column("id").to_numpy(), table.column("cluster").to_numpy()
-    x = side.values.to_numpy().reshape(len(ids), -1)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    ids, labels = table.column("id").to_numpy(), table.column("clusters").combine_chunks()
+    x, clusters = side.values.to_numpy().reshape(len(ids), -1), labels.values.to_numpy().reshape(len(ids), -1)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     for own, other in {(i, j), (j, i)}:
         a, b = np.flatnonzero(block == own), np.flatnonzero(block == other)
         if not len(a) or not len(b):
@@ -107,36 +109,47 @@ def _distance_sums(key: tuple, table: pa.Table) -> pa.Table:
         far = _distances(x[a], x[b])
         if own == other:
             np.fill_diagonal(far, 0)
-        for c in np.unique(clusters[b]):
-            out.append((ids[a], np.full(len(a), c), far[:, clusters[b] == c].sum(1)))
-    parts = list(zip(*out, strict=True)) or [[], [], []]
+        for labeling in range(clusters.shape[1]):
+            own_label = clusters[b, labeling]
+            for c in np.unique(own_label):
+                out.append((ids[a], np.full(len(a), labeling), np.full(len(a), c), far[:, own_label == c].sum(1)))
+    parts = list(zip(*out, strict=True)) or [[], [], [], []]
     join = lambda p, t: pa.array(np.concatenate(p) if len(p) else np.zeros(0), t)
-    return pa.table({"id": join(parts[0], pa.int64()), "other": join(parts[1], pa.int32()), "total": join(parts[2], pa.float64())})
+    return pa.table({"id": join(parts[0], pa.int64()), "labeling": join(parts[1], pa.int32()), "other": join(parts[2], pa.int32()), "total": join(parts[3], pa.float64())})
 
 
-def silhouettes(pts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, cluster, silhouette) of every point against all points, by Euclidean distance.
+def silhouettes_of_labelings(pts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(labeling, id, cluster, silhouette) for points (id, clusters array<int>, x) with a label for each labeling.
 
-    Blocks of points are compared two at a time; what leaves a task is a sum for each point and
-    cluster, never a pair.  A point alone in its cluster has silhouette 0.
+    Blocks of points are compared two at a time, once for all labelings; what leaves a task is a
+    sum for each point, labeling and cluster, never a pair.  A point alone in its cluster has
+    silhouette 0.  The work grows with the square of the number of points.
     """
-    sizes = {r["cluster"]: r["n"] for r in pts.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = max(1, math.ceil(sum(sizes.values()) / block))
+    ship(pts.sparkSession)
+    long = pts.select("id", F.posexplode("clusters").alias("labeling", "cluster"))
+    sizes = {(r["labeling"], r["cluster"]): r["n"] for r in long.groupBy("labeling", "cluster").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each cluster
+    blocks = max(1, math.ceil(sum(n for (labeling, _), n in sizes.items() if labeling == 0) / block))
     placed = pts.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     spread = placed.withColumn("against", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     spread = spread.withColumns({"i": F.least("block", "against"), "j": F.greatest("block", "against")}).drop("against")
-    sums = spread.groupBy("i", "j").applyInArrow(_distance_sums, "id long, other int, total double")
-    sums = sums.groupBy("id", "other").agg(F.sum("total").alias("total"))
-    count = F.create_map(*(F.lit(v) for kv in sizes.items() for v in kv)) if sizes else F.create_map(F.lit(0), F.lit(0))
+    sums = spread.groupBy("i", "j").applyInArrow(_distance_sums, "id long, labeling int, other int, total double")
+    sums = sums.groupBy("id", "labeling", "other").agg(F.sum("total").alias("total"))
+    named = {f"{labeling}:{cluster}": n for (labeling, cluster), n in sizes.items()} or {"": 0}
+    count = F.create_map(*(F.lit(v) for kv in named.items() for v in kv))
     own = F.col("other") == F.col("cluster")
-    each = pts.select("id", "cluster").join(sums, "id").withColumn("size", F.try_element_at(count, F.col("other")))
-    both = each.groupBy("id", "cluster").agg(
+    each = long.join(sums, ["id", "labeling"]).withColumn("size", F.try_element_at(count, F.concat_ws(":", "labeling", "other")))
+    both = each.groupBy("labeling", "id", "cluster").agg(
         F.max(F.when(own, F.try_divide(F.col("total"), F.col("size") - 1))).alias("a"),
         F.min(F.when(~own, F.col("total") / F.col("size"))).alias("b"),
         F.max(F.when(own, F.col("size"))).alias("mates"),
     )
     value = F.when((F.col("mates") > 1) & F.col("b").isNotNull(), F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return both.select("id", "cluster", F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+    return both.select("labeling", "id", "cluster", F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+
+
+def silhouettes(pts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, cluster, silhouette) of every point against all points, by Euclidean distance."""
+    return silhouettes_of_labelings(pts.select("id", F.array("cluster").alias("clusters"), "x"), block).select("id", "cluster", "silhouette")
 
 
 def silhouette(pts: DataFrame, block: int = BLOCK) -> float | None:
@@ -145,8 +158,18 @@ def silhouette(pts: DataFrame, block: int = BLOCK) -> float | None:
 
 def all_metrics(pts: DataFrame) -> dict[str, float | None]:
     """Inertia, silhouette, ch and db of the given labels."""
+    return _from_centroids(pts) | {"silhouette": silhouette(pts)}
+
+
+def _from_centroids(pts: DataFrame) -> dict[str, float | None]:
     rows = _within(pts)
-    return {"inertia": sum(r["d2"] for r in rows), "silhouette": silhouette(pts), "ch": _calinski_harabasz(rows), "db": _davies_bouldin(rows)}
+    return {"inertia": sum(r["d2"] for r in rows), "ch": _calinski_harabasz(rows), "db": _davies_bouldin(rows)}
+
+
+def metrics_of_labelings(pts: DataFrame, n: int) -> list[dict[str, float | None]]:
+    """``all_metrics`` of each of n labelings of points (id, clusters array<int>, x); distances are taken once."""
+    means = {r["labeling"]: r["s"] for r in silhouettes_of_labelings(pts).groupBy("labeling").agg(F.avg("silhouette").alias("s")).collect()}
+    return [_from_centroids(pts.select("id", F.get("clusters", F.lit(i)).alias("cluster"), "x")) | {"silhouette": means.get(i)} for i in range(n)]
 
 
 def _pairs(n: Column) -> Column:

@@ -54,11 +54,18 @@ def _choose(*cases: tuple[Column, str], otherwise: str | None = None) -> Column:
     return out
 
 
-def reading(profiles: DataFrame) -> Column:
-    """A sentence on a cluster: level, variability, peaks, time of day, weekends."""
+def reading(profiles: DataFrame, *, older: bool = False) -> Column:
+    """A sentence on a cluster: level, variability, peaks, time of day, weekends.
+
+    ``older`` takes the weekend ratio as the share of rows on weekends, as the older rules do.
+    """
     use, cv, peak = _of(profiles, "avg_consumption", 0.0), _of(profiles, "avg_cv", 0.0), _of(profiles, "avg_peak_to_avg", 1.0)
     morning, evening, night = (_of(profiles, f"{p}_usage", 0.0) for p in ("morning", "evening", "night"))
-    weekend = _of(profiles, "weekend_ratio", 1.0)
+    weekend = _of(profiles, "weekend_ratio", 0.0 if older else 1.0)
+    if older:
+        days = ((weekend > 0.6, "and higher weekend activity"), (weekend < 0.4, "and higher weekday activity"))
+    else:
+        days = ((weekend > 1.15, "and weekend-oriented energy intensity"), (weekend < 0.85, "and weekday-oriented energy intensity"))
     return F.concat_ws(
         " ",
         _choose((use < 1.0, "Low consumption consumers"), (use < 1.5, "Moderate consumption consumers"), otherwise="High consumption consumers"),
@@ -69,31 +76,39 @@ def reading(profiles: DataFrame) -> Column:
             ((evening > morning) & (evening > night), "with evening-heavy usage"),
             ((night > morning) & (night > evening), "with night-heavy usage"),
         ),
-        _choose((weekend > 1.15, "and weekend-oriented energy intensity"), (weekend < 0.85, "and weekday-oriented energy intensity")),
+        _choose(*days),
     )
 
 
-def advice(profiles: DataFrame) -> Column:
-    """Recommendations of a cluster in one text, separated by ``; ``; empty if no rule applies."""
+def advice(profiles: DataFrame, *, older: bool = False) -> Column:
+    """Recommendations of a cluster in one text, separated by ``; ``; empty if no rule applies.
+
+    ``older`` has lower thresholds, no rule on weekends and three texts for every cluster.
+    """
+    much, varying, peaks, later = (1.5, 0.5, 2.0, 1.0) if older else (2.0, 0.6, 2.5, 1.5)
     use, cv, peak = _of(profiles, "avg_consumption", 0.0), _of(profiles, "avg_cv", 0.0), _of(profiles, "avg_peak_to_avg", 1.0)
     morning, evening, weekend = _of(profiles, "morning_usage", 0.0), _of(profiles, "evening_usage", 0.0), _of(profiles, "weekend_ratio", 0.0)
     return F.concat_ws(
         "; ",
-        _choose((use > 2.0, "Consider energy efficiency audits to identify reduction opportunities; Evaluate equipment upgrades for more efficient alternatives")),
-        _choose((cv > 0.6, "Implement load monitoring to understand usage patterns; Consider energy storage to smooth demand fluctuations")),
+        _choose((use > much, "Consider energy efficiency audits to identify reduction opportunities; Evaluate equipment upgrades for more efficient alternatives")),
+        _choose((cv > varying, "Implement load monitoring to understand usage patterns; Consider energy storage to smooth demand fluctuations")),
         _choose(
-            (peak > 2.5, "Implement peak-load shifting strategies; Consider demand-response programs to reduce peak charges; Schedule high-energy tasks during off-peak hours")
+            (peak > peaks, "Implement peak-load shifting strategies; Consider demand-response programs to reduce peak charges; Schedule high-energy tasks during off-peak hours")
         ),
-        _choose(((evening > morning * 1.5) & (evening > 0.5), "Consider shifting evening loads to earlier hours; Implement smart scheduling for appliances")),
-        _choose(
+        _choose(((evening > morning * later) & (evening > 0.5), "Consider shifting evening loads to earlier hours; Implement smart scheduling for appliances")),
+        F.lit(
+            "Install smart meters for real-time consumption monitoring; Set up automated alerts for unusual consumption patterns; Consider renewable energy integration where feasible"
+        )
+        if older
+        else _choose(
             (weekend > 1.2, "Weekend-dominant usage: Consider time-of-use optimization"),
             (weekend < 0.8, "Weekday-dominant usage: Consider weekend load shifting"),
         ),
     )
 
 
-def cluster_insights(profiles: DataFrame) -> DataFrame:
-    return profiles.select("cluster", reading(profiles).alias("interpretation"), advice(profiles).alias("recommendations"))
+def cluster_insights(profiles: DataFrame, *, older: bool = False) -> DataFrame:
+    return profiles.select("cluster", reading(profiles, older=older).alias("interpretation"), advice(profiles, older=older).alias("recommendations"))
 
 
 def name(profiles: DataFrame, population: Column) -> Column:

@@ -5,21 +5,23 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import platform
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
 import pyspark
 from pyspark.ml.clustering import KMeansModel
+from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsift.operators import clustering, exploration, features, profiling
 from gridsift.operators.cleaning import clean
-from gridsift.operators.scaling import Components, fit_components
+from gridsift.operators.scaling import Components, Scaler, fit_components
 from gridsift.plans import reports
-from gridsift.schema import ARCHETYPE, KEY
+from gridsift.schema import ARCHETYPE, KEY, TIME
 from gridsift.sources.generator import synthetic_panel
-from gridsift.sources.tables import write_csv
+from gridsift.sources.tables import exists, write_csv
 
 
 @dataclass(frozen=True)
@@ -61,6 +63,7 @@ class Analysis:
     insights: DataFrame
     recommendations: DataFrame
     stability: dict | None
+    source: str = "synthetic panel"
     metric_of: dict[int, dict] = field(default_factory=dict)
     kept: list[DataFrame] = field(default_factory=list)
 
@@ -86,12 +89,16 @@ class Analysis:
         }
 
     def metadata(self) -> dict:
-        return self.summary() | {
+        summary = self.summary()
+        return summary | {
             "features": self.feature_names,
             "variance": self.settings.variance,
             "seed": self.settings.seed,
             "name": self.settings.name,
-            "versions": {"pyspark": pyspark.__version__},
+            "data_source": self.source,
+            "n_consumers": sum(summary["cluster_sizes"]),
+            "n_days": self.cleaned.agg(F.count_distinct(F.to_date(TIME))).first()[0] if TIME in self.cleaned.columns else None,
+            "versions": versions(self.panel.sparkSession),
             "written_at": datetime.now(UTC).isoformat(),
         }
 
@@ -124,7 +131,8 @@ def analyse(spark: SparkSession, settings: Settings = Settings(), panel: DataFra
     found = {r["k"]: r.asDict() for r in table.collect()}
     out = Analysis(
         settings, raw, cleaned, own, components, scores, table, k, models[k], labels, profiles,
-        profiling.cluster_insights(profiles), profiling.recommendations(profiles), stable, found, [everything, scores],
+        profiling.cluster_insights(profiles), profiling.recommendations(profiles), stable,
+        "given panel" if panel is not None else "synthetic panel", found, [everything, scores],
     )
     if settings.output:
         save(spark, out, settings.output)
@@ -135,6 +143,11 @@ def save(spark: SparkSession, a: Analysis, folder: str) -> None:
     """Tables as CSV and Parquet by Spark, models by Spark ML; reports beside them if the folder is local."""
     write_csv(a.components.explained(spark), f"{folder}/metrics/explained_variance")
     write_csv(a.metrics, f"{folder}/metrics/clustering")
+    write_csv(evaluation(a), f"{folder}/metrics/evaluation")
+    write_csv(exploration.describe(a.cleaned), f"{folder}/reports/statistical_summary")
+    if ARCHETYPE in a.panel.columns:
+        checked = exploration.validate(a.panel)
+        write_csv(checked["statistics"], f"{folder}/metrics/archetype_statistics")
     write_csv(a.profiles, f"{folder}/reports/cluster_profiles")
     write_csv(a.insights, f"{folder}/reports/cluster_insights")
     write_csv(a.recommendations, f"{folder}/reports/recommendations")
@@ -144,10 +157,14 @@ def save(spark: SparkSession, a: Analysis, folder: str) -> None:
     a.model.write().overwrite().save(f"{folder}/models/kmeans")
     a.components.model.write().overwrite().save(f"{folder}/models/pca")
     spark.createDataFrame(a.components.scaler.to_rows(), "feature string, mean double, std double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/models/scaler")
+    chosen = [(a.components.n, a.components.signs)]
+    spark.createDataFrame(chosen, "n int, signs array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/models/components")
     spark.createDataFrame([(json.dumps(a.metadata(), indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/models/metadata")
     if "://" not in folder:
         os.makedirs(f"{folder}/reports", exist_ok=True)
         texts = {"recommendations.md": reports.recommendation_report(a.recommendations), "summary.md": reports.summary_report(a.summary(), a.profiles)}
+        if ARCHETYPE in a.panel.columns:
+            texts["validation.md"] = reports.validation_report(checked["overview"], checked["statistics"], checked["consumers"])
         for name, text in texts.items():
             with open(f"{folder}/reports/{name}", "w", encoding="utf-8") as f:
                 f.write(text)
@@ -161,6 +178,53 @@ def load_kmeans(folder: str) -> KMeansModel:
     return KMeansModel.load(f"{folder}/models/kmeans")
 
 
+def load_scaler(spark: SparkSession, folder: str) -> Scaler:
+    rows = spark.read.parquet(f"{folder}/models/scaler").collect()  # a row for each feature
+    return Scaler([r["feature"] for r in rows], [r["mean"] for r in rows], [r["std"] for r in rows])
+
+
+def load_components(spark: SparkSession, folder: str) -> Components:
+    row = spark.read.parquet(f"{folder}/models/components").first()
+    return Components(load_scaler(spark, folder), PCAModel.load(f"{folder}/models/pca"), list(row["signs"]), row["n"])
+
+
+def load_metadata(spark: SparkSession, folder: str) -> dict:
+    return json.loads("\n".join(r["value"] for r in spark.read.text(f"{folder}/models/metadata").collect()))
+
+
+def versions(spark: SparkSession) -> dict[str, str]:
+    """What a result depends on besides its settings."""
+    java = spark._jvm.java.lang.System.getProperty("java.version")
+    return {"pyspark": pyspark.__version__, "spark": spark.version, "java": java, "python": platform.python_version()}
+
+
+def evaluation(a: Analysis) -> DataFrame:
+    """One row: inertia, silhouette, ch and db of the labels that were chosen."""
+    found = a.metric_of[a.k]
+    return a.panel.sparkSession.createDataFrame([(a.k, *(float(found[c]) for c in ("inertia", "silhouette", "ch", "db")))], "k int, inertia double, silhouette double, ch double, db double")
+
+
+def cached(spark: SparkSession, settings: Settings, folder: str, panel: DataFrame | None = None, order: list[str] | None = None) -> tuple[dict[str, DataFrame], bool]:
+    """The tables of ``views``, and whether they were made now.
+
+    They are kept as Parquet below ``folder`` under the fingerprint of the settings, and read from
+    there when the same settings come again; the caller keeps one folder for each given panel.  The list of tables is written last, so a run
+    that broke off is made again.
+    """
+    home = f"{folder.rstrip('/')}/{settings.fingerprint()}"
+    done = f"{home}/_tables"
+    made = not exists(spark, f"{done}/_SUCCESS")
+    if made:
+        a = analyse(spark, settings, panel, order)
+        tables = views(a)
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{home}/{name}")
+        spark.createDataFrame([(name,) for name in tables], "name string").coalesce(1).write.mode("overwrite").parquet(done)
+        a.release()
+    names = [r["name"] for r in spark.read.parquet(done).collect()]
+    return {name: spark.read.parquet(f"{home}/{name}") for name in names}, made
+
+
 def views(a: Analysis, first_features: int = 12) -> dict[str, DataFrame]:
     """The tables behind each page of a dashboard."""
     spark = a.panel.sparkSession
@@ -179,6 +243,15 @@ def views(a: Analysis, first_features: int = 12) -> dict[str, DataFrame]:
     }
 
 
+def save_ablation(table: DataFrame, folder: str) -> None:
+    """The comparison of feature sets as CSV, and its report beside it if the folder is local."""
+    write_csv(table.withColumn("sizes", F.concat_ws(",", F.col("sizes").cast("array<string>"))), f"{folder}/reports/ablation_results")
+    if "://" not in folder:
+        os.makedirs(f"{folder}/reports", exist_ok=True)
+        with open(f"{folder}/reports/ablation.md", "w", encoding="utf-8") as f:
+            f.write(reports.ablation_report(table))
+
+
 def ablate(spark: SparkSession, settings: Settings = Settings(), panel: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
     """A row for each feature set: size, components, chosen K and its quality, stability, balance.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsift.queries import clusters, panels, tables
+from gridsift.queries import clusters, panels, tables, whole
 
-QUERIES = panels.QUERIES | tables.QUERIES | clusters.QUERIES
-ORACLES = panels.ORACLES | tables.ORACLES | clusters.ORACLES
+QUERIES = panels.QUERIES | tables.QUERIES | clusters.QUERIES | whole.QUERIES
+ORACLES = panels.ORACLES | tables.ORACLES | clusters.ORACLES | whole.ORACLES

@@ -54,10 +54,6 @@ def pca_explained(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_components(spark, d)[1].explained(spark))
 
 
-def pca_components_for_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(t, scaling.components_needed([r[3] for r in SWEEP], t * sum(r[3] for r in SWEEP))) for t in (0.3, 0.5, 0.95)], "threshold double, components int")
-
-
 def pca_loadings(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_components(spark, d)[1].loadings(spark))
 
@@ -169,7 +165,6 @@ QUERIES = {
     "standardize_features": standardize_features,
     "covariance_long": covariance_long,
     "pca_explained": pca_explained,
-    "pca_components_for_threshold": pca_components_for_threshold,
     "pca_loadings": pca_loadings,
     "pca_scores": pca_scores,
     "pca_projection": pca_projection,
@@ -283,7 +278,5 @@ ORACLES = {
     + " UNION ALL ".join(f"SELECT cluster, cluster_name, '{text}' AS recommendation, {evidence} AS evidence, '{p}' AS priority, '{c}' AS category, {o} AS o FROM n WHERE {rule}" for rule, text, evidence, p, c, o in _RULES)
     + ") SELECT cluster, cluster_name, recommendation, evidence, priority, category, CAST(row_number() OVER (PARTITION BY cluster ORDER BY o) AS INTEGER) AS rank FROM r",
     "cluster_balance": "SELECT round(min(n) / max(n), 6) + 0.0 AS balance FROM (SELECT count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label)",
-    "pca_components_for_threshold": f"""WITH {_SWEEP_SQL}, c AS (SELECT row_number() OVER (ORDER BY k) AS i, sum(db) OVER (ORDER BY k) / sum(db) OVER () AS share FROM s)
-        SELECT CAST(t AS DOUBLE) AS threshold, CAST(min(i) AS INTEGER) AS components FROM c, (VALUES (0.3), (0.5), (0.95)) v(t) WHERE share >= t GROUP BY t""",
 }
 assert set(BEHAVIORAL) >= set(_SCALED)

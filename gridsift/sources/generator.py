@@ -63,6 +63,17 @@ def _by_archetype(values: dict[str, object]) -> Column:
     return F.create_map(*(F.lit(x) for a, v in values.items() for x in (a, v)))[F.col(ARCHETYPE)]
 
 
+def perturbed(base: Column, noise: Column) -> Column:
+    """24 shares of one day plus noise, at least ``FLOOR`` before they are made to sum to one again."""
+    raw = F.zip_with(base, noise, lambda share, n: F.greatest(share + n, F.lit(FLOOR)))
+    return F.transform(raw, lambda v: v / F.aggregate(raw, F.lit(0.0), lambda s, x: s + x))
+
+
+def rolled(shape: Column, by: Column) -> Column:
+    """A day whose peaks come ``by`` hours later (earlier if negative), around midnight."""
+    return F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.get(shape, F.pmod(h - by, F.lit(24))))
+
+
 def consumers(spark: SparkSession, n: int, seed: int = 42, shares: dict[str, float] | None = None, perturbation: float = 0.15, max_shift: int = 2) -> DataFrame:
     """One row for each consumer: archetype, amplitude and its own 24 hourly shares.
 
@@ -82,18 +93,22 @@ def consumers(spark: SparkSession, n: int, seed: int = 42, shares: dict[str, flo
         named = F.when(place < bound, name).otherwise(named)
     out = ids.withColumn(ARCHETYPE, named).withColumn("amplitude", _between(_uniform(seed, "amplitude", F.col(KEY)), 0.8, 2.5))
     base = F.create_map(*(x for a in TEMPLATES for x in (F.lit(a), F.array(*map(F.lit, template(a))))))[F.col(ARCHETYPE)]
-    noisy = F.array(*(F.greatest(base[h] + perturbation * _normal(seed, f"shape{h}", F.col(KEY)), F.lit(FLOOR)) for h in range(24)))
-    out = out.withColumn("raw", noisy).withColumn("total", F.aggregate("raw", F.lit(0.0), lambda s, x: s + x))
+    noise = F.array(*(perturbation * _normal(seed, f"shape{h}", F.col(KEY)) for h in range(24)))
+    out = out.withColumn("base", base).withColumn("noise", noise).withColumn("own", perturbed(F.col("base"), F.col("noise")))
     shift = F.floor(_uniform(seed, "shift", F.col(KEY)) * (2 * max_shift + 1)).cast("int") - max_shift
-    rolled = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.get("raw", F.pmod(h - shift, F.lit(24))) / F.col("total"))
-    return out.select(KEY, ARCHETYPE, "amplitude", rolled.alias("shape"))
+    return out.select(KEY, ARCHETYPE, "amplitude", rolled(F.col("own"), shift).alias("shape"))
 
 
-def temperature(time: Column, seed: int) -> Column:
-    """The same for all consumers at a time."""
+def season(time: Column) -> Column:
+    """Temperature of a time by hour and day of the year."""
     day = 5.0 * F.sin(2.0 * math.pi * (F.hour(time) - 14) / 24.0)
     year = 5.0 * F.sin(2.0 * math.pi * (F.dayofyear(time) - 172) / 365.0)
-    return 20.0 + day + year + _normal(seed, "temperature", time)
+    return 20.0 + day + year
+
+
+def temperature(time: Column, seed: int) -> Column:
+    """The same for all consumers at a time."""
+    return season(time) + _normal(seed, "temperature", time)
 
 
 def synthetic_panel(spark: SparkSession, n_consumers: int = 500, n_days: int = 30, hourly: bool = True, seed: int = 42, shares: dict[str, float] | None = None) -> DataFrame:
@@ -143,3 +158,8 @@ def sinusoid_panel(spark: SparkSession, n_consumers: int = 500, n_days: int = 30
     value = level * F.exp(0.2 * _normal(seed, "noise", key, time))
     volts = F.when(_uniform(seed, "missing", key, time) >= 0.02, 230.0 + 5.0 * _normal(seed, "voltage", key, time))
     return rows.select(KEY, TIME, value.alias(VALUE), volts.alias("voltage_v"), temperature(time, seed).alias("temperature_c"))
+
+
+def legacy_panel(spark: SparkSession, n_consumers: int = 500, n_days: int = 30, hourly: bool = True, seed: int = 42) -> DataFrame:
+    """The older name and arguments of ``synthetic_panel``."""
+    return synthetic_panel(spark, n_consumers, n_days, hourly, seed)

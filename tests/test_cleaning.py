@@ -120,3 +120,18 @@ def test_exact_quantiles_match_numpy(spark, n):
         got = {r["probability"]: r["value"] for r in exact_quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.75, 1.0], ["g"]).where(F.col("g") == g).collect()}
         for p, v in got.items():
             assert v == pytest.approx(np.quantile(own, p))
+
+
+def test_fills_of_a_long_consumer_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from gridsift.operators.cleaning import fill, fill_ungrouped
+    from gridsift.schema import KEY, TIME, VALUE
+
+    rows = spark.range(100_000).select(F.lit(1).alias(KEY), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)").alias(TIME), F.when(F.col("id") == 50_000, 7.0).alias(VALUE))
+    began = time.time()
+    assert fill(rows, [VALUE]).where(f"{VALUE} = 7").count() == 100_000
+    assert fill_ungrouped(rows, [VALUE]).where(f"{VALUE} = 7").count() == 100_000
+    assert time.time() - began < 60
