@@ -1,7 +1,7 @@
 """Language identification: script ranges, per-word scores, Viterbi with a switching penalty.
 
-A word's script (from its first letter) narrows the candidate languages to those whose training
-words use it.  A word's score for a language is the sum of the log-probabilities of its hashed character
+The scripts of a word's letters narrow the candidate languages to those whose training words use
+one of them.  A word's score for a language is the sum of the log-probabilities of its hashed character
 n-grams, over the square root of their number.  Viterbi with a fixed cost of switching labels
 spans of words; a document's language is the one whose spans hold most letters.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,11 +58,19 @@ WORDS_KEPT = 200_000
 _FNV, _PRIME = 0x811C9DC5, 0x01000193
 
 
+@lru_cache(maxsize=65_536)
 def script_of(letter: str) -> str:
     code = ord(letter)
     return next((name for name, low, high in SCRIPTS if low <= code <= high), "other")
 
 
+def scripts_of(letters: str) -> tuple[str, ...]:
+    """Scripts of a word's letters; most words have one."""
+    if letters.isascii():
+        return ("latin",) if letters else ()
+    return tuple(sorted(set(map(script_of, letters))))
+
+
 def letters_of(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
@@ -116,7 +125,8 @@ def _emit(words: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         grams, scripts = np.zeros(BUCKETS), Counter()
         spelled = [(letters, n) for word, n in counted.items() if (letters := letters_of(word))]
         for letters, n in spelled:
-            scripts[script_of(letters[0])] += n
+            for script in scripts_of(letters):
+                scripts[script] += n
         for i in range(0, len(spelled), 20_000):
             part = spelled[i : i + 20_000]
             ids, owner = gram_ids([w for w, _ in part])
@@ -207,9 +217,9 @@ class Labeller:
         ids, owner = gram_ids(spelled)
         size = np.maximum(np.bincount(owner, minlength=len(words)), 1)
         score = np.stack([np.bincount(owner, row[ids], len(words)) for row in self.model.log_p], 1) / np.sqrt(size)[:, None]
-        scripts = [script_of(w[0]) if w else "" for w in spelled]
-        allowed = {s: self.model.by_script.get(s, np.zeros(n, bool)) for s in set(scripts)}
-        candidates = np.array([allowed[s] for s in scripts]).reshape(len(words), n)
+        scripts = [scripts_of(w) for w in spelled]
+        allowed = {found: np.any([np.zeros(n, bool), *(self.model.by_script[s] for s in found if s in self.model.by_script)], axis=0) for found in set(scripts)}
+        candidates = np.array([allowed[found] for found in scripts]).reshape(len(words), n)
         best = np.where(candidates, score, -np.inf).max(1, keepdims=True)
         known = candidates.any(1)
         score = np.where(candidates, score - np.where(known[:, None], best, 0), -2 * SWITCH_PENALTY)
