@@ -10,11 +10,13 @@ Insults are learned from labelled rows by sequential covering: again and again t
 word beginning that explains most toxic documents not yet explained, and hardly any other, joins
 the lexicon.  Copies of one document thus add nothing once it is explained.
 
-Bounds: at most about ``SAMPLE`` labelled rows are learned from (drawn by a hash of doc_id);
-the lexicon has at most ``LEXICON`` entries.
+Bound: at most about ``SAMPLE`` labelled rows are learned from (drawn by a hash of doc_id), which
+bounds the lexicon too.
 
 Defined results: a null or empty text has no match and gets the score of no match; rows are
-judged one by one; rows without a label are never learned from; with no labels, or labels of one
+judged one by one, repeated ones alike; a doc_id with several labels counts as toxic if one of them
+says so; of terms that explain equally much the longer one, then the one that sorts last, joins
+first; rows without a label are never learned from; with no labels, or labels of one
 kind only, the score is the share of toxic labels (0 without any).
 """
 
@@ -36,7 +38,6 @@ from gridsift.llm import common
 from gridsift.llm.language_id import letters_of
 
 SAMPLE = 20_000
-LEXICON = 2_000
 MIN_SUPPORT = 4
 #: A document is explained once so many of its terms are in the lexicon.
 COVERS = 3
@@ -51,7 +52,7 @@ NEGATION_REACH = 3
 TAGS = ["other", "insult", "threat", "target", "negation", "report"]
 MATCHES = ["plain", "aimed", "negated", "quoted", "threat"]
 _SEEDS = {
-    "threat": "kill murder destroy strangle stab shoot beat hurt",
+    "threat": "kill murder destroy strangle stab shoot beat hurt töten umbringen ermorden erschießen verprügeln tuer assassiner étrangler frapper matar asesinar golpear estrangular",
     "target": "you your he she they him her them this that these those du ihr sie er dieser tu vous il elle ils ce usted ella ellos este",
     "negation": "not no never nobody nicht kein keine nie ne pas jamais nunca",
     "report": "said says say wrote quoted claimed called sagt sagte schrieb dit disait dijo dice",
@@ -206,7 +207,7 @@ def cover(terms_of: list[set[str]], allowed: dict[str, float]) -> list[str]:
             holders[t].add(i)
     count = {t: len(d) for t, d in holders.items()}
     chosen, taken, wanted = [], set(), [COVERS] * len(terms_of)
-    while count and len(chosen) < LEXICON:
+    while count:
         best = max(count, key=lambda t: (count[t] * allowed[t], len(t), t))
         if count[best] < MIN_SUPPORT:
             break
@@ -246,7 +247,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from (doc_id, text) and (doc_id, toxic); the caller leaves held-out rows out."""
     common.ship(docs.sparkSession)
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / max(total, 1))
     rows = docs.select("doc_id", "text").join(F.broadcast(known.where(drawn)), "doc_id")  # about ``sample`` rows
