@@ -47,13 +47,58 @@ def test_rules(spark, host, path, rule, action):
     assert tuple(spark.createDataFrame([(host, path)], "h string, p string").select(r, a).first()) == (rule, action)
 
 
-def test_urls_are_judged_by_what_they_say(spark):
-    model = url_filter.train(url_filter.labelled_table(spark))
-    pages = spark.createDataFrame([(1, "http://shop.cheap-pills.biz/en/4", "x"), (2, "http://city-library.info/en/4", "y"), (3, None, None), (4, "h://" + "a" * 5000, None)], "page_id long, url string, host string")
-    out = {r["page_id"]: r for r in url_filter.judge(pages, model).collect()}
-    assert out[1]["verdict"] == "block" and out[2]["verdict"] == "allow" and out[1]["rule"] is None and len(out) == 4
-    assert out[3]["host"] == "" and out[4]["host"] == "a" * 5000
-    assert url_filter.judge(pages.where("false"), model).count() == 0
+@pytest.fixture(scope="module")
+def url_model(spark):
+    return url_filter.train(url_filter.labelled_table(spark))
+
+
+def test_urls_are_judged_by_what_they_say(spark, url_model):
+    pages = spark.createDataFrame([(1, "http://shop.casino-pills.biz/en/4", "x"), (2, "http://city-library.info/en/4", "y"), (3, None, None), (4, "h://" + "a" * 5000, None), (2, "http://city-library.info/en/4", "y")], "page_id long, url string, host string")
+    rows = url_filter.judge(pages, url_model).collect()
+    out = {r["page_id"]: r for r in rows}
+    assert out[1]["verdict"] == "block" and out[2]["verdict"] == "allow" and out[1]["rule"] is None and len(rows) == 5
+    assert out[3]["host"] == "" and out[4]["host"] == "a" * 5000 and len({tuple(r) for r in rows if r["page_id"] == 2}) == 1
+    assert url_filter.judge(pages.where("false"), url_model).count() == 0
+
+
+def test_held_out_urls(spark, url_model):
+    """Shapes, neighbours and zones that the labelled table has not."""
+    bad = "porn casino poker viagra pills warez keygen malware payday escort xxx betting".split()
+    good = "library museum weather garden recipe history school council chess hiking archive orchestra".split()
+    urls = [(f"https://{a}{mid}{b}.{zone}/{path}", label) for label, stems in ((1, bad), (0, good)) for stem in stems for a, mid, b, zone, path in ((stem, "", "life", "org.uk", "a/b"), ("top-", stem, "", "biz", "x?y=1"), ("", stem, "4u", "eu", f"start/{stem}"))]
+    urls += [(f"https://{name}.at/{i}", 0) for i, name in enumerate("ththnd anthor m.ththth lesdor quielan erande ondit verste unddas losque".split())]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] == "block" for r in url_filter.judge(pages, url_model, []).collect()}
+    hits = sum(got[i] and label for i, (_, label) in enumerate(urls))
+    assert hits / sum(got.values()) > 0.9 and hits / sum(label for _, label in urls) > 0.8
+
+
+def test_url_scores_equal_brute_force(spark, url_model):
+    from pyspark.ml.feature import HashingTF
+
+    hashing = HashingTF(numFeatures=url_filter.HASHED)
+    urls = ["https://a.b/c", "http://Wiki-casino.net/é/日本?x", "x://🙂.com/", "nothing", "h:///"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    weights, constant = url_model.coefficients.toArray(), url_model.intercept
+    for r in url_filter.judge(pages, url_model).collect():
+        grams = [f"{mark}{framed[i : i + n]}" for mark, framed in (("h:", f"^{r['host']}$"), ("p:", f"^{r['path']}$")) for n in url_filter.SIZES for i in range(len(framed) - n + 1)]
+        z = constant + sum(weights[hashing.indexOf(g)] for g in grams)
+        assert r["p_block"] == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-6)
+
+
+def test_very_long_urls_take_linear_time(spark, url_model):
+    import time
+
+    began = time.time()
+    assert url_filter.judge(spark.createDataFrame([(1, "h://x/" + "ab" * 200_000)], "page_id long, url string"), url_model).count() == 1
+    url_filter.judge(spark.createDataFrame([(1, "h://x/" + "ab" * 200_000)], "page_id long, url string"), url_model).collect()
+    assert time.time() - began < 60
+
+
+def test_rules_of_equal_length(spark):
+    r, a = url_filter.rule_for(F.col("h"), F.col("p"), [("allow", "b.c", "/"), ("block", "c", "/x/"), ("block", "c", "/y/")])
+    df = spark.createDataFrame([("b.c", "/x/"), ("c", "/y/")], "h string, p string")
+    assert [tuple(x) for x in df.select(r, a).collect()] == [("b.c/", "allow"), ("c/y/", "block")]
 
 
 def documents(spark):
@@ -94,6 +139,22 @@ def test_viterbi_matches_every_path():
         at += n
 
 
+def test_more_languages_than_a_byte_counts(spark):
+    letters = "abcdefghijklmnopqrst"
+    rows = [(i, f"{letters[i % 20]}{letters[i // 20]}{letters[i % 7]} " * 8, f"l{i:03d}") for i in range(200)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 200
+    out = language_id.predict(spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string"), model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) > 0.95 * len(out) and len(out) == 203
+
+
+def test_ties_go_to_the_first_language_and_words_may_mix_scripts(spark):
+    model = language_id.train(spark.createDataFrame([(1, "same words here", "b"), (2, "same words here", "a"), (3, "привет мир", "ru")], "doc_id long, text string, lang string"))
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(spark.createDataFrame([(1, "same words"), (2, "приветмирx"), (3, "xпривет мир")], "doc_id long, text string"), model).collect()}
+    assert out == {1: "a", 2: "ru", 3: "ru"}
+    assert language_id.scripts_of("abcяß日") == ("cyrillic", "han", "latin") and language_id.scripts_of("") == ()
+
+
 @pytest.mark.parametrize(
     ("text", "kinds"),
     [
@@ -122,6 +183,45 @@ def test_composition_equals_one_after_the_other():
     assert out == [("z", 6.0), ("x", 1.0), ("z", 3.0)]
 
 
+def test_cover_equals_the_plain_greedy_choice():
+    draw = np.random.default_rng(8)
+    names = [f"={w}" for w in ("alpha", "beta", "gamma", "delta", "epsil")] + ["alph", "epsi", "gamm", "zeta", "etaa"]
+    for _ in range(20):
+        terms = [set(draw.choice(names, draw.integers(0, 6), replace=False).tolist()) for _ in range(30)]
+        allowed = {t: float(draw.choice([0.9, 0.95, 0.99])) for t in names}
+        wanted, chosen = [toxicity.COVERS] * len(terms), []
+        while True:
+            left = {t: sum(t in own and w > 0 for own, w in zip(terms, wanted, strict=True)) for t in names if t not in chosen}
+            left = {t: n for t, n in left.items() if n >= toxicity.MIN_SUPPORT and not any(c != t and t.lstrip("=").startswith(c) and c[0] != "=" for c in chosen)}
+            if not left:
+                break
+            best = max(left, key=lambda t: (left[t] * allowed[t], len(t), t))
+            chosen.append(best)
+            wanted = [w - (best in own) for own, w in zip(terms, wanted, strict=True)]
+        assert toxicity.cover(terms, allowed) == chosen
+
+
+def test_logistic_fit_is_a_minimum():
+    draw = np.random.default_rng(9)
+    x = draw.normal(0, 1, (400, 3))
+    y = (draw.random(400) < 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.0] + 0.5)))).astype(float)
+    w = toxicity.fit_logistic(x, y)
+
+    def loss(v):
+        z = x @ v[:3] + v[3]
+        return np.logaddexp(0, z).sum() - y @ z + 0.5 * (v[:3] @ v[:3]) + 0.5e-6 * v[3] ** 2
+
+    assert all(loss(w) <= loss(w + step) for step in 1e-3 * np.r_[np.eye(4), -np.eye(4)]) and abs(w[0] - 1) < 0.5 and abs(w[1] + 2) < 0.5
+
+
+def test_labels_of_another_type_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, f"you blorgish fool{i}" if i % 2 else f"a calm day {i}") for i in range(40)] + [(1, "you blorgish fool1")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1)], "doc_id long, toxic long")
+    out = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(out) == 41 and all(r["tox_predicted"] == r["doc_id"] % 2 for r in out)
+    assert len({r["tox_score"] for r in out if r["doc_id"] == 1}) == 1
+
+
 def test_toxic_held_out_documents(spark):
     """At the largest scale: the smaller ones have a few toxic labels only, some of them wrong."""
     folder = "/root/testdata/sf0.1"
@@ -142,57 +242,63 @@ def test_toxicity_without_labels_and_clashing_columns(spark):
 
 
 def brute_katz(rows, order=2):
-    """Probabilities by the definitions, one n-gram at a time."""
+    """Probabilities by the definitions, one n-gram at a time, for any order."""
     words = lambda t: (t or "").encode().lower().split()
-    train = [words(t) for _, t, keep in rows if keep]
-    uni, bi, ctx = {}, {}, {}
-    for doc in train:
-        prev = "<s>"
-        for w in [*doc, "</s>"]:
-            uni[w] = uni.get(w, 0) + 1
-            bi[prev, w] = bi.get((prev, w), 0) + 1
-            ctx[prev] = ctx.get(prev, 0) + 1
-            prev = w
+    grams = {n: {} for n in range(1, order + 1)}
+    documents = 0
+    for _, text, keep in rows:
+        if keep:
+            documents += 1
+            tokens = ["<s>"] * (order - 1) + [*words(text), "</s>"]
+            for i in range(order - 1, len(tokens)):
+                for n in grams:
+                    gram = tuple(tokens[i - n + 1 : i + 1])
+                    grams[n][gram] = grams[n].get(gram, 0) + 1
+    uni = grams[1]
     total, types = sum(uni.values()), len(uni)
-    count = lambda table: np.array([sum(1 for v in table.values() if v == r) for r in range(katz.GOOD_TURING_MAX + 2)])
-    d1, d2 = katz.good_turing(count(uni)), katz.good_turing(count(bi))
+    factors = {n: katz.good_turing(np.array([sum(1 for v in table.values() if v == r) for r in range(katz.GOOD_TURING_MAX + 2)])) for n, table in grams.items()}
     cut = lambda c: min(c, katz.GOOD_TURING_MAX + 1)
-    kept = sum(c * d1[cut(c)] for c in uni.values()) / total
+    kept = sum(c * factors[1][cut(c)] for c in uni.values()) / total
     unknown = max(1 - kept, 1 / (total + 1))
     scale = (1 - unknown) / kept
-    p1 = lambda w: scale * uni[w] * d1[cut(uni[w])] / total if w in uni else unknown
-    held = {}
-    for (h, w), c in bi.items():
-        if c >= katz.MIN_COUNT:
-            held.setdefault(h, {})[w] = c * d2[cut(c)] / ctx[h]
 
-    def p2(w, h):
-        own = held.get(h, {})
-        s, weight = katz.backoff(np.array([sum(own.values())]), np.array([sum(p1(x) for x in own)]), np.array([max(ctx.get(h, 0), 1)]))
-        return float(own[w] * s[0]) if w in own else float(weight[0] * p1(w))
+    def context_count(h):
+        return documents if set(h) == {"<s>"} else grams[len(h)].get(h, 0)
+
+    held = {n: {} for n in range(2, order + 1)}
+    for n in held:
+        for gram, c in grams[n].items():
+            held[n].setdefault(gram[:-1], {})[gram[-1]] = c * factors[n][cut(c)] / context_count(gram[:-1])
+
+    def p(w, h):
+        if not h:
+            return scale * uni[w,] * factors[1][cut(uni[w,])] / total if (w,) in uni else unknown
+        own = held[len(h) + 1].get(h, {})
+        s, weight = katz.backoff(np.array([sum(own.values())]), np.array([sum(p(x, h[1:]) for x in own)]), np.array([max(context_count(h), 1)]))
+        return float(own[w] * s[0]) if w in own else float(weight[0] * p(w, h[1:]))
 
     out = {}
-    for i, t, _ in rows:
-        tokens, prev, score = [*words(t), "</s>"], "<s>", 0.0
-        for w in tokens:
-            score += math.log10(p2(w, prev))
-            prev = w
-        base = sum(math.log10((uni.get(w, 0) + 1) / (total + types + 1)) for w in tokens)
-        out[i] = (len(tokens), sum(w in uni for w in tokens), total, base, score)
-    vocabulary = [*uni, "never seen"]
-    sums = [sum(p2(w, h) for w in vocabulary) for h in [*list(ctx)[:40], "nowhere"]]
+    for i, text, _ in rows:
+        tokens = ["<s>"] * (order - 1) + [*words(text), "</s>"]
+        own = range(order - 1, len(tokens))
+        score = sum(math.log10(p(tokens[k], tuple(tokens[k - order + 1 : k]))) for k in own)
+        base = sum(math.log10((uni.get((tokens[k],), 0) + 1) / (total + types + 1)) for k in own)
+        out[i] = (len(own), sum((tokens[k],) in uni for k in own), total, base, score)
+    vocabulary = [*(w for (w,) in uni), "never seen"]
+    sums = [sum(p(w, h) for w in vocabulary) for h in [*list(held[order])[:20], ("nowhere",) * (order - 1)]]
     return out, sums
 
 
-def test_katz_matches_brute_force(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_matches_brute_force(spark, order):
     rng = np.random.default_rng(0)
     words = [f"v{int(x)}" for x in rng.zipf(1.4, 3000) if x < 200]
-    rows = [(i, " ".join(words[20 * i : 20 * i + 1 + i % 25]), i % 7 != 2) for i in range(80)] + [(900, None, True), (901, "", False), (902, "brand new", False), (903, "V1 v2\tv1", True)]
+    rows = [(i, " ".join(words[20 * i : 20 * i + 1 + i % 25]), i % 7 != 2) for i in range(60)] + [(900, None, True), (901, "", False), (902, "brand new", False), (903, "V1 v2\tv1", True)]
     df = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, score string")
     keep = F.col("doc_id").isin([i for i, _, k in rows if k])
-    want, sums = brute_katz(rows)
+    want, sums = brute_katz(rows, order)
     assert sums == pytest.approx([1.0] * len(sums))
-    got = katz.score(df, keep).collect()
+    got = katz.score(df, keep, order).collect()
     assert len(got) == len(rows)
     for r in got:
         n, known, total, base, score = want[r["doc_id"]]
@@ -200,6 +306,21 @@ def test_katz_matches_brute_force(spark):
         assert (r["base_score"], r["score"]) == pytest.approx((base, score))
 
 
+def test_katz_of_repeats_rows_without_id_and_long_texts(spark):
+    """Each row counts and scores; rows without id are not learned from, whatever their number."""
+    rows = [(1, "a b a"), (1, "a b a"), (1, "a b c"), (2, "b " * 60_000)] + [(None, f"a b x{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = katz.score(df, F.col("doc_id").isNotNull()).collect()
+    assert len(got) == len(rows) and {r["train_tokens"] for r in got} == {4 * 3 + 60_001}
+    assert [r["n_tokens"] for r in got if r["doc_id"] == 2] == [60_001] and sum(r["doc_id"] is None for r in got) == 50
+    assert len({r["score"] for r in got if r["doc_id"] == 1}) == 2
+
+
+def test_packed_numbers():
+    numbers = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 1000, np.uint64, endpoint=False))
+    assert np.array_equal(katz.unpacked(katz.packed(numbers)), numbers) and len(katz.unpacked(katz.packed(numbers[:0]))) == 0
+
+
 def test_katz_without_rows_or_training(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert katz.score(none, F.lit(True)).count() == 0

@@ -146,7 +146,7 @@ def test_mixing_meets_its_targets(spark):
 
 def test_margin_errors_show_sweeps_that_stop_short(spark):
     docs = mixing.with_levels(spark.read.parquet(f"{FOLDER}/documents.parquet"))
-    few, many = ({r["margin"]: r["error"] for r in mixing.margin_errors(mixing.cell_table(docs, sweeps=n)).collect()} for n in (1, mixing.SWEEPS))
+    few, many = ({r["margin"]: r["error"] for r in mixing.margin_errors(mixing.cell_table(docs, sweeps=n, most=n)).collect()} for n in (1, mixing.SWEEPS))
     assert set(many) == set(mixing.TEMPER) and max(many.values()) < 2e-3 and max(many.values()) < max(few.values())
 
 
@@ -159,6 +159,30 @@ def test_mixing_of_nulls_and_nothing(spark):
     assert mixing.mix(docs.where("false")).count() == 0
     targets = {"mix_lang": spark.createDataFrame([("en", 1.0)], "level string, share double")}
     assert mixing.mix(docs, targets).count() == 4
+    assert mixing.mix(docs, topic=F.col("source")).select("mix_topic").distinct().count() == 2
+
+
+def test_dominant_terms(spark):
+    cases = {"Government. government? parliament": "government", "zzzzzzzzzz aaaaaaaaaa": "aaaaaaaaaa", "short words only": "", "": "", None: None, "Überraschung, überraschung": "Überraschung"}
+    rows = spark.createDataFrame([(t,) for t in cases], "text string").select("text", mixing.dominant_term(F.col("text")).alias("term"), mixing.topic_of(F.col("text")).alias("topic")).collect()
+    assert {r["text"]: r["term"] for r in rows} == cases
+    assert all((r["topic"] is None) == (not r["term"]) for r in rows)
+
+
+def test_cells_that_are_too_many_to_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    want = sorted(tuple(r) for r in mixing.mix(docs).select("doc_id", "mix_probability", "mix_kept").collect())
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(mixing, "CELLS_PER_TASK", 50)
+    got = sorted(tuple(r) for r in mixing.mix(docs).select("doc_id", "mix_probability", "mix_kept").collect())
+    assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in want] and [b for _, b, _ in got] == pytest.approx([b for _, b, _ in want])
+
+
+def test_targets_that_contradict_are_reported(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s1"), (2, "c d", "de", "s2")], "doc_id long, text string, lang string, source string")
+    targets = {"mix_lang": spark.createDataFrame([("en", 0.9), ("de", 0.1)], "level string, share double"), "mix_source": spark.createDataFrame([("s1", 0.1), ("s2", 0.9)], "level string, share double")}
+    with pytest.warns(UserWarning, match="misses its target"):
+        mixing.cell_table(mixing.with_levels(docs), targets, most=36)
 
 
 def test_samples_are_distinct_and_decode(spark):
@@ -185,6 +209,77 @@ def test_all_segmentations_of_a_short_text(spark):
     assert perturbed == sorted(perturbed, reverse=True)
 
 
+def segmentations(text):
+    """All (ids, weight) of a text, piece by piece, from the library's own table of pieces."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=sampled_pieces.default_model())
+    size = own.get_piece_size()
+    pieces = {own.id_to_piece(i): i for i in range(size) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i))}
+    first = min(pieces.values())
+    spaced = "▁" + text.replace(" ", "▁")
+
+    def rest(at):
+        if at == len(spaced):
+            return [((), 1.0)]
+        out = []
+        for end in range(at + 1, len(spaced) + 1):
+            if (i := pieces.get(spaced[at:end])) is not None:
+                out += [((i, *ids), w / (i - first + 10.0)) for ids, w in rest(end)]
+        if spaced[at] not in pieces:
+            coded = tuple(own.piece_to_id(f"<0x{b:02X}>") for b in spaced[at].encode())
+            out += [((*coded, *ids), w * (size * np.e**2) ** -len(coded)) for ids, w in rest(at + 1)]
+        return out
+
+    return rest(0)
+
+
+@pytest.mark.parametrize("text", ["abc", "a bc", "héé", "x🙂y", "the cat"])
+def test_segmentations_equal_enumeration(spark, text):
+    rows = sampled_pieces.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), 3000).collect()
+    want = {}
+    for ids, w in segmentations(text):
+        want[ids] = want.get(ids, 0.0) + w
+    total = sum(want.values())
+    assert {tuple(r["ids"]) for r in rows} == set(want)
+    for r in rows:
+        assert np.exp(r["log_prob"]) == pytest.approx(want[tuple(r["ids"])] / total, rel=1e-4)
+
+
+def test_inclusion_scores(spark):
+    """The threshold of k samples is the score of the next one."""
+    docs = spark.createDataFrame([(i, "some words to cut") for i in range(20)], "doc_id long, text string")
+    of = lambda k: {(r["doc_id"], r["sample"]): r for r in sampled_pieces.encode(docs, k).collect()}
+    five, six = of(5), of(6)
+    for (doc, i), r in five.items():
+        assert r["ids"] == six[doc, i]["ids"]
+        x = r["log_prob"] - six[doc, 5]["perturbed"]
+        assert r["log_inclusion"] == pytest.approx(np.log(-np.expm1(-np.exp(x))), rel=1e-6, abs=1e-9)
+
+
+def test_samples_of_repeats_clashing_columns_long_texts_and_nothing(spark):
+    long = "lorem ipsum  dolor\n" * 4_000
+    docs = spark.createDataFrame([(1, long, 1), (1, long, 2), (None, "x", 3), (2, "y" * 6_000, 4)], "doc_id long, text string, ids int")
+    rows = sampled_pieces.encode(docs).collect()
+    assert all(r["round_trip"] for r in rows) and len(rows) == 8
+    assert len({(r["sample"], r["ids_crc32"]) for r in rows if r["doc_id"] == 1}) == 2
+    assert sampled_pieces.encode(docs.where("false")).count() == 0
+    assert [r["text"] for r in sampled_pieces.decode(spark.createDataFrame([(1, 0, None), (1, 1, [])], "doc_id long, sample int, ids array<int>")).collect()] == [None, ""]
+
+
+def test_few_lattices_are_kept(spark, monkeypatch):
+    lattices = sampled_pieces.Lattices(sampled_pieces.default_model(), 1.0)
+    texts = [f"word{i} of common{i % 7} kind" for i in range(300)]
+    want = sampled_pieces._rows(lattices, list(range(300)), texts, 2, 1)
+    monkeypatch.setattr(sampled_pieces, "UNITS_KEPT", 60)
+    small = sampled_pieces.Lattices(sampled_pieces.default_model(), 1.0)
+    for i in range(0, 300, 20):
+        got = sampled_pieces._rows(small, list(range(i, i + 20)), texts[i : i + 20], 2, 1)
+        for name in ("ids", "perturbed", "log_prob", "log_inclusion"):
+            assert got[name].to_pylist() == want[name].slice(2 * i, 40).to_pylist()
+    assert len(small.types) < 200
+
+
 def test_first_samples_follow_the_probabilities(spark):
     one = {tuple(r["ids"]): np.exp(r["log_prob"]) for r in sampled_pieces.encode(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), 500).collect()}
     rows = sampled_pieces.encode(spark.range(4000).selectExpr("id AS doc_id", "'abc' AS text"), 1).groupBy("ids").count().collect()

@@ -66,6 +66,27 @@ def test_run_gives_what_the_stages_give(spark, stages):
     assert got.count() == stages[5].count()
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeats, clashing columns, no rows at all."""
+    english = "the house and the garden of the people in the city with a long road"
+    rows = [(i, f"{english} number{i} with words{i} like these{i} and those{i}", "en", f"s{i % 3}", 10, "x") for i in range(40)]
+    rows += [(100, None, "en", "s0", 0, None), (101, "", None, None, 0, None), (None, english, "en", None, 3, None), (102, english, None, None, None, None), (102, english, None, None, None, None), (103, f"{english} " * 3_000, "en", "s1", 9, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.where("false"), FOLDER).count() == 0
+        kept = [r["doc_id"] for r in out.collect()]
+        assert set(kept) <= {r[0] for r in rows}
+        if name == "language_id":
+            assert not {100, 101} & set(kept) and kept.count(102) == 2
+        if name == "minhash_dedup":
+            assert None not in kept and {100, 101} <= set(kept)
+    last = corpus_pipeline.STAGES[4][1](spark, docs, FOLDER)
+    assert last.where("NOT round_trip").count() == 0 and last.select("doc_id").distinct().count() == len({r[0] for r in rows})
+
+
 def test_registry_names_each_operator_once():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
     assert numbers == list(range(1, 11)) and set(registry.ORACLES) <= set(registry.QUERIES)
