@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of
 ``docs``.  What a stage rejects is gone for the next one.
+
+Defined results: an empty table stays empty; extra columns pass through, but one named like a column
+that an operator adds holds the operator's value; texts are used whole, however long; rows that
+repeat a doc_id are judged one by one and alike, and near-duplicate removal keeps all rows of a
+doc_id that stays.  Null and empty texts have no language and go in the first stage; the stages
+after it would keep them.  Rows without doc_id go in near-duplicate removal, the first stage that
+needs an id.  Null language or source are levels of their own in mixing.
 """
 
 from __future__ import annotations
@@ -59,5 +66,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
