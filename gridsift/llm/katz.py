@@ -1,7 +1,7 @@
 """Language-model scoring by Katz backoff with Good-Turing discounts.
 
 Tokens are the words of a text and one end.  Documents are cut into blocks of about
-``BLOCK_BYTES`` by ranges of doc_id.
+``BLOCK_BYTES`` by ranges of doc_id.  Texts travel packed, many in one compressed row.
 
 1. A block asks for each n-gram it holds, by 64-bit hash: its distinct n-grams of every order,
    with their counts in training documents, go to the reducer of their hash range.
@@ -19,7 +19,9 @@ leave at order 1.  Everything that grows with the corpus stays in partitioned ta
 
 Defined results: a null or empty text has the end as its only token; rows are scored one by one,
 so repeated rows count and score like any others; without training tokens every probability is
-that of the unknown type, 1.  Rows without doc_id belong to no fold and are not learned from.
+that of the unknown type, 1.  Rows without doc_id belong to no fold and are not learned from; they
+are dealt to all blocks by their texts.  Texts are used whole, however long; other columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,6 +83,15 @@ def _cuts(ordered: np.ndarray, buckets: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(ordered, edges), len(ordered)]
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as differences, byte plane by byte plane: the upper planes are zeros, which compress."""
+    return np.diff(hashes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _request_rows(block: int, texts: list, train: list[bool], order: int, buckets: int) -> Iterator[tuple]:
     grams = Grams(texts, order)
     learned = np.array(train, bool)[grams.doc]
@@ -91,7 +102,7 @@ def _request_rows(block: int, texts: list, train: list[bool], order: int, bucket
         for b in range(buckets):
             if cuts[b] < cuts[b + 1]:
                 part = slice(cuts[b], cuts[b + 1])
-                yield n, b, block, distinct[part].tobytes(), counts[part].tobytes()
+                yield n, b, block, packed(distinct[part]), counts[part].tobytes()
 
 
 _REQUEST = "n int, bucket int, block int, hashes binary, counts binary"
@@ -141,7 +152,7 @@ def _answer_counts(key: tuple, table: pa.Table) -> pa.Table:
     n, bucket = key[0].as_py(), key[1].as_py()
     asked = {}
     for block, parts in _by_block(table, "hashes", "counts").items():
-        hashes = np.concatenate([np.frombuffer(h, "<u8") for h, _ in parts])
+        hashes = np.concatenate([unpacked(h) for h, _ in parts])
         counts = np.concatenate([np.frombuffer(c, "<u4") for _, c in parts])
         asked[block] = (hashes, counts)
     every = np.concatenate([h for h, _ in asked.values()])
@@ -152,9 +163,9 @@ def _answer_counts(key: tuple, table: pa.Table) -> pa.Table:
     rows = []
     for block, (hashes, _) in asked.items():
         place = np.searchsorted(distinct, np.unique(hashes))
-        rows.append(("answer", n, bucket, block, total[place].astype("<u4").tobytes(), np.packbits(owner[place] == block).tobytes()))
+        rows.append(("answer", n, bucket, block, total[place].astype("<u8").tobytes(), np.packbits(owner[place] == block).tobytes()))
     kept = total >= (1 if n == 1 else MIN_COUNT)
-    rows.append(("table", n, bucket, -1, total[kept].astype("<u4").tobytes(), distinct[kept].astype("<u8").tobytes()))
+    rows.append(("table", n, bucket, -1, total[kept].astype("<u8").tobytes(), packed(distinct[kept])))
     seen = total[total > 0]
     stats = np.r_[np.bincount(np.minimum(seen, GOOD_TURING_MAX + 2), minlength=GOOD_TURING_MAX + 3)[: GOOD_TURING_MAX + 2], len(seen), seen.sum()]
     rows.append(("stats", n, bucket, -1, stats.astype("<i8").tobytes(), b""))
@@ -220,8 +231,8 @@ class Evaluator:
         for n in range(1, d.order + 1):
             self.distinct[n], self.place[n] = np.unique(self.g.grams[n], return_inverse=True)
             own = sorted(rows.get(("answer", n), []))
-            self.totals[n] = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(t, "<u4") for _, t, _ in own)]).astype(np.int64)
-            self.owned[n] = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(m, np.uint8), count=len(t) // 4).astype(bool) for _, t, m in own)])
+            self.totals[n] = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(t, "<i8") for _, t, _ in own)])
+            self.owned[n] = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(m, np.uint8), count=len(t) // 8).astype(bool) for _, t, m in own)])
         for n in range(2, d.order + 1):
             if sums := sorted(rows.get(("sums", n), [])):
                 self.sums[n] = tuple(np.concatenate([np.frombuffer(row[k], "<f8") for row in sums]) for k in (1, 2))
@@ -275,22 +286,22 @@ def backoff(higher: np.ndarray, lower: np.ndarray, count: np.ndarray) -> tuple[n
 _ANSWER = "kind string, n int, bucket int, block int, totals binary, more binary"
 
 
-def _ask_sums(texts: pa.Table, answers: pa.Table, d: Discounts, n: int) -> pa.Table:
+def _ask_sums(packs: pa.Table, answers: pa.Table, d: Discounts, n: int) -> pa.Table:
     kinds = [("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("higher", pa.binary()), ("lower", pa.binary())]
-    if not texts.num_rows:
+    if not packs.num_rows:
         return pa.Table.from_batches([_table([], kinds)])
-    contexts, higher, lower = Evaluator(common.text_bytes(texts.column("text")), answers, d).context_sums(n)
-    cuts, block, rows = _cuts(contexts, d.buckets), texts.column("block")[0].as_py(), []
+    contexts, higher, lower = Evaluator(_unpack_texts(packs)[1], answers, d).context_sums(n)
+    cuts, block, rows = _cuts(contexts, d.buckets), packs.column("block")[0].as_py(), []
     for b in range(d.buckets):
         part = slice(cuts[b], cuts[b + 1])
         if cuts[b] < cuts[b + 1]:
-            rows.append((b, block, contexts[part].tobytes(), higher[part].tobytes(), lower[part].tobytes()))
+            rows.append((b, block, packed(contexts[part]), higher[part].tobytes(), lower[part].tobytes()))
     return pa.Table.from_batches([_table(rows, kinds)])
 
 
 def _answer_sums(key: tuple, table: pa.Table, n: int) -> pa.Table:
     bucket = key[0].as_py()
-    asked = {b: [np.frombuffer(x, k) for x, k in zip(parts[0], ("<u8", "<f8", "<f8"), strict=True)] for b, parts in sorted(_by_block(table, "hashes", "higher", "lower").items())}
+    asked = {b: [unpacked(parts[0][0]), *(np.frombuffer(x, "<f8") for x in parts[0][1:])] for b, parts in sorted(_by_block(table, "hashes", "higher", "lower").items())}
     every = np.concatenate([v[0] for v in asked.values()])
     distinct, at = np.unique(every, return_inverse=True)
     sums = [np.bincount(at, np.concatenate([v[k] for v in asked.values()]), len(distinct)) for k in (1, 2)]
@@ -302,20 +313,61 @@ def _answer_sums(key: tuple, table: pa.Table, n: int) -> pa.Table:
     return pa.Table.from_batches([_table(rows, kinds)])
 
 
-def _evaluate(texts: pa.Table, answers: pa.Table, d: Discounts) -> pa.Table:
+def _evaluate(packs: pa.Table, answers: pa.Table, d: Discounts) -> pa.Table:
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
     kinds = [(c, pa.float64() if "score" in c else pa.int64()) for c in names]
-    if not texts.num_rows:
+    if not packs.num_rows:
         return pa.Table.from_batches([_table([], kinds)])
-    e = Evaluator(common.text_bytes(texts.column("text")), answers, d)
-    docs, owner = texts.num_rows, e.g.doc
+    ids, texts = _unpack_texts(packs)
+    e = Evaluator(texts, answers, d)
+    docs, owner = len(texts), e.g.doc
     count = e.totals[1][e.place[1]]
     base = np.log10((count + 1.0) / (d.tokens + d.types + 1.0))
     score = np.log10(e.probability(d.order))
-    columns = [texts.column("doc_id").combine_chunks(), e.g.sizes, np.bincount(owner, count > 0, docs).astype(np.int64), np.bincount(owner, base, docs), np.bincount(owner, score, docs)]
+    columns = [ids, e.g.sizes, np.bincount(owner, count > 0, docs).astype(np.int64), np.bincount(owner, base, docs), np.bincount(owner, score, docs)]
     return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
+def packs_of(docs: DataFrame) -> DataFrame:
+    """(block, pack): the ids and texts of a block, some megabytes in a row, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = [(block, _pack_texts(pa.Table.from_batches(parts))) for block, parts in held.items()]
+            held.clear()
+            yield _table(rows, [("block", pa.int32()), ("pack", pa.binary())])
+
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            rows = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
+            for block in np.unique(blocks):
+                held.setdefault(int(block), []).append(rows.filter(pa.array(blocks == block)))
+            size += batch.nbytes
+            if size > 6 * FLUSH_TOKENS:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return docs.select("block", "doc_id", "text").mapInArrow(run, "block int, pack binary")
+
+
+def _pack_texts(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack_texts(packs: pa.Table) -> tuple[pa.Array, list[bytes | None]]:
+    """Ids and texts of a block, in one order however its packs come."""
+    parts = [pa.ipc.open_stream(p).read_all() for p in sorted(packs.column("pack").to_pylist())]
+    table = pa.concat_tables(parts).combine_chunks()
+    return table.column("doc_id").combine_chunks(), common.text_bytes(table.column("text"))
+
+
 def with_blocks(docs: DataFrame, train) -> tuple[DataFrame, int, int]:
     """``docs`` with block and train columns, the number of blocks and of training documents.
 
@@ -330,8 +382,9 @@ def with_blocks(docs: DataFrame, train) -> tuple[DataFrame, int, int]:
     edges = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
     edges = sorted({int(e) for e in edges})
     place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("doc_id"))) if edges else F.lit(0)
-    block = place * within + F.pmod(F.xxhash64("doc_id"), F.lit(within))
-    return docs.select("doc_id", "text", F.coalesce(block, F.lit(0)).cast("int").alias("block"), train.alias("train")), ranges * within, facts["train"] or 0
+    block = place * within + F.pmod(F.xxhash64("doc_id", "text"), F.lit(within))
+    block = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(ranges * within))).otherwise(block)
+    return docs.select("doc_id", "text", block.cast("int").alias("block"), train.alias("train")), ranges * within, facts["train"] or 0
 
 
 def score(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
@@ -345,7 +398,7 @@ def score(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
     answers = common.materialise(asked.groupBy("n", "bucket").applyInArrow(_answer_counts, _ANSWER), "katz-counts", "kind")
     stats = answers.where("kind = 'stats'").select("n", "totals").collect()  # a few numbers for each range
     d = _discounts(stats, order, blocks, documents)
-    texts = docs.select("doc_id", "text", "block").groupBy("block")
+    texts = packs_of(docs).groupBy("block")
     known = answers.where("kind = 'answer'").select(*(c.split()[0] for c in _ANSWER.split(", ")))
     for n in range(2, order + 1):
         known = known.union(_backoff_sums(texts, known, d, n))
