@@ -8,12 +8,13 @@ compared in double precision, in blocks (small buckets many at a time); a pair i
 bucket where it meets, so no pair list is shuffled.  Blocks bound the rows of a task, whatever
 the size of a bucket.
 
-Equal vectors with equal labels form one class and are compared once.
+Equal vectors with equal labels form one class and are compared once.  Classes are found, and rows
+matched with them, by salted keys, so a vector that very many rows share is spread over tasks.
 
-Defined results: vectors that are null, zero, of another length than most of their label's
-bucket mates, or hold null or non-finite components, and those without a label, link with
-nothing: n_links 0, their own component.  Rows that repeat a vec_id keep the smallest vector.
-An empty table gives an empty result.
+Defined results: vectors that are null, zero or hold null or non-finite components, and those
+without a label, link with nothing: n_links 0, their own component; vectors of different lengths
+do not link with each other.  Rows that repeat a vec_id keep the smallest vector, rows without one
+are left out; other columns are ignored, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ ROTATIONS = 3
 #: Rows of a block of a bucket; a comparison takes two blocks.
 BLOCK = 512
 #: Rows of small buckets that a task takes at a time.
-SLOT = 4_000
+SLOT = 1_000
+#: Parts of the rows that share one vector.
+SALTS = 32
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -80,34 +83,44 @@ def codes(unit: np.ndarray, tables: int = TABLES, seed: int = 11) -> np.ndarray:
     return out
 
 
-def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision by row length, and which rows they are of."""
-    vectors = column.to_pylist()
-    good = [i for i, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and np.any(v)]
-    return good, [np.asarray(vectors[i], float) / np.linalg.norm(np.asarray(vectors[i], float) / np.abs(vectors[i]).max()) / np.abs(vectors[i]).max() for i in good]
+def unit_rows(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Which rows can be compared, and by length of a row: their positions and unit vectors in double precision."""
+    ends = column.offsets.to_numpy()
+    size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+    inner = column.values.slice(ends[0], ends[-1] - ends[0])
+    flat = inner.to_numpy(zero_copy_only=False).astype(np.float64)
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat) | ~inner.is_valid().to_numpy(zero_copy_only=False))])
+    begin = ends[:-1] - ends[0]
+    fine = (size > 0) & (bad[begin + size] == bad[begin])
+    found, good = {}, np.zeros(len(column), bool)
+    for dim in np.unique(size[fine]):
+        at = np.flatnonzero(fine & (size == dim))
+        x = flat[begin[at][:, None] + np.arange(dim)]
+        top = np.abs(x).max(1)
+        at, x = at[top > 0], x[top > 0] / top[top > 0, None]
+        found[int(dim)] = (at, x / np.linalg.norm(x, axis=1, keepdims=True))
+        good[at] = True
+    return good, found
 
 
 def hashed(classes: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(rep, label, weight, unit, buckets) of every class whose vector can be compared."""
+    """(rep, label, weight, embedding, buckets) of every class whose vector can be compared."""
     common.ship(classes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, units = _unit_rows(batch.column("embedding"))
-            kept = batch.take(pa.array(good, pa.int64()))
-            buckets: list = [None] * len(good)
-            for dim in {len(u) for u in units}:
-                at = [i for i, u in enumerate(units) if len(u) == dim]
-                for i, row in zip(at, codes(np.stack([units[i] for i in at]), tables), strict=True):
-                    buckets[i] = row.ravel()
-            yield pa.RecordBatch.from_arrays(
-                [kept.column("rep"), kept.column("label"), kept.column("weight"), pa.array(units, pa.list_(pa.float64())), pa.array(buckets, pa.list_(pa.int64()))],
-                ["rep", "label", "weight", "unit", "buckets"],
-            )
-
-    kind = classes.schema["label"].dataType.simpleString()
+            good, units = unit_rows(batch.column("embedding"))
+            buckets = np.zeros((batch.num_rows, tables * (1 + HASHES)), np.int64)
+            for at, x in units.values():
+                buckets[at] = codes(x, tables).reshape(len(at), -1)
+            kept = batch.filter(pa.array(good))
+            ends = np.arange(kept.num_rows + 1, dtype=np.int32) * buckets.shape[1]
+            places = pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets[good].ravel()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("rep", "label", "weight", "embedding")), places], ["rep", "label", "weight", "embedding", "buckets"])
+
+    kinds = {c: classes.schema[c].dataType.simpleString() for c in ("label", "embedding")}
     return classes.select("rep", "label", "weight", "embedding").mapInArrow(
-        run, f"rep long, label {kind}, weight long, unit array<double>, buckets array<long>"
+        run, f"rep long, label {kinds['label']}, weight long, embedding {kinds['embedding']}, buckets array<long>"
     )
 
 
@@ -151,13 +164,14 @@ def _pairs_of(t: int, bucket: int, own: np.ndarray, other: np.ndarray, x: np.nda
 def _compare(table: pa.Table, threshold: float, probes: int) -> pa.Table:
     """Links found in a slot of buckets: for each class the weight of new neighbours, and forest edges."""
     rows = table.combine_chunks().sort_by([(c, "ascending") for c in ("t", "label", "bucket", "i", "j")])
-    units, hashes = (rows.column(c).combine_chunks() for c in ("unit", "buckets"))
+    vectors, hashes = (rows.column(c).combine_chunks() for c in ("embedding", "buckets"))
     t, bucket, block, bi, bj, rep, weight = (rows.column(c).to_numpy() for c in ("t", "bucket", "block", "i", "j", "rep", "weight"))
     code = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-    ends = units.offsets.to_numpy()
-    size, flat = np.diff(ends), units.values.to_numpy()
-    x = np.zeros((len(rep), size.max(initial=0)))
-    x[np.arange(x.shape[1]) < size[:, None]] = flat[ends[0] : ends[-1]]
+    _, units = unit_rows(vectors)
+    size, x = np.zeros(len(rep), np.int64), np.zeros((len(rep), max(units, default=0)))
+    for dim, (at, unit) in units.items():
+        size[at] = dim
+        x[at, :dim] = unit
     starts = hashes.offsets.to_numpy()
     buckets = hashes.values.to_numpy()[starts[0] : starts[-1]].reshape(len(rep), -1, probes)
     keys = np.stack([t, code, bucket, bi, bj])
@@ -191,9 +205,11 @@ def link(vectors: DataFrame, threshold: float = MIN_COSINE, tables: int = TABLES
     count = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("d")).first()
     if count["n"] != count["d"]:
         rows = rows.groupBy("vec_id").agg(F.min(F.struct("embedding", "label")).alias("r")).select("vec_id", "r.*")
-    classes = rows.where("label IS NOT NULL AND embedding IS NOT NULL").groupBy("label", "embedding").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")
-    )
+    # A first step by salted keys: what of it belongs to one class is at most SALTS rows.
+    parts = rows.where("label IS NOT NULL AND embedding IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
+    local = parts.groupBy("label", "embedding", "salt").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight"))
+    local = common.materialise(local, "embedding-parts")
+    classes = local.groupBy("label", "embedding").agg(F.min("first").alias("rep"), F.sum("weight").alias("weight"))
     good = common.materialise(hashed(classes, tables), "embedding-classes")
     probes = 1 + HASHES
     spots = F.transform(F.sequence(F.lit(0), F.lit(tables * probes - 1)), lambda i: F.struct(F.floor(i / probes).cast("int").alias("t"), F.get("buckets", i).alias("bucket")))
@@ -219,8 +235,9 @@ def link(vectors: DataFrame, threshold: float = MIN_COSINE, tables: int = TABLES
     found = full.groupBy("slot").applyInArrow(compare, "a long, b long, links long")
     found = common.materialise(found, "embedding-links")
     counts = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("found"))
-    members = rows.join(classes.select("label", "embedding", "rep", "weight"), ["label", "embedding"]).join(good.select("rep"), "rep", "left_semi")
-    members = common.materialise(members.select("vec_id", "rep", "weight"), "embedding-members")
+    named = local.select("label", "embedding", "salt").join(good.select("label", "embedding", "rep", "weight"), ["label", "embedding"])
+    members = common.materialise(parts.join(named, ["label", "embedding", "salt"]).select("vec_id", "rep", "weight"), "embedding-members")
+    common.discard(local)
     components = connected_components(found.where("links = 0").select("a", "b"))
     linked = members.join(counts, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left").select(
         "vec_id",
