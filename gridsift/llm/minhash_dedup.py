@@ -22,7 +22,8 @@
 
 Defined results: a text without words, or null, has no shingle and links with nothing; one with
 fewer than ``WIDTH`` words has the whole sequence as its only shingle; texts are used whole;
-rows that repeat a doc_id count once, with the smallest text; rows without doc_id are left out.
+rows that repeat a doc_id count once, with the smallest text; rows without doc_id are left out; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ STAR_ROUNDS = 3
 #: Members of a block of a list in the last round, and members that a task takes at a time.
 BLOCK = 1_024
 SLOT = 4_000
+#: Parts of the texts that share one set.
+SALTS = 32
 #: Pairs whose sketches are compared at a time.
 _AT_ONCE = 8_192
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -291,8 +294,14 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     texts = common.unique_by_id(docs, "doc_id", "text").where("doc_id IS NOT NULL")
     sketched = common.materialise(sketches(texts, width), "sketches")
     same = ["n_shingles", "set_sum", "set_xor"]
-    classes = sketched.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    members = common.materialise(sketched.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    # By salted keys, so that a set that very many texts share is spread over tasks.
+    salted = sketched.select("doc_id", *same, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = salted.where("n_shingles > 0").groupBy(*same, "salt").agg(F.min("doc_id").alias("first"))
+    parts = common.materialise(parts, "equal-sets")
+    named = parts.select(*same, "salt").join(parts.groupBy(*same).agg(F.min("first").alias("rep")), same)
+    members = salted.join(named, [*same, "salt"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    members = common.materialise(members, "members")
+    common.discard(parts)
     reps = sketched.where("n_shingles > 0").join(members.select("doc_id", "rep").where("doc_id = rep"), "doc_id")
     reps = common.materialise(reps.select("rep", F.col("n_shingles").alias("n"), "keys", "sketch"), "classes")
     lists = common.materialise(inverted_lists(reps), "lists")
