@@ -13,7 +13,7 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -145,12 +145,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def text_bytes(column) -> list[bytes | None]:
-    """UTF-8 bytes of an Arrow string column."""
+def as_binary(column):
+    """UTF-8 bytes of an Arrow string column, as a column."""
     import pyarrow as pa
 
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return column.cast(kind).to_pylist()
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+
+
+def text_bytes(column) -> list[bytes | None]:
+    return as_binary(column).to_pylist()
+
+
+def portions(texts, size: int) -> Iterator[slice]:
+    """Stretches of about ``size`` bytes of an Arrow string column; a longer text is a stretch of its own."""
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            yield slice(a, b)
 
 
 def unique_by_id(docs: DataFrame, key: str, value: str) -> DataFrame:

@@ -32,6 +32,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,8 @@ GOOD_TURING_MAX = 5
 BLOCK_BYTES = 12_000_000
 MIN_BLOCKS = 64
 MAX_RANGES = 1024
-FLUSH_TOKENS = 2_500_000
+#: Text bytes that a task holds before it hands on what it made of them.
+FLUSH_BYTES = 15_000_000
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,18 +55,26 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 class Grams:
     """Hashes of the tokens and n-grams of some texts, one text after the other."""
 
-    def __init__(self, texts: list[bytes | None], order: int) -> None:
+    def __init__(self, texts: pa.Array, order: int) -> None:
         pads = order - 1
-        parts, sizes = [], []
-        pad = np.full(pads, START, np.uint64)
-        for text in texts:
-            own = common.word_hashes().of((text or b"").lower().split())
-            parts += [pad, own, [END]]
-            sizes.append(len(own) + 1)
-        flat = np.concatenate([np.zeros(0, np.uint64), *parts]).astype(np.uint64)
-        self.sizes = np.array(sizes, np.int64)
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        coded = split.flatten().dictionary_encode()
+        distinct = common.as_binary(coded.dictionary).to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+        which = coded.indices.to_numpy()
+        if b"" in distinct:  # around white space at the ends
+            filled = which != (empty := distinct.index(b""))
+            which, owner = which[filled] - (which[filled] > empty), owner[filled]
+            hashes = np.delete(hashes, empty)
+        self.sizes = np.bincount(owner, minlength=len(texts)) + 1
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         at = np.arange(len(self.doc)) + (self.doc + 1) * pads
+        self.table = np.append(hashes, END)
+        self.word = np.full(len(self.doc), len(hashes))
+        self.word[np.arange(len(which)) + owner] = which
+        flat = np.full(len(self.doc) + pads * len(texts), START, np.uint64)
+        flat[at] = self.table[self.word]
         self.first = np.zeros(len(self.doc), bool)
         self.first[np.cumsum(self.sizes) - self.sizes] = True
         self.grams, self.contexts = {1: flat[at]}, {}
@@ -77,6 +88,14 @@ class Grams:
                 shorter = longer
 
 
+    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted n-grams, and the place of each token's; words are sorted as a table, not token by token."""
+        if n == 1:
+            ordered, place = np.unique(self.table, return_inverse=True)
+            return ordered, place[self.word]
+        return np.unique(self.grams[n], return_inverse=True)
+
+
 def _cuts(ordered: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket, an equal range of hashes, begins in sorted hashes; then the length."""
     edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
@@ -92,11 +111,11 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _request_rows(block: int, texts: list, train: list[bool], order: int, buckets: int) -> Iterator[tuple]:
+def _request_rows(block: int, texts: pa.Array, train: list[bool], order: int, buckets: int) -> Iterator[tuple]:
     grams = Grams(texts, order)
-    learned = np.array(train, bool)[grams.doc]
+    learned = train[grams.doc]
     for n in range(1, order + 1):
-        distinct, at = np.unique(grams.grams[n], return_inverse=True)
+        distinct, at = grams.distinct(n)
         counts = np.bincount(at, learned, len(distinct)).astype("<u4")
         cuts = _cuts(distinct, buckets)
         for b in range(buckets):
@@ -117,22 +136,24 @@ def requests(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     kinds = [("n", pa.int32()), ("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, list[pa.RecordBatch]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for block, (texts, train) in held.items():
-                yield _table(list(_request_rows(block, texts, train, order, buckets)), kinds)
+            for block, parts in held.items():
+                table = pa.Table.from_batches(parts).combine_chunks()
+                texts, train = (table.column(c).combine_chunks() for c in ("text", "train"))
+                yield _table(list(_request_rows(block, texts, train.to_numpy(zero_copy_only=False), order, buckets)), kinds)
             held.clear()
 
         for batch in batches:
-            texts = common.text_bytes(batch.column("text"))
-            for text, block, train in zip(texts, batch.column("block").to_pylist(), batch.column("train").to_pylist(), strict=True):
-                own = held.setdefault(block, ([], []))
-                own[0].append(text)
-                own[1].append(train)
-                size += len(text or b"")
-                if size > 6 * FLUSH_TOKENS:
+            blocks = batch.column("block").to_numpy()
+            for at in common.portions(batch.column("text"), FLUSH_BYTES):
+                part, own = batch.slice(at.start, at.stop - at.start), blocks[at]
+                for block in np.unique(own):
+                    held.setdefault(int(block), []).append(part.filter(pa.array(own == block)))
+                size += part.nbytes
+                if size > FLUSH_BYTES:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -222,14 +243,14 @@ def _discounts(stats: list, order: int, buckets: int, documents: int) -> Discoun
 class Evaluator:
     """A block's n-grams with the answers to its requests."""
 
-    def __init__(self, texts: list[bytes | None], answers: pa.Table, d: Discounts) -> None:
+    def __init__(self, texts: pa.Array, answers: pa.Table, d: Discounts) -> None:
         self.d, self.g = d, Grams(texts, d.order)
-        self.totals, self.owned, self.place, self.distinct, self.sums = {}, {}, {}, {}, {}
+        self.totals, self.owned, self.place, self.distinct, self.sums, self.seen = {}, {}, {}, {}, {}, {}
         rows: dict[tuple, list] = {}
         for kind, n, bucket, totals, more in zip(*(answers.column(c).to_pylist() for c in ("kind", "n", "bucket", "totals", "more")), strict=True):
             rows.setdefault((kind, n), []).append((bucket, totals, more))
         for n in range(1, d.order + 1):
-            self.distinct[n], self.place[n] = np.unique(self.g.grams[n], return_inverse=True)
+            self.distinct[n], self.place[n] = self.g.distinct(n)
             own = sorted(rows.get(("answer", n), []))
             self.totals[n] = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(t, "<i8") for _, t, _ in own)])
             self.owned[n] = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(m, np.uint8), count=len(t) // 8).astype(bool) for _, t, m in own)])
@@ -239,9 +260,23 @@ class Evaluator:
 
     def context_counts(self, n: int) -> np.ndarray:
         """How often the context of each token's n-gram occurs in training."""
-        lower, totals = self.distinct[n - 1], self.totals[n - 1]
-        at = np.minimum(np.searchsorted(lower, self.g.contexts[n]), len(lower) - 1)
-        return np.where(self.g.first, self.d.documents, np.where(lower[at] == self.g.contexts[n], totals[at], 0))
+        before = np.roll(self.totals[n - 1][self.place[n - 1]], 1)
+        return np.where(self.g.first, self.d.documents, before)
+
+    def contexts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted contexts of order n, and the place of each token's: the n-gram one shorter that ends
+        at the token before it, or the padding for a first token."""
+        if n not in self.seen:
+            before, first = np.roll(self.place[n - 1], 1), self.g.first
+            used = np.zeros(len(self.distinct[n - 1]), bool)
+            used[before[~first]] = True
+            found, padding = self.distinct[n - 1][used], self.g.contexts[n][0]
+            cut = int(np.searchsorted(found, padding))
+            at = (np.cumsum(used) - 1)[before]
+            at += at >= cut
+            at[first] = cut
+            self.seen[n] = np.insert(found, cut, padding), at
+        return self.seen[n]
 
     def discounted(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Each token's discounted relative frequency at order n, and whether it is retained."""
@@ -257,7 +292,7 @@ class Evaluator:
         p, retained = self.discounted(n)
         if n == 1:
             return np.where(retained, p, self.d.unknown)
-        contexts, at = np.unique(self.g.contexts[n], return_inverse=True)
+        _, at = self.contexts(n)
         higher, lower = self.sums[n]
         count = np.maximum(self.context_counts(n), 1)
         scale, weight = backoff(higher[at], lower[at], count)
@@ -265,8 +300,9 @@ class Evaluator:
 
     def context_sums(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All contexts of order n with the sums over the retained n-grams that this block owns."""
-        contexts, at = np.unique(self.g.contexts[n], return_inverse=True)
-        _, where = np.unique(self.place[n], return_index=True)  # one token for each distinct n-gram
+        contexts, at = self.contexts(n)
+        where = np.zeros(len(self.distinct[n]), np.int64)  # one token for each distinct n-gram
+        where[self.place[n]] = np.arange(len(self.place[n]))
         p, retained = self.discounted(n)
         mine = where[retained[where] & self.owned[n][self.place[n][where]]]
         lower = self.probability(n - 1)
@@ -346,7 +382,7 @@ def packs_of(docs: DataFrame) -> DataFrame:
             for block in np.unique(blocks):
                 held.setdefault(int(block), []).append(rows.filter(pa.array(blocks == block)))
             size += batch.nbytes
-            if size > 6 * FLUSH_TOKENS:
+            if size > FLUSH_BYTES:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -361,11 +397,11 @@ def _pack_texts(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpack_texts(packs: pa.Table) -> tuple[pa.Array, list[bytes | None]]:
+def _unpack_texts(packs: pa.Table) -> tuple[pa.Array, pa.Array]:
     """Ids and texts of a block, in one order however its packs come."""
     parts = [pa.ipc.open_stream(p).read_all() for p in sorted(packs.column("pack").to_pylist())]
     table = pa.concat_tables(parts).combine_chunks()
-    return table.column("doc_id").combine_chunks(), common.text_bytes(table.column("text"))
+    return table.column("doc_id").combine_chunks(), table.column("text").combine_chunks()
 
 
 def with_blocks(docs: DataFrame, train) -> tuple[DataFrame, int, int]:
