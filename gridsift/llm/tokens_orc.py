@@ -156,15 +156,6 @@ class Encoder:
         return ids, own
 
 
-def portions(texts: pa.Array) -> Iterator[slice]:
-    """Stretches of about ``PORTION`` text bytes."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // PORTION
-    cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if a < b:
-            yield slice(a, b)
-
-
 def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID, *, plain_literals: bool = False) -> DataFrame:
     """(doc_id, ids) for every document, in the order and partitions of ``docs``."""
     common.ship(docs.sparkSession)
@@ -173,7 +164,7 @@ def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID, *, pl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = common.tenant(f"encoder {path} {plain_literals}", lambda: Encoder(path, plain_literals))
         for batch in batches:
-            for at in portions(batch.column("text")):
+            for at in common.portions(batch.column("text"), PORTION):
                 part = batch.slice(at.start, at.stop - at.start)
                 values, lengths = encoder.ids(part.column("text"), end_id)
                 ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
