@@ -203,8 +203,16 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE, topic: Column | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """``docs`` with tokens, levels, raked weight, probability and ``mix_kept``."""
-    levels = with_levels(docs.drop("mix_kept"), topic)
+    """``docs`` with tokens, levels, raked weight, probability and ``mix_kept``.
+
+    Levels are derived from the texts twice, for the cells and for the rows, so that texts need not
+    be stored; ``mix_levels`` takes levels that are stored.
+    """
+    return mix_levels(with_levels(docs.drop("mix_kept"), topic), targets, rate, sweeps)
+
+
+def mix_levels(levels: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE, sweeps: int = SWEEPS) -> DataFrame:
+    """``with_levels`` output with raked weight, probability and ``mix_kept``."""
     cells = cell_table(levels, targets, rate, sweeps)
     cells = cells.select("mix_source", "mix_lang", "mix_topic", F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"))
     keys = ["mix_source", "mix_lang", "mix_topic"]
@@ -217,7 +225,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: floa
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    mixed = mix_levels(common.materialise(with_levels(docs).drop("text", "lang", "source"), "levels"))
     return mixed.select(
         "doc_id",
         F.col("mix_source").alias("source"),
