@@ -176,3 +176,28 @@ def unique_by_id(docs: DataFrame, key: str, value: str) -> DataFrame:
     if row["n"] == row["d"]:
         return docs.select(key, value)
     return docs.groupBy(key).agg(F.min(value).alias(value))
+
+
+def by_place(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the needed columns under their own names and all others under names that clash with
+    nothing, and what every column was called: {name now: name before}.
+
+    A needed column is the one of exactly that name, else the first that differs in case only.  Columns are
+    renamed by place, so names that differ in case only, and those with dots or backticks, do no harm.
+    """
+    names = docs.columns
+    found = {}
+    for column in needed:
+        same = [i for i, n in enumerate(names) if n == column] or [i for i, n in enumerate(names) if n.lower() == column.lower()]
+        if not same:
+            raise ValueError(f"no column {column}")
+        found[same[0]] = column
+    now = [found.get(i, f"_extra{i}") for i in range(len(names))]
+    return docs.toDF(*now), dict(zip(now, names, strict=True))
+
+
+def renamed(df: DataFrame, before: dict[str, str], *added: str) -> DataFrame:
+    """The columns of ``before`` under their old names, then those added; of an old column called like an added one, in any case, the added one stays."""
+    taken = {a.lower() for a in added}
+    kept = [(now, old) for now, old in before.items() if old.lower() not in taken]
+    return df.select(*(now for now, _ in kept), *added).toDF(*(old for _, old in kept), *added)

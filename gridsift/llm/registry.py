@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsift.llm import embedding_dedup, fingerprints, katz, language_id, minhash_dedup, mixing, sampled_pieces, tokens_orc, toxicity, url_filter
+from gridsift.llm import embedding_dedup, fill_in_middle, fingerprints, katz, language_id, minhash_dedup, mixing, sampled_pieces, tokens_orc, toxicity, url_filter
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
@@ -15,5 +15,11 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_token_orc": tokens_orc.query,
     "op10_fingerprints": fingerprints.query,
+    "op12_fill_in_middle": fill_in_middle.query,
+}
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE,
+    "op6_minhash_dedup": minhash_dedup.ORACLE,
+    "op7_mixing": mixing.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
 }
-ORACLES: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.ORACLE, "op6_minhash_dedup": minhash_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
