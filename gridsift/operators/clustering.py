@@ -1,73 +1,63 @@
-"""K-Means with restarts, the sweep over K, the vote for K, and stability over seeds."""
+"""K-Means with restarts, the sweep over K, the vote for K, and stability over seeds.
+
+All fits of a sweep, or of all runs of a stability test, share their passes over the points (``kmeans``).
+"""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsift.operators import metrics
+from gridsift.operators import kmeans, metrics
+from gridsift.operators.kmeans import MAX_ITER, Clusters
 from gridsift.schema import KEY
+from gridsift.shipping import ship
 
 RESTARTS = 10
-MAX_ITER = 300
 SEED = 42
 TOP = 3
-#: Fits that are submitted to the cluster at the same time.
-AT_ONCE = 8
-
-
-def with_vector(scores: DataFrame, x: str = "pc") -> DataFrame:
-    """Adds ``features``, the vector that K-Means reads; the caller may persist the result."""
-    return scores.withColumn("features", array_to_vector(F.col(x)))
 
 
-def fit_all(points: DataFrame, wanted: list[tuple[int, int]], max_iter: int = MAX_ITER) -> list[KMeansModel]:
-    """A model for each (k, seed); ``AT_ONCE`` fits run on the cluster at a time."""
+def fit_all(points: DataFrame, wanted: list[tuple[int, int]], max_iter: int = MAX_ITER, x: str = "pc", key: str = KEY) -> list[Clusters]:
+    """A model for each (k, seed)."""
+    return kmeans.fit(points, wanted, key, x, max_iter)
 
-    def one(which: tuple[int, int]) -> KMeansModel:
-        return KMeans(k=which[0], seed=which[1], maxIter=max_iter, tol=1e-4, featuresCol="features", predictionCol="cluster").fit(points)
 
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        return list(pool.map(one, wanted))
+def _best(models: list[Clusters]) -> Clusters:
+    return min(models, key=lambda m: m.inertia)
 
 
-def _best(models: list[KMeansModel]) -> KMeansModel:
-    return min(models, key=lambda m: m.summary.trainingCost)
+def fit_kmeans(points: DataFrame, k: int, seed: int = SEED, restarts: int = RESTARTS, max_iter: int = MAX_ITER, x: str = "pc", key: str = KEY) -> Clusters:
+    """The model of least inertia among ``restarts`` starts; of equal ones, the first."""
+    return _best(fit_all(points, [(k, seed + i) for i in range(restarts)], max_iter, x, key))
 
 
-def fit_kmeans(points: DataFrame, k: int, seed: int = SEED, restarts: int = RESTARTS, max_iter: int = MAX_ITER) -> KMeansModel:
-    """The model of least inertia among ``restarts`` starts; of equal ones, the first."""
-    return _best(fit_all(points, [(k, seed + i) for i in range(restarts)], max_iter))
+def labelings(points: DataFrame, models: list[Clusters], x: str = "pc") -> DataFrame:
+    """``points`` with ``clusters``, an array with the label under each model, in one pass."""
+    ship(points.sparkSession)
+    return points.withColumn("clusters", kmeans.nearest(models)(F.col(x)))
 
 
-def label(points: DataFrame, model: KMeansModel, key: str = KEY) -> DataFrame:
-    """(key, cluster, x) with the clusters of a fitted model."""
-    x = [c for c in points.columns if c not in (key, "features")]
-    return model.transform(points).select(key, "cluster", *x)
+def label(points: DataFrame, model: Clusters, x: str = "pc") -> DataFrame:
+    """``points`` with ``cluster``, the nearest centre of a model."""
+    return labelings(points, [model], x).withColumn("cluster", F.get("clusters", F.lit(0))).drop("clusters")
 
 
-def sweep(points: DataFrame, ks: range, x: str = "pc", key: str = KEY, seed: int = SEED, restarts: int = RESTARTS) -> tuple[DataFrame, dict[int, KMeansModel]]:
+def sweep(points: DataFrame, ks: range, x: str = "pc", key: str = KEY, seed: int = SEED, restarts: int = RESTARTS) -> tuple[DataFrame, dict[int, Clusters]]:
     """(k, inertia, silhouette, ch, db) for each K, and the models.
 
     All labelings are one table, so distances between points are taken once for all K.
     """
-    spark = points.sparkSession
-    fitted = fit_all(points, [(k, seed + i) for k in ks for i in range(restarts)])
+    fitted = fit_all(points, [(k, seed + i) for k in ks for i in range(restarts)], x=x, key=key)
     models = {k: _best(fitted[i * restarts : (i + 1) * restarts]) for i, k in enumerate(ks)}
-    wide = points.select(F.col(key).cast("long").alias("id"), F.col(x).cast("array<double>").alias("x"), "features")
-    for k, model in models.items():
-        wide = model.copy().setPredictionCol(f"k{k}").transform(wide)
-    wide = wide.select("id", "x", F.array(*(f"k{k}" for k in models)).alias("clusters")).persist()
+    wide = labelings(points.select(F.col(key).cast("long").alias("id"), F.col(x).cast("array<double>").alias("x")), list(models.values()), "x").persist()
     found = metrics.metrics_of_labelings(wide, len(models))
     wide.unpersist()
-    rows = [(k, float(model.summary.trainingCost), own["silhouette"], own["ch"], own["db"]) for (k, model), own in zip(models.items(), found, strict=True)]
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double, ch double, db double"), models
+    rows = [(k, model.inertia, own["silhouette"], own["ch"], own["db"]) for (k, model), own in zip(models.items(), found, strict=True)]
+    return points.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, ch double, db double"), models
 
 
 def votes(table: DataFrame, top: int = TOP) -> DataFrame:
@@ -102,19 +92,15 @@ def choose_k_by_elbow(table: DataFrame, low: int = 3, high: int = 6) -> int:
     return row["k"] if low <= row["k"] <= high else best
 
 
-def stability(points: DataFrame, k: int, runs: int = 10, seed: int = SEED, restarts: int = 1, key: str = KEY) -> tuple[DataFrame, DataFrame]:
+def stability(points: DataFrame, k: int, runs: int = 10, seed: int = SEED, restarts: int = 1, x: str = "pc", key: str = KEY) -> tuple[DataFrame, DataFrame]:
     """Per-pair adjusted Rand indices (a, b, ari) and per-run inertia (run, inertia)."""
-    spark = points.sparkSession
-    fitted = fit_all(points, [(k, seed + i + 1000 * j) for i in range(runs) for j in range(restarts)])
+    fitted = fit_all(points, [(k, seed + i + 1000 * j) for i in range(runs) for j in range(restarts)], x=x, key=key)
     models = [_best(fitted[i * restarts : (i + 1) * restarts]) for i in range(runs)]
-    wide = points.select(key, "features")
-    for i, model in enumerate(models):
-        wide = model.copy().setPredictionCol(f"run{i}").transform(wide)
-    wide = wide.select(*(f"run{i}" for i in range(runs)))
-    pairs = list(combinations(range(runs), 2))
-    both = F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"run{a}").alias("x"), F.col(f"run{b}").alias("y")) for a, b in pairs)))
+    wide = labelings(points.select(x), models, x).select("clusters")
+    of = lambda i: F.get("clusters", F.lit(i))
+    both = F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), of(a).alias("x"), of(b).alias("y")) for a, b in combinations(range(runs), 2))))
     ari = metrics.rand_table(wide.select(both), "x", "y", "a", "b")
-    inertia = spark.createDataFrame([(i, float(m.summary.trainingCost)) for i, m in enumerate(models)], "run int, inertia double")
+    inertia = points.sparkSession.createDataFrame([(i, m.inertia) for i, m in enumerate(models)], "run int, inertia double")
     return ari, inertia
 
 

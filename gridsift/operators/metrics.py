@@ -46,10 +46,20 @@ def inertia(pts: DataFrame) -> DataFrame:
 
 def _within(pts: DataFrame) -> list:
     """For each cluster: size, centroid, sums of squared and plain distances to it."""
+    return within_labelings(pts.select("id", F.array("cluster").alias("clusters"), "x")).get(0, [])
+
+
+def within_labelings(pts: DataFrame) -> dict[int, list]:
+    """The same for each labeling of points (id, clusters array<int>, x), in one pass after that for the centroids."""
+    long = pts.select("x", F.posexplode("clusters").alias("labeling", "cluster"))
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("x"))))
+    middle = long.groupBy("labeling", "cluster").agg(F.count(F.lit(1)).alias("n"), mean.alias("centroid"))
     d2 = squared_distance(F.col("x"), F.col("centroid"))
-    return (
-        _with_centroids(pts).withColumn("d2", d2).groupBy("cluster").agg(F.first("n").alias("n"), F.first("centroid").alias("c"), F.sum("d2").alias("d2"), F.sum(F.sqrt("d2")).alias("d")).orderBy("cluster").collect()
-    )
+    near = long.join(F.broadcast(middle), ["labeling", "cluster"]).withColumn("d2", d2).groupBy("labeling", "cluster")
+    out: dict[int, list] = {}
+    for row in near.agg(F.first("n").alias("n"), F.first("centroid").alias("c"), F.sum("d2").alias("d2"), F.sum(F.sqrt("d2")).alias("d")).orderBy("labeling", "cluster").collect():  # a row for each cluster
+        out.setdefault(row["labeling"], []).append(row)
+    return out
 
 
 def calinski_harabasz(pts: DataFrame) -> float | None:
@@ -158,18 +168,18 @@ def silhouette(pts: DataFrame, block: int = BLOCK) -> float | None:
 
 def all_metrics(pts: DataFrame) -> dict[str, float | None]:
     """Inertia, silhouette, ch and db of the given labels."""
-    return _from_centroids(pts) | {"silhouette": silhouette(pts)}
+    return _from_centroids(_within(pts)) | {"silhouette": silhouette(pts)}
 
 
-def _from_centroids(pts: DataFrame) -> dict[str, float | None]:
-    rows = _within(pts)
+def _from_centroids(rows: list) -> dict[str, float | None]:
     return {"inertia": sum(r["d2"] for r in rows), "ch": _calinski_harabasz(rows), "db": _davies_bouldin(rows)}
 
 
 def metrics_of_labelings(pts: DataFrame, n: int) -> list[dict[str, float | None]]:
     """``all_metrics`` of each of n labelings of points (id, clusters array<int>, x); distances are taken once."""
     means = {r["labeling"]: r["s"] for r in silhouettes_of_labelings(pts).groupBy("labeling").agg(F.avg("silhouette").alias("s")).collect()}
-    return [_from_centroids(pts.select("id", F.get("clusters", F.lit(i)).alias("cluster"), "x")) | {"silhouette": means.get(i)} for i in range(n)]
+    within = within_labelings(pts)
+    return [_from_centroids(within.get(i, [])) | {"silhouette": means.get(i)} for i in range(n)]
 
 
 def _pairs(n: Column) -> Column:

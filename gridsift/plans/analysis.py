@@ -10,13 +10,13 @@ from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
 import pyspark
-from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsift.operators import clustering, exploration, features, profiling
 from gridsift.operators.cleaning import clean
+from gridsift.operators.kmeans import Clusters
 from gridsift.operators.scaling import Components, Scaler, fit_components
 from gridsift.plans import reports
 from gridsift.schema import ARCHETYPE, KEY, TIME
@@ -57,7 +57,7 @@ class Analysis:
     scores: DataFrame
     metrics: DataFrame
     k: int
-    model: KMeansModel
+    model: Clusters
     labels: DataFrame
     profiles: DataFrame
     insights: DataFrame
@@ -120,7 +120,7 @@ def analyse(spark: SparkSession, settings: Settings = Settings(), panel: DataFra
     combined = everything.select(KEY, *varying).na.fill(0.0)
     own = features.select_features(combined, settings.feature_set)
     components = fit_components(own, settings.variance)
-    scores = clustering.with_vector(components.scores(own)).persist()
+    scores = components.scores(own).persist()
     table, models = clustering.sweep(scores, range(*settings.ks), seed=settings.kmeans_seed, restarts=settings.restarts)
     k = clustering.choose_k(table)
     labels = clustering.label(scores, models[k]).select(KEY, "cluster")
@@ -154,7 +154,7 @@ def save(spark: SparkSession, a: Analysis, folder: str) -> None:
     if a.stability:
         write_csv(spark.createDataFrame([a.stability]), f"{folder}/metrics/stability")
     a.labels.write.mode("overwrite").parquet(f"{folder}/models/labels")
-    a.model.write().overwrite().save(f"{folder}/models/kmeans")
+    a.model.save(spark, f"{folder}/models/kmeans")
     a.components.model.write().overwrite().save(f"{folder}/models/pca")
     spark.createDataFrame(a.components.scaler.to_rows(), "feature string, mean double, std double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/models/scaler")
     chosen = [(a.components.n, a.components.signs)]
@@ -174,8 +174,8 @@ def load_labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/models/labels")
 
 
-def load_kmeans(folder: str) -> KMeansModel:
-    return KMeansModel.load(f"{folder}/models/kmeans")
+def load_kmeans(spark: SparkSession, folder: str) -> Clusters:
+    return Clusters.load(spark, f"{folder}/models/kmeans")
 
 
 def load_scaler(spark: SparkSession, folder: str) -> Scaler:
@@ -264,7 +264,7 @@ def ablate(spark: SparkSession, settings: Settings = Settings(), panel: DataFram
     for name in features.FEATURE_SETS:
         own = features.select_features(combined, name)
         components = fit_components(own, settings.variance)
-        scores = clustering.with_vector(components.scores(own)).persist()
+        scores = components.scores(own).persist()
         table, models = clustering.sweep(scores, range(*settings.ks), seed=settings.kmeans_seed, restarts=settings.restarts)
         k = clustering.choose_k(table)
         best = table.where(F.col("k") == k).first()

@@ -70,7 +70,7 @@ def pca_projection(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     rows, found = _components(spark, d)
-    return clustering.with_vector(found.scores(rows)).persist()
+    return found.scores(rows).persist()
 
 
 def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:

@@ -80,7 +80,7 @@ _BASES = {0: 0.0, 1: 8.0, 2: 100.0, 3: 103.0}
 def _apart(spark: SparkSession, d: str) -> DataFrame:
     base = F.create_map(*(F.lit(v) for kv in _BASES.items() for v in kv))[F.col("c_nationkey") % 4]
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias(KEY), F.array(base, F.col("c_acctbal") / 10000).alias("pc"))
-    return clustering.with_vector(rows).persist()
+    return rows.persist()
 
 
 def kmeans_apart(spark: SparkSession, d: str) -> DataFrame:
@@ -186,8 +186,8 @@ def models_reloaded(spark: SparkSession, d: str) -> DataFrame:
     """Consumers whose cluster by the reloaded scaler, components and K-Means is the saved one."""
     folder = scratch(spark, "analysis")
     found = _two_analysed(spark, d, folder)
-    scores = clustering.with_vector(load_components(spark, folder).scores(found.features))
-    again = clustering.label(scores, load_kmeans(folder)).select(KEY, F.col("cluster").alias("again"))
+    scores = load_components(spark, folder).scores(found.features)
+    again = clustering.label(scores, load_kmeans(spark, folder)).select(KEY, F.col("cluster").alias("again"))
     both = load_labels(spark, folder).join(again, KEY)
     return both.agg(F.count(F.lit(1)).alias("consumers"), F.count_if(F.col("again") == F.col("cluster")).alias("same"))
 

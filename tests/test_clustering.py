@@ -91,7 +91,7 @@ def test_vote_keeps_insertion_order_on_ties(spark):
 
 def test_kmeans_finds_separate_clouds_and_is_stable(spark):
     pts = cloud(spark).where("cluster < 3").selectExpr("id AS consumer_id", "x AS pc", "cluster AS truth")
-    points = clustering.with_vector(pts).persist()
+    points = pts.persist()
     sweep, models = clustering.sweep(points, range(2, 4), restarts=2)
     assert [r["k"] for r in sweep.orderBy("k").collect()] == [2, 3]
     labels = clustering.label(points, models[3])

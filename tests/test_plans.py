@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from gridsift.operators import exploration, metrics
+from gridsift.operators import clustering, exploration, metrics
 from gridsift.plans import reports
 from gridsift.plans.analysis import Settings, ablate, analyse, load_kmeans, load_labels, views
 from gridsift.schema import ARCHETYPE, KEY, TIME, VALUE
@@ -64,9 +64,9 @@ def test_artifacts_can_be_read_again(spark, run):
     folder = run.settings.output
     again = load_labels(spark, folder).join(run.labels.withColumnRenamed("cluster", "now"), KEY)
     assert again.where("cluster != now").count() == 0 and again.count() == 25
-    model = load_kmeans(folder)
-    assert model.getK() == run.k
-    relabeled = model.transform(run.scores).select(KEY, F.col("cluster").alias("again")).join(run.labels, KEY)
+    model = load_kmeans(spark, folder)
+    assert len(model.centers) == run.k and model.inertia == run.model.inertia
+    relabeled = clustering.label(run.scores, model).select(KEY, F.col("cluster").alias("again")).join(run.labels, KEY)
     assert metrics.rand_table(relabeled, "cluster", "again").first()["ari"] == 1.0
     assert os.path.exists(f"{folder}/reports/summary.md") and os.path.exists(f"{folder}/reports/recommendations.md")
     text = "\n".join(r["value"] for r in spark.read.text(f"{folder}/models/metadata").collect())
