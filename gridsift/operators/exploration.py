@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gridsift.functions.quantiles import exact_quantiles
 from gridsift.functions.stats import bin_of, kurtosis_g2, ratio, skewness_g1
+from gridsift.operators import matrices
+from gridsift.operators.scaling import pair_table
 from gridsift.schema import ARCHETYPE, KEY, TIME, VALUE, numeric_columns
 
 BINS = 30
@@ -44,16 +46,12 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(a, b, r) for each pair a < b by position: Pearson's r over rows where both are known.
+    """(a, b, r) for each pair a < b by position: Pearson's r over rows where both are known; null where a column is constant.
 
-    One aggregation, with partial sums; null where a column is constant.
+    Sums of products come from masked matrix products, a task's rows at a time.
     """
     columns = columns or numeric_columns(df)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    wide = df.select(*(known[c].alias(c) for c in columns)).agg(*(F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
-    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)))
-    return wide.select(F.inline(rows))
+    return pair_table(df, columns, matrices.pairwise(df, columns)[1], "r", 1)
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:

@@ -1,15 +1,22 @@
-"""Standardisation and principal components of a feature table."""
+"""Standardisation and principal components of a feature table.
+
+Components come from a QR factorisation of the scaled rows, reduced over tasks, and the singular values of its
+small factor.  The covariances are never formed, so components of nearly dependent columns (shares of a day sum to
+one) are as exact as the others.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridsift.operators import matrices
 from gridsift.schema import KEY, numeric_columns
+from gridsift.shipping import ship
 
 THRESHOLD = 0.95
 
@@ -39,42 +46,58 @@ def fit_scaler(df: DataFrame, columns: list[str] | None = None) -> Scaler:
     return Scaler(columns, pick("m"), pick("s"))
 
 
-def covariances(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, covariance) for a <= b by position, in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.agg(*(F.covar_samp(a, b).alias(f"v{i}") for i, (a, b) in enumerate(pairs)))
-    return wide.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"v{i}").alias("covariance")) for i, (a, b) in enumerate(pairs)))))
+def covariances(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(a, b, covariance) for a <= b by position; null under two rows where both are known."""
+    columns = columns or numeric_columns(df)
+    return pair_table(df, columns, matrices.pairwise(df, columns)[0], "covariance", 0)
+
+
+def pair_table(df: DataFrame, columns: list[str], values: np.ndarray, name: str, apart: int) -> DataFrame:
+    """(a, b, value) for columns that are at least ``apart`` places apart; NaN is null."""
+    rows = [(a, columns[j], None if np.isnan(values[i, j]) else float(values[i, j])) for i, a in enumerate(columns) for j in range(i + apart, len(columns))]
+    return df.sparkSession.createDataFrame(rows, f"a string, b string, {name} double")
+
+
+def projected(x: Column, matrix: np.ndarray) -> Column:
+    """The product of a row x (array<double>) with a matrix, as array<double>."""
+
+    @F.arrow_udf("array<double>")
+    def product(rows: pa.Array) -> pa.Array:
+        out = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), matrix.shape[0]) @ matrix
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(out.ravel()))
+
+    return product(x)
 
 
 @dataclass(frozen=True)
 class Components:
-    """Principal components of scaled features, with the signs that make the largest loading positive."""
+    """Principal components of scaled features: shares of the variance, and a column of loadings for each, whose largest one is positive."""
 
     scaler: Scaler
-    model: PCAModel
-    signs: list[float]
+    ratios: list[float]
+    matrix: np.ndarray
     n: int
 
     def explained(self, spark) -> DataFrame:
         """(component, ratio, cumulative, chosen) of the whole spectrum."""
-        rows = [(i + 1, float(r)) for i, r in enumerate(self.model.explainedVariance)]
-        table = spark.createDataFrame(rows, "component int, ratio double")
-        whole = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
-        return table.withColumn("cumulative", F.sum("ratio").over(whole)).withColumn("chosen", F.col("component") <= self.n)
+        rows = [(i + 1, float(r), float(c), i < self.n) for i, (r, c) in enumerate(zip(self.ratios, np.cumsum(self.ratios), strict=True))]
+        return spark.createDataFrame(rows, "component int, ratio double, cumulative double, chosen boolean")
 
     def loadings(self, spark, first: int = 3) -> DataFrame:
         """(component, feature, loading) of the first components."""
-        matrix = self.model.pc.toArray()
-        rows = [(j + 1, c, float(self.signs[j] * matrix[i, j])) for j in range(min(first, matrix.shape[1])) for i, c in enumerate(self.scaler.columns)]
+        rows = [(j + 1, c, float(self.matrix[i, j])) for j in range(min(first, self.matrix.shape[1])) for i, c in enumerate(self.scaler.columns)]
         return spark.createDataFrame(rows, "component int, feature string, loading double")
 
-    def scores(self, features: DataFrame, key: str = KEY) -> DataFrame:
-        """(key, pc array<double>): projections on the chosen components."""
-        vector = array_to_vector(F.array(*map(F.col, self.scaler.columns)))
-        rows = self.scaler.transform(features).select(key, vector.alias("scaled"))
-        out = self.model.setInputCol("scaled").setOutputCol("_pc").transform(rows)
-        signs = F.array(*(F.lit(s) for s in self.signs[: self.n]))
-        return out.select(key, F.zip_with(F.slice(vector_to_array("_pc"), 1, self.n), signs, lambda x, s: x * s).alias("pc"))
+    def scores(self, features: DataFrame, key: str = KEY, n: int | None = None) -> DataFrame:
+        """(key, pc array<double>): projections on the chosen, or the first n, components."""
+        ship(features.sparkSession)
+        scaled = self.scaler.transform(features).select(key, F.array(*map(F.col, self.scaler.columns)).alias("scaled"))
+        return scaled.select(key, projected(F.col("scaled"), self.matrix[:, : n or self.n]).alias("pc"))
+
+    def rebuilt(self, spark) -> DataFrame:
+        """(a, b, r) for a <= b: the correlations that all ratios and loadings stand for."""
+        values = (self.matrix * (np.array(self.ratios) * len(self.scaler.columns))) @ self.matrix.T
+        return pair_table(spark.range(0), self.scaler.columns, values, "r", 0)
 
 
 def components_needed(ratios: list[float], threshold: float = THRESHOLD) -> int:
@@ -90,11 +113,15 @@ def components_needed(ratios: list[float], threshold: float = THRESHOLD) -> int:
 def fit_components(features: DataFrame, threshold: float = THRESHOLD, columns: list[str] | None = None) -> Components:
     """Scale, fit the whole spectrum once, and choose how many components to keep."""
     scaler = fit_scaler(features, columns)
-    rows = scaler.transform(features).select(array_to_vector(F.array(*map(F.col, scaler.columns))).alias("scaled"))
-    model = PCA(k=len(scaler.columns), inputCol="scaled", outputCol="_pc").fit(rows)
-    matrix = model.pc.toArray()
-    signs = [1.0 if matrix[abs(matrix[:, j]).argmax(), j] >= 0 else -1.0 for j in range(matrix.shape[1])]
-    return Components(scaler, model, signs, components_needed(list(model.explainedVariance), threshold))
+    size = len(scaler.columns)
+    _, values, rows = np.linalg.svd(matrices.triangle(scaler.transform(features), scaler.columns))
+    variances = np.zeros(size)
+    variances[: len(values)] = values**2
+    total = variances.sum()
+    ratios = (variances / total if total > 0 else np.full(size, 1.0 / size)).tolist()
+    matrix = rows.T
+    matrix = matrix * np.where(matrix[np.abs(matrix).argmax(0), np.arange(size)] >= 0, 1.0, -1.0)
+    return Components(scaler, ratios, matrix, components_needed(ratios, threshold))
 
 
 def projection(scores: DataFrame, first: int = 2) -> DataFrame:

@@ -9,8 +9,8 @@ import platform
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
+import numpy as np
 import pyspark
-from pyspark.ml.feature import PCAModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,10 +155,10 @@ def save(spark: SparkSession, a: Analysis, folder: str) -> None:
         write_csv(spark.createDataFrame([a.stability]), f"{folder}/metrics/stability")
     a.labels.write.mode("overwrite").parquet(f"{folder}/models/labels")
     a.model.save(spark, f"{folder}/models/kmeans")
-    a.components.model.write().overwrite().save(f"{folder}/models/pca")
+    loadings = [(i + 1, r, a.components.matrix[:, i].tolist()) for i, r in enumerate(a.components.ratios)]
+    spark.createDataFrame(loadings, "component int, ratio double, loadings array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/models/pca")
     spark.createDataFrame(a.components.scaler.to_rows(), "feature string, mean double, std double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/models/scaler")
-    chosen = [(a.components.n, a.components.signs)]
-    spark.createDataFrame(chosen, "n int, signs array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/models/components")
+    spark.createDataFrame([(a.components.n,)], "n int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/models/components")
     spark.createDataFrame([(json.dumps(a.metadata(), indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/models/metadata")
     if "://" not in folder:
         os.makedirs(f"{folder}/reports", exist_ok=True)
@@ -184,8 +184,9 @@ def load_scaler(spark: SparkSession, folder: str) -> Scaler:
 
 
 def load_components(spark: SparkSession, folder: str) -> Components:
-    row = spark.read.parquet(f"{folder}/models/components").first()
-    return Components(load_scaler(spark, folder), PCAModel.load(f"{folder}/models/pca"), list(row["signs"]), row["n"])
+    rows = spark.read.parquet(f"{folder}/models/pca").orderBy("component").collect()  # a row for each component
+    n = spark.read.parquet(f"{folder}/models/components").first()["n"]
+    return Components(load_scaler(spark, folder), [r["ratio"] for r in rows], np.array([r["loadings"] for r in rows]).T, n)
 
 
 def load_metadata(spark: SparkSession, folder: str) -> dict:
@@ -225,14 +226,14 @@ def cached(spark: SparkSession, settings: Settings, folder: str, panel: DataFram
     return {name: spark.read.parquet(f"{home}/{name}") for name in names}, made
 
 
-def views(a: Analysis, first_features: int = 12) -> dict[str, DataFrame]:
+def views(a: Analysis) -> dict[str, DataFrame]:
     """The tables behind each page of a dashboard."""
     spark = a.panel.sparkSession
     return {
         "overview": exploration.overview(a.cleaned),
         "hourly": exploration.hourly_profile(a.cleaned),
         "weekend": exploration.weekend_profile(a.cleaned),
-        "correlations": exploration.correlations(a.features, a.feature_names[:first_features]),
+        "correlations": exploration.correlations(a.features, a.feature_names),
         "explained_variance": a.components.explained(spark),
         "loadings": a.components.loadings(spark),
         "projection": a.scores.join(a.labels, KEY).select(KEY, "cluster", F.get("pc", F.lit(0)).alias("pc1"), F.get("pc", F.lit(1)).alias("pc2")),

@@ -5,27 +5,16 @@ Where a query needs a given clustering, it is the label of an embedding or the r
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsift.operators import clustering, features, metrics, profiling, scaling
+from gridsift.operators import clustering, features, kmeans, metrics, profiling, scaling
 from gridsift.plans.analysis import Settings, ablate, analyse
 from gridsift.queries.common import PANEL, panel, raw_features_sql, rounded, rounded_sql, table
-from gridsift.schema import BEHAVIORAL, KEY, PERIOD_USAGE, VALUE
-
-_SCALED = ["hour_7_shape", "hour_19_shape", "weekend_ratio", "peak_to_avg_ratio", "skewness"]
-#: A published sweep over K: K, silhouette, Calinski-Harabasz, Davies-Bouldin, inertia.
-SWEEP = [
-    (2, 0.1055, 16.60, 3.291, 5889.82),
-    (3, 0.0478, 12.91, 3.359, 5643.78),
-    (4, 0.0384, 11.46, 3.302, 5431.22),
-    (5, 0.0411, 10.34, 3.179, 5266.16),
-    (6, 0.0401, 9.90, 2.950, 5086.36),
-    (7, 0.0386, 8.99, 2.966, 4989.16),
-    (8, 0.0341, 8.23, 2.895, 4910.51),
-    (9, 0.0376, 7.78, 2.822, 4814.96),
-    (10, 0.0353, 7.20, 2.805, 4760.85),
-]
+from gridsift.schema import BEHAVIORAL, KEY, PERIOD_USAGE, VALUE#: (K, seed) of models with given starts, and their passes.
+_STARTS = [(2, 1), (3, 1), (5, 1), (5, 2), (8, 3)]
+_PASSES = 6
 
 
 def _behavior(spark: SparkSession, d: str) -> DataFrame:
@@ -37,12 +26,12 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def standardize_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = _behavior(spark, d).select(KEY, *_SCALED)
+    rows = _behavior(spark, d)
     return rounded(scaling.fit_scaler(rows).transform(rows), 5)
 
 
 def covariance_long(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(scaling.covariances(_behavior(spark, d), _SCALED))
+    return rounded(scaling.covariances(_behavior(spark, d)))
 
 
 def _components(spark: SparkSession, d: str) -> tuple[DataFrame, scaling.Components]:
@@ -68,6 +57,20 @@ def pca_projection(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scaling.projection(found.scores(rows)))
 
 
+def pca_rebuilt_correlations(spark: SparkSession, d: str) -> DataFrame:
+    """What all ratios and loadings multiply out to: the correlations of all features."""
+    return rounded(_components(spark, d)[1].rebuilt(spark))
+
+
+def pca_score_products(spark: SparkSession, d: str) -> DataFrame:
+    """Inner products of the scores on all components, which are those of the scaled features."""
+    rows, found = _components(spark, d)
+    scores = found.scores(rows, n=len(found.ratios))
+    first = scores.orderBy(KEY).limit(1).select(F.col("pc").alias("first"))
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return rounded(scores.crossJoin(F.broadcast(first)).select(KEY, product(F.col("pc"), F.col("pc")).alias("own"), product(F.col("pc"), F.col("first")).alias("with_first")), 5)
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     rows, found = _components(spark, d)
     return found.scores(rows).persist()
@@ -78,6 +81,19 @@ def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
     return clustering.label(scores, clustering.fit_kmeans(scores, 3)).select(KEY, "cluster")
 
 
+def kmeans_fixed_starts(spark: SparkSession, d: str) -> DataFrame:
+    """Lloyd passes of several models together, each from the points whose ids have the smallest digests of its own."""
+    points = _points(spark, d).persist()
+    digest = lambda seed: F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"))
+    starts = [np.array([r["x"] for r in points.orderBy(digest(seed)).limit(k).collect()]) for k, seed in _STARTS]  # k rows
+    found = kmeans.lloyd(points, starts, "x", _PASSES, 0.0)
+    models = [kmeans.Clusters(k, seed, centers, cost, n) for (k, seed), (centers, cost, n) in zip(_STARTS, found, strict=True)]
+    labels = clustering.labelings(points.select("x"), models, "x").select(F.posexplode("clusters").alias("model", "cluster"))
+    sizes = labels.groupBy("model", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    costs = spark.createDataFrame([(i, m.k, m.inertia) for i, m in enumerate(models)], "model int, k int, inertia double")
+    return rounded(sizes.join(F.broadcast(costs), "model"), 5)
+
+
 def k_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rounded(clustering.sweep(_scores(spark, d), range(*Settings.ks))[0])
 
@@ -113,19 +129,6 @@ def ari_two_labelings(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.rand_table(rows, "label", "other"))
 
 
-def _sweep_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SWEEP, "k int, silhouette double, ch double, db double, inertia double")
-
-
-def k_vote(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.votes(_sweep_table(spark)).select("k", "votes", F.col("place").cast("int").alias("place"))
-
-
-def k_chosen(spark: SparkSession, d: str) -> DataFrame:
-    sweep = _sweep_table(spark)
-    return spark.createDataFrame([("vote", clustering.choose_k(sweep)), ("elbow", clustering.choose_k_by_elbow(sweep))], "rule string, k int")
-
-
 def _profiles(spark: SparkSession, d: str) -> DataFrame:
     rows = features.raw_features(panel(spark, d).withColumn(VALUE, F.col(VALUE) * (1 + F.col(KEY) % 3) / 60), "combined").na.fill(0.0)
     return profiling.cluster_profiles(rows, rows.select(KEY, (F.col(KEY) % 3).cast("int").alias("cluster")))
@@ -167,8 +170,11 @@ QUERIES = {
     "pca_explained": pca_explained,
     "pca_loadings": pca_loadings,
     "pca_scores": pca_scores,
+    "pca_rebuilt_correlations": pca_rebuilt_correlations,
+    "pca_score_products": pca_score_products,
     "pca_projection": pca_projection,
     "kmeans_labels": kmeans_labels,
+    "kmeans_fixed_starts": kmeans_fixed_starts,
     "k_sweep": k_sweep,
     "stability_runs": stability_runs,
     "lloyd_step": lloyd_step,
@@ -177,8 +183,6 @@ QUERIES = {
     "calinski_harabasz": _number("ch", metrics.calinski_harabasz),
     "davies_bouldin": _number("db", metrics.davies_bouldin),
     "ari_two_labelings": ari_two_labelings,
-    "k_vote": k_vote,
-    "k_chosen": k_chosen,
     "cluster_profile": cluster_profile,
     "cluster_names": cluster_names,
     "cluster_insights": cluster_insights,
@@ -236,11 +240,6 @@ _RULES = [
     ),
     ("weekend_ratio > 1.2", "Optimize time-of-use scheduling for weekend patterns", "format('Weekend-to-weekday ratio {:.2f} indicates weekend-dominant usage', round(weekend_ratio, 2))", "medium", "temporal", 5),
 ]
-_SWEEP_SQL = "s(k, silhouette, ch, db, inertia) AS (VALUES " + ", ".join(f"({k}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE), CAST({e} AS DOUBLE))" for k, a, b, c, e in SWEEP) + ")"
-_VOTES = f"""{_SWEEP_SQL}, l AS (
-    SELECT k, row_number() OVER (ORDER BY silhouette DESC, k) AS r, 0 AS o FROM s UNION ALL SELECT k, row_number() OVER (ORDER BY ch DESC, k), 3 FROM s
-    UNION ALL SELECT k, row_number() OVER (ORDER BY db, k), 6 FROM s),
-    v AS (SELECT CAST(k AS INTEGER) AS k, count(*) AS votes, CAST(min(r + o) AS INTEGER) AS place FROM l WHERE r <= 3 GROUP BY k)"""
 _CH = f"""WITH {_X}, {_DIMS}, {_DIST}, n AS (SELECT cluster, count(*) AS n FROM p GROUP BY cluster), g AS (SELECT i, avg(v) AS g FROM e GROUP BY i),
     w AS (SELECT sum(d2) AS w FROM t), b AS (SELECT sum(n * (m - g) * (m - g)) AS b FROM c JOIN n USING (cluster) JOIN g USING (i))
     SELECT round(b * ((SELECT count(*) FROM p) - (SELECT count(*) FROM n)) / (w * ((SELECT count(*) FROM n) - 1)), 5) + 0.0 AS ch FROM w, b"""
@@ -255,9 +254,33 @@ _ARI = """WITH l AS (SELECT label AS a, label % 3 + CASE WHEN vec_id % 5 = 0 THE
     c AS (SELECT a, b, count(*) AS n FROM l GROUP BY ALL), sab AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM c), sa AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY a)),
     sb AS (SELECT sum(n * (n - 1) / 2.0) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY b)), t AS (SELECT count(*) * (count(*) - 1) / 2.0 AS v FROM l)
     SELECT round((sab.v - sa.v * sb.v / t.v) / ((sa.v + sb.v) / 2 - sa.v * sb.v / t.v), 6) + 0.0 AS ari FROM sab, sa, sb, t"""
+
+
+def _pairs_sql(function: str, name: str, digits: int) -> str:
+    """A row for each two features, in one pass."""
+    pairs = ((a, b) for i, a in enumerate(BEHAVIORAL) for b in BEHAVIORAL[i:])
+    return f"SELECT p.a AS a, p.b AS b, p.v AS {name} FROM (SELECT unnest([" + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'v': round({function}({a}, {b}), {digits}) + 0.0}}" for a, b in pairs) + "]) AS p FROM f)"
+
+
 ORACLES = {
-    "standardize_features": f"WITH {PANEL}, {_F} SELECT consumer_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) + 0.0 AS {c}" for c in _SCALED) + " FROM f",
-    "covariance_long": f"WITH {PANEL}, {_F} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 6) + 0.0 AS covariance FROM f" for i, a in enumerate(_SCALED) for b in _SCALED[i:]),
+    "standardize_features": f"WITH {PANEL}, {_F} SELECT consumer_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 5) + 0.0 AS {c}" for c in BEHAVIORAL) + " FROM f",
+    "covariance_long": f"WITH {PANEL}, {_F} {_pairs_sql('covar_samp', 'covariance', 6)}",
+    "pca_rebuilt_correlations": f"WITH {PANEL}, {_F} {_pairs_sql('corr', 'r', 6)}",
+    "pca_score_products": f"""WITH {PANEL}, {_F}, z AS (SELECT consumer_id, [{", ".join(f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1)" for c in BEHAVIORAL)}] AS z FROM f)
+        SELECT consumer_id, round(list_inner_product(z, z), 5) + 0.0 AS own, round(list_inner_product(z, (SELECT z FROM z ORDER BY consumer_id LIMIT 1)), 5) + 0.0 AS with_first FROM z""",
+    "kmeans_fixed_starts": f"""WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+        w(model, k, seed) AS (VALUES {", ".join(f"({i}, {k}, {seed})" for i, (k, seed) in enumerate(_STARTS))}),
+        s AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY md5(seed || ':' || id)) - 1 AS cluster, x AS m, k FROM p, w QUALIFY row_number() OVER (PARTITION BY model ORDER BY md5(seed || ':' || id)) <= k),
+        c(turn, model, cluster, m) AS (
+          SELECT 0, model, cluster, m FROM s UNION ALL
+          SELECT turn + 1, model, cluster, list(v ORDER BY i) FROM (
+            SELECT turn, model, cluster, i, avg(v) AS v FROM (
+              SELECT turn, model, cluster, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM (
+                SELECT turn, model, id, arg_min(cluster, list_distance(x, m)) AS cluster, any_value(x) AS x FROM c, p WHERE turn < {_PASSES} GROUP BY turn, model, id))
+            GROUP BY turn, model, cluster, i) GROUP BY turn, model, cluster),
+        l AS (SELECT model, id, min(list_distance(x, m)) AS far, arg_min(cluster, list_distance(x, m)) AS cluster FROM c, p WHERE turn = {_PASSES} GROUP BY model, id)
+        SELECT CAST(model AS INTEGER) AS model, CAST(cluster AS INTEGER) AS cluster, count(*) AS size, CAST(k AS INTEGER) AS k, round(sum(sum(far * far)) OVER (PARTITION BY model), 5) + 0.0 AS inertia
+        FROM l JOIN w USING (model) GROUP BY model, cluster, k""",
     "lloyd_step": """WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
         c AS (SELECT x AS m, row_number() OVER (ORDER BY id) - 1 AS cluster FROM (SELECT * FROM p ORDER BY id LIMIT 4))
         SELECT id, CAST(arg_min(cluster, list_distance(x, m)) AS INTEGER) AS cluster FROM p, c GROUP BY id""",
@@ -266,11 +289,6 @@ ORACLES = {
     "calinski_harabasz": _CH,
     "davies_bouldin": _DB,
     "ari_two_labelings": _ARI,
-    "k_vote": f"WITH {_VOTES} SELECT * FROM v",
-    "k_chosen": f"""WITH {_VOTES}, d AS (SELECT k, silhouette, lag(inertia) OVER (ORDER BY k) - 2 * inertia + lead(inertia) OVER (ORDER BY k) AS bend FROM s),
-        b AS (SELECT k FROM d WHERE bend IS NOT NULL ORDER BY bend DESC, k LIMIT 1), t AS (SELECT k FROM s ORDER BY silhouette DESC, k LIMIT 1)
-        SELECT 'vote' AS rule, (SELECT k FROM v ORDER BY votes DESC, place LIMIT 1) AS k
-        UNION ALL SELECT 'elbow', CAST(CASE WHEN t.k BETWEEN 3 AND 6 THEN t.k WHEN b.k BETWEEN 3 AND 6 THEN b.k ELSE t.k END AS INTEGER) FROM b, t""",
     "cluster_profile": f"WITH {_PROFILES} " + rounded_sql("SELECT * FROM pr", ["size_percentage", *_MEANS]),
     "cluster_names": f"WITH {_PROFILES}, {_NAMED} SELECT cluster, cluster_name FROM n",
     "cluster_insights": f"WITH {_PROFILES} {_INSIGHTS}",
@@ -279,4 +297,3 @@ ORACLES = {
     + ") SELECT cluster, cluster_name, recommendation, evidence, priority, category, CAST(row_number() OVER (PARTITION BY cluster ORDER BY o) AS INTEGER) AS rank FROM r",
     "cluster_balance": "SELECT round(min(n) / max(n), 6) + 0.0 AS balance FROM (SELECT count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label)",
 }
-assert set(BEHAVIORAL) >= set(_SCALED)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from gridsift.operators import exploration, features
 from gridsift.queries.common import GAPPY, PANEL, gappy, moment_sql, panel, raw_features_sql, rounded, rounded_sql, table
-from gridsift.schema import ARCHETYPE, KEY, TIME, VALUE
+from gridsift.schema import ARCHETYPE, BEHAVIORAL, KEY, SCALE, TIME, VALUE
 from gridsift.sources.generator import synthetic_panel, templates
 
 E = VALUE
 _LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-_FIRST = [f"hour_{h}_shape" for h in range(12)]
+#: All features of consumers, a constant column and one without values.
+_NUMERIC = [*BEHAVIORAL, *(s for s in SCALE if s.startswith(VALUE)), "constant", "unknown"]
 
 
 def hourly_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +37,8 @@ def describe_panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def correlation_long(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(exploration.correlations(features.raw_features(panel(spark, d), "behavioral"), _FIRST))
+    rows = features.raw_features(panel(spark, d)).withColumns({"constant": F.lit(1.5), "unknown": F.lit(None).cast("double")})
+    return rounded(exploration.correlations(rows))
 
 
 def archetype_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +157,9 @@ ORACLES = {
     "consumer_cv": f"WITH {PANEL} " + rounded_sql(f"SELECT consumer_id, avg({E}) AS mean_kwh, stddev_samp({E}) AS std_kwh, stddev_samp({E}) / nullif(avg({E}), 0) AS cv FROM panel GROUP BY consumer_id", ["mean_kwh", "std_kwh", "cv"]),
     "describe_all": _describe("lineitem", _LINE),
     "describe_panel": f"WITH {PANEL}, {GAPPY} " + _describe("gappy", [E, "hour", "day_of_week"]),
-    "correlation_long": f"WITH {PANEL}, {_SHAPES} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM f" for i, a in enumerate(_FIRST) for b in _FIRST[i + 1 :]),
+    "correlation_long": f"WITH {PANEL}, f AS (SELECT *, 1.5::DOUBLE AS constant, NULL::DOUBLE AS unknown FROM ({raw_features_sql()})) SELECT p.a AS a, p.b AS b, p.r AS r FROM (SELECT unnest(["
+    + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN round(corr({a}, {b}), 6) + 0.0 END}}" for i, a in enumerate(_NUMERIC) for b in _NUMERIC[i + 1 :])
+    + "]) AS p FROM f)",
     "archetype_stats": f"""WITH {PANEL}, c AS (SELECT consumer_id, archetype, avg({E}) AS mean, stddev_samp({E}) / nullif(avg({E}), 0) AS cv, max({E}) AS max, min({E}) AS min FROM panel GROUP BY ALL) """
     + rounded_sql(
         "SELECT archetype, avg(mean) AS avg_mean, stddev_samp(mean) AS std_mean, avg(cv) AS avg_cv, stddev_samp(cv) AS std_cv, avg(max) AS avg_max, avg(min) AS avg_min FROM c GROUP BY archetype",

@@ -37,7 +37,7 @@ def pca_pair_explained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pca_components_for_threshold(spark: SparkSession, d: str) -> DataFrame:
-    ratios = list(_pair(spark, d)[1].model.explainedVariance)
+    ratios = list(_pair(spark, d)[1].ratios)
     return spark.createDataFrame([(t, scaling.components_needed(ratios, t)) for t in _THRESHOLDS], "threshold double, components int")
 
 
@@ -60,7 +60,7 @@ def pca_identities(spark: SparkSession, d: str) -> DataFrame:
     rows = features.consumer_features(panel(spark, d))
     found = scaling.fit_components(rows)
     kept = found.scores(rows)
-    ratio = list(found.model.explainedVariance)
+    ratio = found.ratios
     wide = kept.agg(*(F.var_pop(F.get("pc", F.lit(i))).alias(f"v{i}") for i in range(found.n)), *(F.covar_pop(F.get("pc", F.lit(i)), F.get("pc", F.lit(i + 1))).alias(f"c{i}") for i in range(found.n - 1))).first()
     total = len(found.scaler.columns)  # every standardised column has variance 1
     named = [
@@ -122,6 +122,15 @@ def k_vote_of_labelings(spark: SparkSession, d: str) -> DataFrame:
     return clustering.votes(found).select("k", "votes", F.col("place").cast("int").alias("place"), (F.col("k") == clustering.choose_k(found)).alias("chosen"))
 
 
+def k_vote(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.votes(_labelings(spark, d)).select("k", "votes", F.col("place").cast("int").alias("place"))
+
+
+def k_chosen(spark: SparkSession, d: str) -> DataFrame:
+    found = _labelings(spark, d)
+    return spark.createDataFrame([("vote", clustering.choose_k(found)), ("elbow", clustering.choose_k_by_elbow(found))], "rule string, k int")
+
+
 # Suppliers as consumers of two kinds, hourly over a week: K = 2, one cluster for each kind.
 def _two_kinds(spark: SparkSession, d: str) -> DataFrame:
     grid = table(spark, d, "supplier").select(F.col("s_suppkey").alias(KEY)).crossJoin(F.broadcast(spark.range(168).select(F.col("id").cast("int").alias("at"))))
@@ -335,6 +344,8 @@ QUERIES = {
     "metric_bundle": metric_bundle,
     "sweep_of_labelings": sweep_of_labelings,
     "k_vote_of_labelings": k_vote_of_labelings,
+    "k_vote": k_vote,
+    "k_chosen": k_chosen,
     "analysis_of_two_kinds": analysis_of_two_kinds,
     "analysis_summary": analysis_summary,
     "ablation_of_two_kinds": ablation_of_two_kinds,
@@ -382,6 +393,8 @@ _MANY = """e AS (SELECT k, id, cluster, unnest(x) AS v, generate_subscripts(x, 1
 _FOUR = "four AS (SELECT c_custkey AS id, c_nationkey % 4 AS g, [" + "CASE c_nationkey % 4 " + " ".join(f"WHEN {g} THEN CAST({v} AS DOUBLE)" for g, v in _BASES.items()) + " END, CAST(c_acctbal / 10000 AS DOUBLE)] AS x FROM customer)"
 _FOUR_P = f"{_FOUR}, p AS (SELECT k, id, CASE WHEN k = 2 THEN g // 2 WHEN k = 3 THEN least(g, 2) ELSE g END AS cluster, x FROM four, (VALUES (2), (3), (4)) v(k))"
 _MOD_P = "p AS (SELECT k, vec_id AS id, ((label % k) + k) % k AS cluster, CAST(embedding AS DOUBLE[]) AS x FROM embeddings, (VALUES (2), (3), (4), (5)) v(k) WHERE embedding IS NOT NULL AND label IS NOT NULL)"
+_VOTES = """l AS (SELECT k, row_number() OVER (ORDER BY silhouette DESC, k) AS r, 0 AS o FROM found UNION ALL SELECT k, row_number() OVER (ORDER BY ch DESC, k), 3 FROM found
+    UNION ALL SELECT k, row_number() OVER (ORDER BY db, k), 6 FROM found), v AS (SELECT k, count(*) AS votes, CAST(min(r + o) AS INTEGER) AS place FROM l WHERE r <= 3 GROUP BY k)"""
 _MEASURES = ["inertia", "silhouette", "ch", "db"]
 _KINDS = f"""kinds AS (SELECT s_suppkey AS consumer_id, CAST(tick % 24 AS INTEGER) AS hour, tick // 24 >= 5 AS is_weekend,
       CASE WHEN s_suppkey % 2 = 0 THEN CASE WHEN tick % 24 >= 9 AND tick % 24 < 17 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END ELSE CASE WHEN tick % 24 >= 18 THEN 3.5::DOUBLE ELSE 0.5::DOUBLE END END
@@ -440,9 +453,12 @@ ORACLES = {
     "metric_bundle": f"""SELECT (SELECT round(inertia, 4) FROM ({_CLUSTERS["inertia_by_label"]})) + 0.0 AS inertia, (SELECT round(avg(silhouette), 4) FROM ({_SILHOUETTE})) + 0.0 AS silhouette,
         (SELECT round(ch, 4) FROM ({_CH})) + 0.0 AS ch, (SELECT round(db, 4) FROM ({_DB})) + 0.0 AS db""",
     "sweep_of_labelings": f"WITH {_MOD_P}, {_MANY} " + rounded_sql("SELECT * FROM found", _MEASURES, 4),
-    "k_vote_of_labelings": f"""WITH {_MOD_P}, {_MANY}, l AS (SELECT k, row_number() OVER (ORDER BY silhouette DESC, k) AS r, 0 AS o FROM found UNION ALL SELECT k, row_number() OVER (ORDER BY ch DESC, k), 3 FROM found
-        UNION ALL SELECT k, row_number() OVER (ORDER BY db, k), 6 FROM found), v AS (SELECT k, count(*) AS votes, CAST(min(r + o) AS INTEGER) AS place FROM l WHERE r <= 3 GROUP BY k)
-        SELECT *, k = (SELECT k FROM v ORDER BY votes DESC, place LIMIT 1) AS chosen FROM v""",
+    "k_vote_of_labelings": f"WITH {_MOD_P}, {_MANY}, {_VOTES} SELECT *, k = (SELECT k FROM v ORDER BY votes DESC, place LIMIT 1) AS chosen FROM v",
+    "k_vote": f"WITH {_MOD_P}, {_MANY}, {_VOTES} SELECT * FROM v",
+    "k_chosen": f"""WITH {_MOD_P}, {_MANY}, {_VOTES}, d AS (SELECT k, silhouette, lag(inertia) OVER (ORDER BY k) - 2 * inertia + lead(inertia) OVER (ORDER BY k) AS bend FROM found),
+        best AS (SELECT k FROM d WHERE bend IS NOT NULL ORDER BY bend DESC, k LIMIT 1), top AS (SELECT k FROM found ORDER BY silhouette DESC, k LIMIT 1)
+        SELECT 'vote' AS rule, (SELECT k FROM v ORDER BY votes DESC, place LIMIT 1) AS k
+        UNION ALL SELECT 'elbow', CAST(CASE WHEN top.k BETWEEN 3 AND 6 THEN top.k WHEN best.k BETWEEN 3 AND 6 THEN best.k ELSE top.k END AS INTEGER) FROM best, top""",
     "analysis_of_two_kinds": f"WITH {_KINDS}, named AS (SELECT *, {_NAME} AS cluster_name FROM (SELECT *, (SELECT quantile_cont(avg_consumption, 0.5) FROM pr) AS pop FROM pr)) "
     + rounded_sql("SELECT size, size_percentage, avg_consumption, avg_cv, avg_peak_to_avg, weekend_ratio, cluster_name FROM named", ["size_percentage", "avg_consumption", "avg_cv", "avg_peak_to_avg", "weekend_ratio"]),
     "analysis_summary": f"SELECT 2 AS k, smallest, largest, 'behavioral' AS feature_set, total AS n_consumers, CAST(7 AS BIGINT) AS n_days, 'given panel' AS data_source, true AS refused, 1.0::DOUBLE AS mean_ari FROM {_HALVES}",

@@ -4,9 +4,10 @@ import math
 import numpy as np
 import pytest
 
-from gridsift.operators import clustering, metrics, scaling
-from gridsift.queries.clusters import SWEEP
+from gridsift.operators import clustering, kmeans, metrics, scaling
 
+#: K, silhouette, Calinski-Harabasz, Davies-Bouldin, inertia; K 2 and 3 get two votes each.
+SWEEP = [(2, 0.11, 16.6, 3.29, 5890.0), (3, 0.05, 12.9, 3.36, 5640.0), (4, 0.04, 11.5, 3.3, 5430.0), (5, 0.045, 10.3, 3.2, 5270.0), (6, 0.03, 9.9, 2.9, 5090.0), (7, 0.02, 9.0, 2.8, 4990.0), (8, 0.01, 8.2, 2.7, 4900.0)]
 K_TABLE = "k int, silhouette double, ch double, db double, inertia double"
 
 
@@ -167,3 +168,76 @@ def test_registered_queries_do_the_whole_job(spark, monkeypatch):
         assert (s.ks, s.restarts, s.test_stability) == ((2, 11), 10, True)
     assert calls["sweep"]["ks"] == range(2, 11) and calls["sweep"]["restarts"] == calls["fit_kmeans"]["restarts"] == 10
     assert (calls["stability"]["runs"], calls["stability"]["restarts"]) == (10, 10)
+
+
+def test_models_that_advance_together_equal_models_alone(spark):
+    """From the same starts, by plain Lloyd passes; a model that rests early leaves."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 1.0, (60, 3)) for c in (0.0, 4.0, 9.0)])
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "consumer_id long, pc array<double>").repartition(3)
+    starts = [x[rng.choice(len(x), k, replace=False)] for k in (2, 3, 5, 5)] + [np.array([[0.0] * 3, [1e6] * 3])]
+    for start, (centers, cost, passes) in zip(starts, kmeans.lloyd(points, starts, "pc"), strict=True):
+        want, n = start.copy(), 0
+        while True:
+            own = ((x[:, None] - want[None]) ** 2).sum(2).argmin(1)
+            new = np.array([x[own == j].mean(0) if (own == j).any() else c for j, c in enumerate(want)])
+            moved, want, n = ((new - want) ** 2).sum(1).max(), new, n + 1
+            if moved <= kmeans.TOLERANCE**2:
+                break
+        assert centers == pytest.approx(want) and passes == n
+        assert cost == pytest.approx(((x[:, None] - want[None]) ** 2).sum(2).min(1).sum())
+
+
+def test_rows_of_many_tasks_are_added_by_spark(spark, monkeypatch):
+    pts = cloud(spark).selectExpr("id AS consumer_id", "x AS pc")
+    want = clustering.fit_all(pts, [(3, 1), (4, 2)])
+    monkeypatch.setattr(kmeans, "FEW", 0)
+    monkeypatch.setattr(kmeans, "SHARE", 50)
+    for a, b in zip(want, clustering.fit_all(pts.repartition(4), [(3, 1), (4, 2)]), strict=True):
+        assert a.inertia == pytest.approx(b.inertia) and a.centers == pytest.approx(b.centers)
+
+
+def test_starts_do_not_depend_on_partitions_and_few_points_suffice(spark):
+    pts = cloud(spark).selectExpr("id AS consumer_id", "x AS pc")
+    one = kmeans.starts(pts.coalesce(1), [(3, 5), (6, 9)], "consumer_id", "pc")
+    two = kmeans.starts(pts.repartition(3), [(3, 5), (6, 9)], "consumer_id", "pc")
+    assert [len(s) for s in one] == [3, 6] and all(a == pytest.approx(b) for a, b in zip(one, two, strict=True))
+    same = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(9)], "consumer_id long, pc array<double>")
+    model = clustering.fit_kmeans(same, 4, restarts=2)
+    assert len(model.centers) == 2 and model.inertia == pytest.approx(0.0)
+    with pytest.raises(ValueError):
+        clustering.fit_kmeans(same.where("false"), 2)
+
+
+def test_correlations_of_gaps_constants_and_nothing(spark):
+    from gridsift.operators import exploration
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (50, 3)) + [1e6, 0, 5]
+    rows = [(i, *(None if rng.random() < 0.2 else float(v) for v in r), 7.0, None, float("nan") if i == 3 else float(i)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "consumer_id long, a double, `b.c` double, d double, e double, f double, g double").repartition(3)
+    table = np.array([[np.nan if v is None else v for v in r[1:]] for r in rows])
+    names = ["a", "b.c", "d", "e", "f", "g"]
+    got = {(r["a"], r["b"]): r["r"] for r in exploration.correlations(df).collect()}
+    assert len(got) == 15
+    for i, j in itertools.combinations(range(6), 2):
+        both = ~np.isnan(table[:, i]) & ~np.isnan(table[:, j])
+        if {i, j} & {3, 4}:
+            assert got[names[i], names[j]] is None
+        else:
+            assert got[names[i], names[j]] == pytest.approx(np.corrcoef(table[both, i], table[both, j])[0, 1], abs=1e-9)
+    assert all(r["r"] is None for r in exploration.correlations(df.where("false")).collect())
+
+
+def test_components_of_dependent_columns(spark):
+    """Shares that sum to one have a last component of zero; the spectrum is that of the covariances."""
+    rng = np.random.default_rng(9)
+    share = rng.dirichlet(np.ones(6), 80)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(share)], "consumer_id long, " + ", ".join(f"s{j} double" for j in range(6))).repartition(5)
+    found = scaling.fit_components(df)
+    z = (share - share.mean(0)) / share.std(0)
+    values = np.linalg.eigvalsh(np.corrcoef(z.T))[::-1]
+    assert np.array(found.ratios) * 6 == pytest.approx(np.maximum(values, 0), abs=1e-9)
+    assert found.matrix.T @ found.matrix == pytest.approx(np.eye(6), abs=1e-12)
+    few = scaling.fit_components(df.limit(2))
+    assert sum(few.ratios) == pytest.approx(1.0) and len(few.ratios) == 6
