@@ -6,12 +6,15 @@ n-grams, over the square root of their number.  Viterbi with a fixed cost of swi
 spans of words; a document's language is the one whose spans hold most letters.
 
 Counts are taken over all training rows.  The model has a fixed size for each language
-(``BUCKETS`` floats); the number of languages is that of the labels.
+(``BUCKETS`` floats); a column of more than ``MOST_LANGUAGES`` different values is refused with a ValueError, since
+the model goes to every task.  A language is a candidate for a script only if at least ``MIN_SCRIPT_SHARE`` of its
+training words use it.
 
 Defined results: a text that is null or has no letter gives ``und`` and score 0; a text all of
 whose words are of scripts not met in training gives the language that sorts first and score 0.  Rows with null text or language are never
 learned from.  Every row is judged on its own, so repeated rows get equal answers.  Ties go to
-the language that sorts first.  With no training rows every answer is ``und``.
+the language that sorts first.  With no training rows every answer is ``und``.  Other columns pass through, but
+for those called like an added one, in whatever case.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridsift.llm import common
 
@@ -53,6 +57,8 @@ GRAMS = (1, 2, 3, 4)
 SWITCH_PENALTY = 6.0
 #: A language is a candidate for a script that holds at least this share of its training words.
 MIN_SCRIPT_SHARE = 0.01
+#: Languages that a model may hold: half a megabyte each on the driver, a quarter in every task.
+MOST_LANGUAGES = 200
 UNDETERMINED = "und"
 WORDS_KEPT = 200_000
 _FNV, _PRIME = 0x811C9DC5, 0x01000193
@@ -138,28 +144,41 @@ def _emit(words: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(keys), "key": keys, "n": n})
 
 
+def _gathered(counts: pa.Table) -> pa.Table:
+    """The counts of one language: of all buckets, packed, and of its scripts."""
+    keys, n = counts.column("key").to_pylist(), counts.column("n").to_pylist()
+    grams, scripts = np.zeros(BUCKETS), {}
+    for key, count in zip(keys, n, strict=True):
+        if key.startswith("script:"):
+            scripts[key.removeprefix("script:")] = count
+        else:
+            grams[int(key)] = count
+    columns = [counts.column("lang")[:1].combine_chunks(), pa.array([grams.tobytes()]), pa.array([list(scripts)], pa.list_(pa.string())), pa.array([list(scripts.values())], pa.list_(pa.int64()))]
+    return pa.Table.from_arrays(columns, ["lang", "grams", "scripts", "n"])
+
+
 def train(docs: DataFrame) -> Model:
-    """Count n-grams and scripts for each language over all rows of ``docs`` (text, lang)."""
+    """Count n-grams and scripts for each language over all rows of ``docs`` (text, lang).
+
+    A language's counts become one row of half a megabyte; more than ``MOST_LANGUAGES`` are refused before any comes to the driver.
+    """
     common.ship(docs.sparkSession)
-    counts = (
-        docs.where("text IS NOT NULL AND lang IS NOT NULL")
-        .select("text", "lang")
-        .mapInArrow(_count, "lang string, key string, n long")
-        .groupBy("lang", "key")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()
-    )
-    languages = sorted(counts["lang"].unique())
+    placed, _ = common.by_place(docs, "text", "lang")
+    counts = placed.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").mapInArrow(_count, "lang string, key string, n long")
+    packed = counts.groupBy("lang", "key").agg(F.sum("n").alias("n")).groupBy("lang").applyInArrow(_gathered, "lang string, grams binary, scripts array<string>, n array<long>")
+    packed = common.materialise(packed, "language-counts")
+    if packed.count() > MOST_LANGUAGES:
+        raise ValueError(f"the column lang holds more than {MOST_LANGUAGES} languages")
+    rows = packed.orderBy("lang").collect()
+    common.discard(packed)
+    languages = [r["lang"] for r in rows]
     grams = np.full((len(languages), BUCKETS), 0.5)
     scripts: dict[str, np.ndarray] = {}
-    for i, lang in enumerate(languages):
-        own = counts[counts["lang"] == lang]
-        named = own["key"].str.startswith("script:")
-        grams[i, own.loc[~named, "key"].astype(int)] += own.loc[~named, "n"]
-        total = own.loc[named, "n"].sum()
-        for key, n in zip(own.loc[named, "key"], own.loc[named, "n"], strict=True):
-            if n >= MIN_SCRIPT_SHARE * total:
-                scripts.setdefault(key.removeprefix("script:"), np.zeros(len(languages), bool))[i] = True
+    for i, row in enumerate(rows):
+        grams[i] += np.frombuffer(row["grams"])
+        for script, n in zip(row["scripts"], row["n"], strict=True):
+            if n >= MIN_SCRIPT_SHARE * sum(row["n"]):
+                scripts.setdefault(script, np.zeros(len(languages), bool))[i] = True
     log_p = np.log(grams / grams.sum(axis=1, keepdims=True)) if languages else grams
     return Model(languages, log_p.astype(np.float32), scripts)
 
@@ -261,10 +280,10 @@ def predict(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
     common.ship(session)
     held = session.sparkContext.broadcast(model)
     kept_as = f"labeller {uuid.uuid4().hex}"
-    clash = {"lang_pred", "lang_score", "lang_spans"}
-    docs = docs.select(*(c for c in docs.columns if c not in clash))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "lang_score double"])
-    schema += ", lang_spans array<struct<lang:string,first_word:int,words:int>>" if spans else ""
+    placed, before = common.by_place(docs, "text")
+    added_names = ["lang_pred", "lang_score", *(["lang_spans"] if spans else [])]
+    span = T.ArrayType(T.StructType().add("lang", "string").add("first_word", "integer").add("words", "integer"))
+    schema = T.StructType([*placed.schema, *(T.StructField(n, t) for n, t in zip(added_names, [T.StringType(), T.DoubleType(), span], strict=False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = common.tenant(kept_as, lambda: Labeller(held.value))
@@ -286,10 +305,9 @@ def predict(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
                     ends = np.cumsum(lengths)
                     cut = [_spans((t or "").split(), labels[e - n : e], languages) if n else [] for t, n, e in zip(texts, lengths, ends, strict=True)]
                     added.append(pa.array(cut, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())]))))
-                names_out = [*batch.schema.names, "lang_pred", "lang_score", *(["lang_spans"] if spans else [])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names_out)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *added_names])
 
-    return docs.mapInArrow(run, schema)
+    return common.renamed(placed.mapInArrow(run, schema), before, *added_names)
 
 
 def held_out(modulus: int = 4):

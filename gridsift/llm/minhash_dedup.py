@@ -291,7 +291,7 @@ def _last_pairs(now: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
-    texts = common.unique_by_id(docs, "doc_id", "text").where("doc_id IS NOT NULL")
+    texts = common.unique_by_id(common.by_place(docs, "doc_id", "text")[0], "doc_id", "text").where("doc_id IS NOT NULL")
     sketched = common.materialise(sketches(texts, width), "sketches")
     same = ["n_shingles", "set_sum", "set_xor"]
     # By salted keys, so that a set that very many texts share is spread over tasks.

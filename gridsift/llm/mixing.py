@@ -52,6 +52,7 @@ SALTS = 64
 _SWEEPS_AT_ONCE = 6
 _MARKS = ".,;:!?"
 ADDED = ["n_tokens", "mix_source", "mix_lang", "mix_topic", "mix_weight", "mix_probability"]
+_MIXED = [*ADDED, "mix_kept"]
 
 
 def dominant_term(text: Column) -> Column:
@@ -208,12 +209,16 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rate: floa
     Levels are derived from the texts twice, for the cells and for the rows, so that texts need not
     be stored; ``mix_levels`` takes levels that are stored.
     """
-    return mix_levels(with_levels(docs.drop("mix_kept"), topic), targets, rate, sweeps)
+    given = [] if topic is None else ["_topic"]
+    placed, before = common.by_place(docs if topic is None else docs.withColumn("_topic", topic), "doc_id", "text", "lang", "source", *given)
+    before.pop("_topic", None)
+    mixed = mix_levels(with_levels(placed, None if topic is None else F.col("_topic")), targets, rate, sweeps)
+    return common.renamed(mixed, before, *_MIXED)
 
 
-def mix_levels(levels: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE, sweeps: int = SWEEPS) -> DataFrame:
+def mix_levels(levels: DataFrame, targets: dict[str, DataFrame] | None = None, rate: float = RATE, sweeps: int = SWEEPS, most: int = MOST_SWEEPS) -> DataFrame:
     """``with_levels`` output with raked weight, probability and ``mix_kept``."""
-    cells = cell_table(levels, targets, rate, sweeps)
+    cells = cell_table(levels, targets, rate, sweeps, most)
     cells = cells.select("mix_source", "mix_lang", "mix_topic", F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"))
     keys = ["mix_source", "mix_lang", "mix_topic"]
     if cells.count() <= BROADCAST_CELLS:
@@ -226,7 +231,7 @@ def mix_levels(levels: DataFrame, targets: dict[str, DataFrame] | None = None, r
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    mixed = mix_levels(common.materialise(with_levels(docs).drop("text", "lang", "source"), "levels"))
+    mixed = mix_levels(common.materialise(with_levels(docs).drop("text", "lang", "source"), "levels"), most=SWEEPS)
     return mixed.select(
         "doc_id",
         F.col("mix_source").alias("source"),

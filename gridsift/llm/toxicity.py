@@ -17,7 +17,8 @@ Defined results: a null or empty text has no match and gets the score of no matc
 judged one by one, repeated ones alike; a doc_id with several labels counts as toxic if one of them
 says so; of terms that explain equally much the longer one, then the one that sorts last, joins
 first; rows without a label are never learned from; with no labels, or labels of one
-kind only, the score is the share of toxic labels (0 without any).
+kind only, the score is the share of toxic labels (0 without any); other columns pass through, but for
+those called like an added one, in whatever case.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridsift.llm import common
 from gridsift.llm.language_id import letters_of
@@ -247,6 +249,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from (doc_id, text) and (doc_id, toxic); the caller leaves held-out rows out."""
     common.ship(docs.sparkSession)
+    docs, labels = common.by_place(docs, "doc_id", "text")[0], common.by_place(labels, "doc_id", "toxic")[0]
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / max(total, 1))
@@ -290,10 +293,10 @@ def score(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
     common.ship(session)
     held = session.sparkContext.broadcast(model)
     kept_as = f"matcher {uuid.uuid4().hex}"
-    docs = docs.select(*(c for c in docs.columns if c not in {"tox_score", "tox_predicted", "tox_matches"}))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "tox_score double", "tox_predicted int"])
-    kind = "array<struct<first_word:int,last_word:int,kind:string,weight:double>>"
-    schema += f", tox_matches {kind}" if spans else ""
+    placed, before = common.by_place(docs, "text")
+    added_names = ["tox_score", "tox_predicted", *(["tox_matches"] if spans else [])]
+    match = T.ArrayType(T.StructType().add("first_word", "integer").add("last_word", "integer").add("kind", "string").add("weight", "double"))
+    schema = T.StructType([*placed.schema, *(T.StructField(n, t) for n, t in zip(added_names, [T.DoubleType(), T.IntegerType(), match], strict=False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -308,10 +311,9 @@ def score(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
                     found = [[{"first_word": a, "last_word": b, "kind": k, "weight": w} for a, b, k, w in matcher.matches(t)[0]] for t in texts]
                     shape = pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("kind", pa.string()), ("weight", pa.float64())])
                     added.append(pa.array(found, pa.list_(shape)))
-                names = [*batch.schema.names, "tox_score", "tox_predicted", *(["tox_matches"] if spans else [])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *added_names])
 
-    return docs.mapInArrow(run, schema)
+    return common.renamed(placed.mapInArrow(run, schema), before, *added_names)
 
 
 def held_out():
