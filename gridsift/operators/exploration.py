@@ -135,8 +135,8 @@ def attach_archetype(df: DataFrame, panel: DataFrame) -> DataFrame:
 
 
 def attach_archetype_by_time(df: DataFrame, panel: DataFrame) -> DataFrame:
-    """Adds the archetype by consumer and time; rows without a match keep null."""
-    return df.join(panel.select(KEY, TIME, ARCHETYPE).dropDuplicates([KEY, TIME]), [KEY, TIME], "left")
+    """Adds the archetype by consumer and time; rows without a match keep null, and those with several archetypes come once for each."""
+    return df.join(panel.select(KEY, TIME, ARCHETYPE).distinct(), [KEY, TIME], "left")
 
 
 def validate(panel: DataFrame) -> dict[str, DataFrame]:

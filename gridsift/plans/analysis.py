@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import platform
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
@@ -18,10 +19,10 @@ from gridsift.operators import clustering, exploration, features, profiling
 from gridsift.operators.cleaning import clean
 from gridsift.operators.kmeans import Clusters
 from gridsift.operators.scaling import Components, Scaler, fit_components
-from gridsift.plans import reports
+from gridsift.plans import cache, reports
 from gridsift.schema import ARCHETYPE, KEY, TIME
 from gridsift.sources.generator import synthetic_panel
-from gridsift.sources.tables import exists, write_csv
+from gridsift.sources.tables import write_csv
 
 
 @dataclass(frozen=True)
@@ -208,22 +209,15 @@ def evaluation(a: Analysis) -> DataFrame:
 def cached(spark: SparkSession, settings: Settings, folder: str, panel: DataFrame | None = None, order: list[str] | None = None) -> tuple[dict[str, DataFrame], bool]:
     """The tables of ``views``, and whether they were made now.
 
-    They are kept as Parquet below ``folder`` under the fingerprint of the settings, and read from
-    there when the same settings come again; the caller keeps one folder for each given panel.  The list of tables is written last, so a run
-    that broke off is made again.
+    They are kept below ``folder`` under the settings and the content of the panel (``cache``): another panel, or one of
+    whose rows any has changed, is analysed anew.
     """
-    home = f"{folder.rstrip('/')}/{settings.fingerprint()}"
-    done = f"{home}/_tables"
-    made = not exists(spark, f"{done}/_SUCCESS")
-    if made:
+
+    def make() -> tuple[dict[str, DataFrame], Callable[[], None]]:
         a = analyse(spark, settings, panel, order)
-        tables = views(a)
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{home}/{name}")
-        spark.createDataFrame([(name,) for name in tables], "name string").coalesce(1).write.mode("overwrite").parquet(done)
-        a.release()
-    names = [r["name"] for r in spark.read.parquet(done).collect()]
-    return {name: spark.read.parquet(f"{home}/{name}") for name in names}, made
+        return views(a), a.release
+
+    return cache.kept(spark, folder, [settings.fingerprint(), order, cache.content_fingerprint(panel) if panel is not None else None], make)
 
 
 def views(a: Analysis) -> dict[str, DataFrame]:

@@ -145,6 +145,14 @@ def archetype_by_time(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("event_id", "archetype")
 
 
+def archetype_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """By consumer and day, so that the archetype's side repeats keys with different archetypes."""
+    from gridsift.operators.exploration import attach_archetype_by_time
+
+    days = panel(spark, d).withColumn(TIME, F.date_trunc("day", TIME))
+    return attach_archetype_by_time(days.drop("archetype"), days.where("archetype != 'click'")).select("event_id", "archetype")
+
+
 QUERIES = {
     "calendar_extract": calendar_extract,
     "time_parse": time_parse,
@@ -175,6 +183,7 @@ QUERIES = {
     "small_group_guards": small_group_guards,
     "weekend_share": weekend_share,
     "archetype_by_time": archetype_by_time,
+    "archetype_by_day": archetype_by_day,
 }
 
 _W = "PARTITION BY consumer_id ORDER BY timestamp, event_id"
@@ -245,6 +254,8 @@ ORACLES = {
         ["cv", "skewness", "kurtosis"],
     ),
     "weekend_share": f"WITH {PANEL} SELECT consumer_id, round(avg(CAST(is_weekend AS INTEGER)), 6) + 0.0 AS weekend_share FROM panel GROUP BY consumer_id",
+    "archetype_by_day": f"""WITH {PANEL}, a AS (SELECT DISTINCT consumer_id, date_trunc('day', timestamp) AS day, archetype FROM panel WHERE archetype != 'click')
+        SELECT p.event_id, a.archetype FROM panel p LEFT JOIN a ON p.consumer_id = a.consumer_id AND date_trunc('day', p.timestamp) = a.day""",
     "archetype_by_time": f"""WITH {PANEL}, a AS (SELECT consumer_id, timestamp, archetype FROM panel WHERE archetype != 'click')
         SELECT p.event_id, a.archetype FROM panel p LEFT JOIN a ON p.consumer_id = a.consumer_id AND p.timestamp = a.timestamp""",
 }

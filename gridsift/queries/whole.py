@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridsift.functions.calendar import with_calendar
 from gridsift.operators import cleaning, clustering, exploration, features, metrics, profiling, scaling
-from gridsift.plans import reports
+from gridsift.plans import cache, reports
 from gridsift.plans.analysis import Analysis, Settings, ablate, analyse, cached, load_components, load_kmeans, load_labels, load_metadata, views
 from gridsift.queries.clusters import _CH, _DB, _INSIGHTS, _NAME, _PROFILES, _SILHOUETTE, _X, _behavior, _points, _profiles
 from gridsift.queries.clusters import ORACLES as _CLUSTERS
@@ -202,13 +202,54 @@ def models_reloaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def result_cache(spark: SparkSession, d: str) -> DataFrame:
-    """The same settings twice, then others."""
+    """The same analysis twice, then one of other values under the same settings."""
     folder, rows = scratch(spark, "cache"), []
     one = Settings(**(vars(_TWO) | {"ks": (2, 3), "restarts": 1, "test_stability": False}))
-    for turn, settings in enumerate([one, one, Settings(**(vars(one) | {"seed": 7}))]):
-        found, made = cached(spark, settings, folder, _two_kinds(spark, d), [TIME])
-        rows.append((turn, made, found["profiles"].count(), found["projection"].count()))
-    return spark.createDataFrame(rows, "turn int, made boolean, profiles long, consumers long")
+    kinds = _two_kinds(spark, d)
+    for turn, panel_now in enumerate([kinds, kinds.repartition(3), kinds.withColumn(VALUE, F.col(VALUE) * 100)]):
+        found, made = cached(spark, one, folder, panel_now, [TIME])
+        mean = found["profiles"].agg(F.sum(F.col("avg_consumption") * F.col("size")) / F.sum("size")).first()[0]
+        rows.append((turn, made, found["projection"].count(), mean))
+    return rounded(spark.createDataFrame(rows, "turn int, made boolean, consumers long, mean double"))
+
+
+def cache_turns(spark: SparkSession, d: str) -> DataFrame:
+    """A table kept by content: what makes it anew, and what broken and double writes leave."""
+    folder, out = scratch(spark, "cache"), []
+    rows = panel(spark, d)
+    made_of = lambda df: cache.kept(spark, folder, ["hourly", cache.content_fingerprint(df)], lambda: ({"hourly": exploration.hourly_profile(df)}, lambda: None))
+    twice = rows.union(rows.where(F.col("event_id") % 7 == 0))
+    changed = rows.withColumn(VALUE, F.when(F.col("event_id") % 7 == 0, F.col(VALUE) + 1).otherwise(F.col(VALUE)))
+    for name, df in [("first", rows), ("again", rows), ("in another order", rows.repartition(3)), ("rows repeated", twice), ("values changed", changed), ("repeated again", twice)]:
+        tables, made = made_of(df)
+        out.append((name, made, tables["hourly"].agg(F.sum("mean_kwh")).first()[0]))
+    store = cache.Store(spark, f"{folder}/broken")
+    rows.write.parquet(f"{folder}/broken/runs/half/hourly")
+    out.append(("a broken write", store.committed() is None, None))
+    store.write({"hourly": exploration.hourly_profile(rows)})
+    store.write({"hourly": exploration.hourly_profile(rows)})
+    out.append(("two writers", len(store.read(store.committed())) == 1, store.read(store.committed())["hourly"].agg(F.sum("mean_kwh")).first()[0]))
+    return rounded(spark.createDataFrame(out, "turn string, made boolean, total double"), 4)
+
+
+def content_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Which changes of a panel its fingerprint tells."""
+    rows = panel(spark, d)
+    base = cache.content_fingerprint(rows)
+    first = rows.agg(F.min("event_id")).first()[0]
+    one = F.col("event_id") == first
+    changed = {
+        "order and partitions": rows.repartition(3).orderBy(F.desc("event_id")),
+        "order of columns": rows.select(*reversed(rows.columns)),
+        "one value": rows.withColumn(VALUE, F.when(one, F.col(VALUE) + 1e-9).otherwise(F.col(VALUE))),
+        "one value missing": rows.withColumn(VALUE, F.when(~one, F.col(VALUE))),
+        "one row less": rows.where(~one),
+        "one row twice": rows.union(rows.where(one)),
+        "one row thrice": rows.union(rows.where(one)).union(rows.where(one)),
+        "a name": rows.withColumnRenamed(VALUE, "kwh"),
+        "a type": rows.withColumn("hour", F.col("hour").cast("long")),
+    }
+    return spark.createDataFrame([(name, cache.content_fingerprint(df) != base) for name, df in changed.items()], "change string, told boolean")
 
 
 def recommendation_report(spark: SparkSession, d: str) -> DataFrame:
@@ -353,6 +394,8 @@ QUERIES = {
     "metadata_keys": metadata_keys,
     "models_reloaded": models_reloaded,
     "result_cache": result_cache,
+    "cache_turns": cache_turns,
+    "content_fingerprints": content_fingerprints,
     "recommendation_report": recommendation_report,
     "cluster_insights_older": cluster_insights_older,
     "csv_round_trip": csv_round_trip,
@@ -473,7 +516,13 @@ ORACLES = {
     ),
     "metadata_keys": "SELECT key, true AS known FROM (VALUES " + ", ".join(f"('{k}')" for k in ("data_source features feature_set components variance k seed versions written_at name fingerprint n_consumers n_days cluster_sizes".split())) + ", ('version of pyspark'), ('version of java'), ('version of python')) v(key)",
     "models_reloaded": "SELECT count(*) AS consumers, count(*) AS same FROM supplier",
-    "result_cache": "SELECT CAST(turn AS INTEGER) AS turn, turn != 1 AS made, CAST(2 AS BIGINT) AS profiles, (SELECT count(*) FROM supplier) AS consumers FROM range(3) r(turn)",
+    "result_cache": f"""WITH {_KINDS} SELECT CAST(turn AS INTEGER) AS turn, turn != 1 AS made, (SELECT count(*) FROM supplier) AS consumers, round((SELECT avg({E}_mean) FROM f) * CASE turn WHEN 2 THEN 100 ELSE 1 END, 6) + 0.0 AS mean FROM range(3) r(turn)""",
+    "cache_turns": f"""WITH {PANEL}, turns(turn, made, again, more) AS (VALUES ('first', true, 0, 0), ('again', false, 0, 0), ('in another order', false, 0, 0), ('rows repeated', true, 1, 0), ('values changed', true, 0, 1),
+          ('repeated again', false, 1, 0), ('two writers', true, 0, 0)),
+        h AS (SELECT turn, made, hour, sum(w * ({E} + more * (event_id % 7 = 0)::INTEGER)) / sum(w) AS m FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN 1 + again ELSE 1 END AS w FROM panel, turns) WHERE {E} IS NOT NULL GROUP BY ALL)
+        SELECT turn, made, round(sum(m), 4) + 0.0 AS total FROM h GROUP BY turn, made UNION ALL SELECT 'a broken write', true, NULL""",
+    "content_fingerprints": """SELECT * FROM (VALUES ('order and partitions', false), ('order of columns', false), ('one value', true), ('one value missing', true), ('one row less', true),
+        ('one row twice', true), ('one row thrice', true), ('a name', true), ('a type', true)) v(change, told)""",
     "recommendation_report": f"""WITH rec AS ({_CLUSTERS["recommendations"]}) SELECT '# Recommendations' AS line UNION ALL SELECT 'Each one names the measured trait of the cluster that triggers it.'
         UNION ALL SELECT DISTINCT concat('## ', cluster_name, ' (cluster ', cluster, ')') FROM rec UNION ALL SELECT concat(rank, '. **', recommendation, '** [', upper(priority), ', ', category, ']: ', evidence) FROM rec""",
     "cluster_insights_older": f"WITH {_PROFILES} {_OLDER}",
