@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsift.functions.quantiles import exact_quantiles
+from gridsift.functions.quantiles import FEW, exact_quantiles
 from gridsift.functions.stats import bin_of, kurtosis_g2, ratio, skewness_g1
 from gridsift.operators import matrices
 from gridsift.operators.scaling import pair_table
@@ -64,18 +64,23 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
 
 
 def box_statistics(df: DataFrame, column: str, by: str) -> DataFrame:
-    """Quartiles of each group, whiskers at the last values within 1.5 quartile ranges, outliers beyond."""
+    """Quartiles of each group, whiskers at the last values within 1.5 quartile ranges, outliers beyond.
+
+    Groups may be many: their quartiles are broadcast only where they are few.
+    """
     q = exact_quantiles(df.where(F.col(by).isNotNull()), [column], [0.25, 0.5, 0.75], [by])
     spread = q.groupBy(by).agg(*(F.max(F.when(F.col("probability") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))))
-    joined = df.join(F.broadcast(spread), by)
+    few = spread.limit(FEW + 1).count() <= FEW
+    joined = df.where(F.col(column).isNotNull()).join(F.broadcast(spread) if few else spread, by)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(column).between(F.col("q1") - reach, F.col("q3") + reach)
-    return joined.where(F.col(column).isNotNull()).groupBy(by, "q1", "q2", "q3").agg(
+    rows = joined.groupBy(F.struct(by, "q1", "q2", "q3").alias("key")).agg(
         F.min(F.when(inside, F.col(column))).alias("low_whisker"),
         F.max(F.when(inside, F.col(column))).alias("high_whisker"),
         F.count_if(~inside).alias("outliers"),
         F.count(F.lit(1)).alias("n"),
     )
+    return rows.select("key.*", "low_whisker", "high_whisker", "outliers", "n")
 
 
 def explore(panel: DataFrame, first: int = 6) -> dict[str, DataFrame]:

@@ -2,7 +2,8 @@
 
 All features of a consumer come from a single aggregation, so a panel is shuffled once, and with
 partial sums before it.  Only the median has to see a consumer's values together; it is left out
-unless scale features are asked for.
+unless scale features are asked for.  Where a consumer may have more values than a task can hold,
+``spread_medians`` takes the medians from ``exact_quantiles``, which never gathers a consumer's values.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridsift.functions.quantiles import exact_quantiles
 from gridsift.functions.stats import kurtosis_g2, mean_where, ratio, skewness_g1
 from gridsift.schema import BEHAVIORAL, KEY, MEASURES, PERIODS, SCALE, SHAPE, VALUE, numeric_columns
 
@@ -53,26 +55,36 @@ def behavioral_columns() -> dict[str, Column]:
     return shape | {c: F.col(c) for c in BEHAVIORAL if c not in shape}
 
 
-def scale_aggregates(columns: list[str], *, total: bool = True) -> dict[str, Column]:
+def scale_aggregates(columns: list[str], *, total: bool = True, median: bool = True) -> dict[str, Column]:
     """Mean, max, min, median, std and sum of the consumption; means of the measures that are present.
 
     ``total=False`` leaves the sum out, as the older scale set does.
     """
     value = F.col(VALUE)
-    kinds = {"mean": F.avg, "max": F.max, "min": F.min, "median": F.median, "std": F.stddev_samp, **({"sum": F.sum} if total else {})}
+    kinds = {"mean": F.avg, "max": F.max, "min": F.min, **({"median": F.median} if median else {}), "std": F.stddev_samp, **({"sum": F.sum} if total else {})}
     out = {f"{VALUE}_{name}": f(value) for name, f in kinds.items()}
     return out | {f"{m}_mean": F.avg(m) for m in MEASURES if m in columns}
 
 
-def raw_features(panel: DataFrame, feature_set: str = "combined", *, total: bool = True) -> DataFrame:
+def consumer_medians(panel: DataFrame) -> DataFrame:
+    """(consumer_id, median) of the consumption, exact, with no consumer's values in one task."""
+    found = exact_quantiles(panel.where(F.col(KEY).isNotNull()), [VALUE], [0.5], [KEY])
+    return found.select(KEY, F.col("value").alias(f"{VALUE}_median"))
+
+
+def raw_features(panel: DataFrame, feature_set: str = "combined", *, total: bool = True, spread_medians: bool = False) -> DataFrame:
     """One row for each consumer with its features as they are, nulls included."""
     if feature_set not in FEATURE_SETS:
         raise ValueError(f"unknown feature set: {feature_set}")
     behavior = behavioral_aggregates() if feature_set != "scale" else {}
-    scale = scale_aggregates(panel.columns, total=total) if feature_set != "behavioral" else {}
+    scale = scale_aggregates(panel.columns, total=total, median=not spread_medians) if feature_set != "behavioral" else {}
     rows = panel.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(*(c.alias(n) for n, c in (behavior | scale).items()))
     named = behavioral_columns() if behavior else {}
-    return rows.select(KEY, *(c.alias(n) for n, c in named.items()), *scale)
+    found = rows.select(KEY, *(c.alias(n) for n, c in named.items()), *scale)
+    if not (scale and spread_medians):
+        return found
+    names = [*named, *scale_aggregates(panel.columns, total=total)]
+    return found.join(consumer_medians(panel), KEY, "left").select(KEY, *names)
 
 
 def varying_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsift.functions.calendar import parse_time, with_calendar
+from gridsift.functions.quantiles import exact_quantiles
 from gridsift.functions.stats import kurtosis_g2, ratio, skewness_g1
 from gridsift.operators import cleaning, features
 from gridsift.queries.common import GAPPY, PANEL, gappy, moment_sql, panel, raw_features_sql, rounded, rounded_sql, table
@@ -153,6 +154,23 @@ def archetype_by_day(spark: SparkSession, d: str) -> DataFrame:
     return attach_archetype_by_time(days.drop("archetype"), days.where("archetype != 'click'")).select("event_id", "archetype")
 
 
+def consumer_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Medians of all consumers of a panel in which one consumer holds a third of the rows."""
+    rows = panel(spark, d)
+    hot = rows.withColumn(KEY, F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col(KEY)))
+    return rounded(features.consumer_medians(hot))
+
+
+def scale_stats_spread(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(features.raw_features(panel(spark, d), "scale", spread_medians=True))
+
+
+def quantiles_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Quartiles of the prices of every customer's orders: many small groups."""
+    found = exact_quantiles(table(spark, d, "orders"), ["o_totalprice"], [0.25, 0.5, 0.75], ["o_custkey"])
+    return rounded(found.select("o_custkey", "probability", "value"))
+
+
 QUERIES = {
     "calendar_extract": calendar_extract,
     "time_parse": time_parse,
@@ -184,6 +202,9 @@ QUERIES = {
     "weekend_share": weekend_share,
     "archetype_by_time": archetype_by_time,
     "archetype_by_day": archetype_by_day,
+    "consumer_medians": consumer_medians,
+    "scale_stats_spread": scale_stats_spread,
+    "quantiles_of_orders": quantiles_of_orders,
 }
 
 _W = "PARTITION BY consumer_id ORDER BY timestamp, event_id"
@@ -254,8 +275,11 @@ ORACLES = {
         ["cv", "skewness", "kurtosis"],
     ),
     "weekend_share": f"WITH {PANEL} SELECT consumer_id, round(avg(CAST(is_weekend AS INTEGER)), 6) + 0.0 AS weekend_share FROM panel GROUP BY consumer_id",
+    "consumer_medians": f"WITH {PANEL} SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE consumer_id END AS consumer_id, round(quantile_cont({E}, 0.5), 6) + 0.0 AS {E}_median FROM panel WHERE consumer_id IS NOT NULL OR event_id % 3 = 0 GROUP BY 1 HAVING count({E}) > 0",
+    "quantiles_of_orders": "SELECT o_custkey, p AS probability, round(q, 6) + 0.0 AS value FROM (SELECT o_custkey, unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]) AS p, unnest(quantile_cont(o_totalprice::DOUBLE, [0.25, 0.5, 0.75])) AS q FROM orders GROUP BY o_custkey)",
     "archetype_by_day": f"""WITH {PANEL}, a AS (SELECT DISTINCT consumer_id, date_trunc('day', timestamp) AS day, archetype FROM panel WHERE archetype != 'click')
         SELECT p.event_id, a.archetype FROM panel p LEFT JOIN a ON p.consumer_id = a.consumer_id AND date_trunc('day', p.timestamp) = a.day""",
     "archetype_by_time": f"""WITH {PANEL}, a AS (SELECT consumer_id, timestamp, archetype FROM panel WHERE archetype != 'click')
         SELECT p.event_id, a.archetype FROM panel p LEFT JOIN a ON p.consumer_id = a.consumer_id AND p.timestamp = a.timestamp""",
 }
+ORACLES["scale_stats_spread"] = ORACLES["scale_stats"]

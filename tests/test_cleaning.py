@@ -135,3 +135,41 @@ def test_fills_of_a_long_consumer_take_linear_time(spark):
     assert fill(rows, [VALUE]).where(f"{VALUE} = 7").count() == 100_000
     assert fill_ungrouped(rows, [VALUE]).where(f"{VALUE} = 7").count() == 100_000
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_quantiles_of_many_groups_and_one_large_one(spark, monkeypatch, few):
+    """Brackets broadcast or joined; ties, infinities and a sketch that is far off."""
+    import numpy as np
+
+    from gridsift.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", few)
+    rng = np.random.default_rng(4)
+    rows = [(0, float(v)) for v in np.round(rng.normal(0, 3, 4_000), 1)] + [(g, float(v)) for g in range(1, 300) for v in rng.integers(0, 5, g % 7)]
+    rows += [(None, 2.0), (None, 4.0), (500, None), (501, float("nan"))]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(6)
+    own = {}
+    for g, v in rows:
+        if v is not None and v == v:
+            own.setdefault(g, []).append(v)
+    for accuracy in (2_000, 5):
+        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+        found = quantiles.exact_quantiles(df, ["x"], [0.25, 0.5], ["g"]).collect()
+        assert {(r["g"], r["probability"]) for r in found} == {(g, p) for g in own for p in (0.25, 0.5)}
+        assert all(r["value"] == pytest.approx(np.quantile(own[r["g"]], r["probability"])) for r in found)
+    assert quantiles.exact_quantiles(df.where("false"), ["x"], [0.5], ["g"]).count() == 0
+
+
+def test_no_row_of_a_group_reaches_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    from gridsift.operators import exploration
+
+    df = spark.range(2_000).select((F.col("id") % 700).alias("g"), F.rand(3).alias("x"))
+    monkeypatch.setattr(DataFrame, "collect", lambda self: pytest.fail("collected"))
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("collected"))
+    boxes = exploration.box_statistics(df, "x", "g")
+    monkeypatch.undo()
+    assert boxes.count() == 700
