@@ -46,15 +46,16 @@ def label(points: DataFrame, model: Clusters, x: str = "pc") -> DataFrame:
     return labelings(points, [model], x).withColumn("cluster", F.get("clusters", F.lit(0))).drop("clusters")
 
 
-def sweep(points: DataFrame, ks: range, x: str = "pc", key: str = KEY, seed: int = SEED, restarts: int = RESTARTS) -> tuple[DataFrame, dict[int, Clusters]]:
+def sweep(points: DataFrame, ks: range, x: str = "pc", key: str = KEY, seed: int = SEED, restarts: int = RESTARTS, error: float | None = None) -> tuple[DataFrame, dict[int, Clusters]]:
     """(k, inertia, silhouette, ch, db) for each K, and the models.
 
-    All labelings are one table, so distances between points are taken once for all K.
+    All labelings are one table, so distances between points are taken once for all K.  With an ``error``, or beyond
+    ``metrics.EXACT_UPTO`` points, silhouettes are taken against drawn points of each cluster.
     """
     fitted = fit_all(points, [(k, seed + i) for k in ks for i in range(restarts)], x=x, key=key)
     models = {k: _best(fitted[i * restarts : (i + 1) * restarts]) for i, k in enumerate(ks)}
     wide = labelings(points.select(F.col(key).cast("long").alias("id"), F.col(x).cast("array<double>").alias("x")), list(models.values()), "x").persist()
-    found = metrics.metrics_of_labelings(wide, len(models))
+    found = metrics.metrics_of_labelings(wide, len(models), error)
     wide.unpersist()
     rows = [(k, model.inertia, own["silhouette"], own["ch"], own["db"]) for (k, model), own in zip(models.items(), found, strict=True)]
     return points.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, ch double, db double"), models

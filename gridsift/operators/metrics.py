@@ -7,6 +7,7 @@ partial aggregation; the table of clusters has a row for each cluster.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ from gridsift.shipping import ship
 
 #: Points of a block of the silhouette; a task compares two blocks.
 BLOCK = 2048
+#: Up to so many points silhouettes are exact unless an error is given; beyond, ``ERROR`` is.
+EXACT_UPTO = 100_000
+ERROR, DOUBT = 0.05, 0.01
 
 
 def points(df: DataFrame, key: str, cluster: str, x: str) -> DataFrame:
@@ -157,13 +161,85 @@ def silhouettes_of_labelings(pts: DataFrame, block: int = BLOCK) -> DataFrame:
     return both.select("labeling", "id", "cluster", F.coalesce(value, F.lit(0.0)).alias("silhouette"))
 
 
+def coreset_size(error: float, doubt: float = DOUBT) -> int:
+    """Draws from a cluster after which a point's mean distance to it is off by more than ``error`` times itself with a chance below ``doubt``.
+
+    A point y of a cluster with n points is drawn with odds q(y) = (1 + d(y, c) / r) / 2n, where c is the centroid and r
+    the mean distance to it, and weighs 1 / (n q(y)).  Then no term of the sum for a point x exceeds 2 max(d(x, c), r), which is
+    at most 4 times its mean distance D, and Bernstein's inequality for m Poisson draws gives the chance of an error above
+    e D as at most 2 exp(-m e^2 / (8 + 8 e / 3)).
+    """
+    return math.ceil((8 + 8 * error / 3) * math.log(2 / doubt) / error**2)
+
+
+def coresets(pts: DataFrame, size: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
+    """Points, weights and clusters of the drawn points, and the sizes of all clusters.
+
+    A cluster of up to ``size`` points is taken whole.  Draws come from hashes of the ids, so partitions do not change them; what
+    comes to the driver is about ``size`` points of each cluster, however many it has.
+    """
+    rows = [(r["cluster"], r["n"], r["c"], r["d"]) for r in _within(pts)]
+    table = pts.sparkSession.createDataFrame(rows, "cluster int, n long, centroid array<double>, total double")
+    away = F.sqrt(squared_distance(F.col("x"), F.col("centroid")))
+    share = F.when(F.col("n") <= size, F.lit(None)).otherwise((1 + F.coalesce(F.try_divide(away * F.col("n"), F.col("total")), F.lit(1.0))) / (2 * F.col("n")))
+    uniform = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    odds = pts.join(F.broadcast(table), "cluster").select("cluster", "x", "n", (share * size).alias("rate"), uniform.alias("u"))
+    # Draws of a point: how many steps of the Poisson distribution its number lies beyond; below the first step it is not drawn.
+    drawn = odds.where(F.col("rate").isNull() | (F.col("u") > F.exp(-F.col("rate")))).orderBy("cluster", "x").collect()
+    x, weight, cluster = [], [], []
+    for r in drawn:
+        if r["rate"] is None:
+            times, each = 1, 1 / r["n"]
+        else:
+            times, step = 0, math.exp(-r["rate"])
+            upto = step
+            while r["u"] > upto and step > 0:
+                times += 1
+                step *= r["rate"] / times
+                upto += step
+            each = 1 / (r["n"] * r["rate"])
+        x.append(r["x"])
+        weight.append(times * each)
+        cluster.append(r["cluster"])
+    return np.array(x), np.array(weight), np.array(cluster, int), {c: n for c, n, _, _ in rows}
+
+
+def silhouettes_by_coreset(pts: DataFrame, error: float = ERROR, doubt: float = DOUBT, seed: int = 1) -> DataFrame:
+    """(id, cluster, silhouette) against drawn points of each cluster; the work grows in proportion to the points."""
+    ship(pts.sparkSession)
+    x, weight, cluster, sizes = coresets(pts, coreset_size(error, doubt), seed)
+    names = sorted(sizes)
+    starts = np.searchsorted(cluster, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, 4_000_000 // max(1, len(x)))
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                own = np.searchsorted(names, batch.column("cluster").to_numpy())
+                far = _distances(batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1), x)
+                mean = np.add.reduceat(far * weight, starts, axis=1)
+                n = np.array([sizes[c] for c in names])[own]
+                at = np.arange(len(own))
+                a = mean[at, own] * n / np.maximum(n - 1, 1)
+                mean[at, own] = np.inf
+                b = mean.min(1)
+                some = (n > 1) & np.isfinite(b) & (np.maximum(a, b) > 0)
+                value = np.where(some, (np.where(some, b, 0) - a) / np.where(some, np.maximum(a, b), 1), 0.0)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cluster"), pa.array(value)], ["id", "cluster", "silhouette"])
+
+    return pts.select("id", "cluster", "x").mapInArrow(run, "id long, cluster int, silhouette double")
+
+
 def silhouettes(pts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, cluster, silhouette) of every point against all points, by Euclidean distance."""
     return silhouettes_of_labelings(pts.select("id", F.array("cluster").alias("clusters"), "x"), block).select("id", "cluster", "silhouette")
 
 
-def silhouette(pts: DataFrame, block: int = BLOCK) -> float | None:
-    return silhouettes(pts, block).agg(F.avg("silhouette").alias("s")).first()["s"]
+def silhouette(pts: DataFrame, block: int = BLOCK, error: float | None = None) -> float | None:
+    """The mean silhouette: exact for up to ``EXACT_UPTO`` points unless an error is given."""
+    if error is None and pts.count() > EXACT_UPTO:
+        error = ERROR
+    return (silhouettes(pts, block) if error is None else silhouettes_by_coreset(pts, error)).agg(F.avg("silhouette").alias("s")).first()["s"]
 
 
 def all_metrics(pts: DataFrame) -> dict[str, float | None]:
@@ -175,9 +251,15 @@ def _from_centroids(rows: list) -> dict[str, float | None]:
     return {"inertia": sum(r["d2"] for r in rows), "ch": _calinski_harabasz(rows), "db": _davies_bouldin(rows)}
 
 
-def metrics_of_labelings(pts: DataFrame, n: int) -> list[dict[str, float | None]]:
-    """``all_metrics`` of each of n labelings of points (id, clusters array<int>, x); distances are taken once."""
-    means = {r["labeling"]: r["s"] for r in silhouettes_of_labelings(pts).groupBy("labeling").agg(F.avg("silhouette").alias("s")).collect()}
+def metrics_of_labelings(pts: DataFrame, n: int, error: float | None = None) -> list[dict[str, float | None]]:
+    """``all_metrics`` of each of n labelings of points (id, clusters array<int>, x); exact distances are taken once."""
+    if error is None and pts.count() > EXACT_UPTO:
+        error = ERROR
+    if error is not None:
+        own = [silhouette(pts.select("id", F.get("clusters", F.lit(i)).alias("cluster"), "x"), error=error) for i in range(n)]
+        means = dict(enumerate(own))
+    else:
+        means = {r["labeling"]: r["s"] for r in silhouettes_of_labelings(pts).groupBy("labeling").agg(F.avg("silhouette").alias("s")).collect()}
     within = within_labelings(pts)
     return [_from_centroids(within.get(i, [])) | {"silhouette": means.get(i)} for i in range(n)]
 

@@ -105,6 +105,22 @@ def metric_bundle(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} double" for n in names)), 4)
 
 
+def silhouette_by_coreset(spark: SparkSession, d: str) -> DataFrame:
+    """At the default error a cluster of some thousand points is taken whole, so the values are exact here."""
+    return rounded(metrics.silhouettes_by_coreset(_points(spark, d)))
+
+
+def silhouette_error(spark: SparkSession, d: str) -> DataFrame:
+    """Means over all points, exact and from few draws; a mean distance may be off by ``error`` of itself, so a silhouette by twice that."""
+    points = _points(spark, d).select("id", F.pmod("cluster", F.lit(2)).alias("cluster"), "x").persist()
+    exact, rows = metrics.silhouette(points), []
+    for error in (1.0, 0.6):
+        kept = metrics.coresets(points, metrics.coreset_size(error))
+        rows.append((error, len(kept[0]) < sum(kept[3].values()), round(exact, 4) + 0.0, abs(metrics.silhouette(points, error=error) - exact) <= 2 * error))
+    points.unpersist()
+    return spark.createDataFrame(rows, "error double, drawn boolean, exact double, within boolean")
+
+
 def _labelings(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of the labelings ``label % k`` of the embeddings, in the form of a sweep."""
     ks = range(2, 6)
@@ -383,6 +399,8 @@ QUERIES = {
     "k_sweep_apart": k_sweep_apart,
     "stability_apart": stability_apart,
     "metric_bundle": metric_bundle,
+    "silhouette_by_coreset": silhouette_by_coreset,
+    "silhouette_error": silhouette_error,
     "sweep_of_labelings": sweep_of_labelings,
     "k_vote_of_labelings": k_vote_of_labelings,
     "k_vote": k_vote,
@@ -495,6 +513,9 @@ ORACLES = {
         SELECT CAST(4 AS BIGINT) AS k, CAST(10 AS BIGINT) AS n_runs, 1.0::DOUBLE AS mean_ari, 0.0::DOUBLE AS std_ari, round(inertia, 3) + 0.0 AS mean_inertia, 0.0::DOUBLE AS std_inertia FROM found""",
     "metric_bundle": f"""SELECT (SELECT round(inertia, 4) FROM ({_CLUSTERS["inertia_by_label"]})) + 0.0 AS inertia, (SELECT round(avg(silhouette), 4) FROM ({_SILHOUETTE})) + 0.0 AS silhouette,
         (SELECT round(ch, 4) FROM ({_CH})) + 0.0 AS ch, (SELECT round(db, 4) FROM ({_DB})) + 0.0 AS db""",
+    "silhouette_by_coreset": _SILHOUETTE,
+    "silhouette_error": f"""SELECT error, true AS drawn, exact, true AS within FROM (VALUES (1.0::DOUBLE), (0.6::DOUBLE)) v(error),
+        (SELECT round(avg(silhouette), 4) + 0.0 AS exact FROM ({_SILHOUETTE.replace("label AS cluster", "((label % 2) + 2) % 2 AS cluster")}))""",
     "sweep_of_labelings": f"WITH {_MOD_P}, {_MANY} " + rounded_sql("SELECT * FROM found", _MEASURES, 4),
     "k_vote_of_labelings": f"WITH {_MOD_P}, {_MANY}, {_VOTES} SELECT *, k = (SELECT k FROM v ORDER BY votes DESC, place LIMIT 1) AS chosen FROM v",
     "k_vote": f"WITH {_MOD_P}, {_MANY}, {_VOTES} SELECT * FROM v",

@@ -241,3 +241,39 @@ def test_components_of_dependent_columns(spark):
     assert found.matrix.T @ found.matrix == pytest.approx(np.eye(6), abs=1e-12)
     few = scaling.fit_components(df.limit(2))
     assert sum(few.ratios) == pytest.approx(1.0) and len(few.ratios) == 6
+
+
+def test_silhouettes_by_coreset(spark):
+    """Whole clusters below its size, drawn ones above; mean distances stay within the stated error."""
+    pts = cloud(spark, n=600).persist()
+    _, sil, _, _ = brute(pts.orderBy("id").collect())
+    whole = metrics.silhouettes_by_coreset(pts).orderBy("id").collect()
+    assert [r["silhouette"] for r in whole] == pytest.approx(sil.tolist())
+    error = 0.8
+    size = metrics.coreset_size(error)
+    assert size < 200
+    x, weight, cluster, sizes = metrics.coresets(pts, size)
+    assert len(x) < 601 and sizes == {0: 200, 1: 200, 2: 200, 3: 1}
+    rows = pts.collect()
+    for c in (0, 1, 2):
+        own = np.array([r["x"] for r in rows if r["cluster"] == c])
+        for r in rows:
+            exact = np.linalg.norm(own - r["x"], axis=1).mean()
+            near = (np.linalg.norm(x[cluster == c] - r["x"], axis=1) * weight[cluster == c]).sum()
+            assert abs(near - exact) <= error * exact
+    again = metrics.coresets(pts.repartition(5), size)
+    assert (again[0] == x).all() and again[1] == pytest.approx(weight)
+    assert abs(metrics.silhouette(pts, error=error) - sil.mean()) < 0.2
+    one = pts.selectExpr("id", "0 AS cluster", "x")
+    assert metrics.silhouette(one, error=error) == 0.0 and metrics.silhouettes_by_coreset(one.where("false"), error).count() == 0
+
+
+def test_many_points_take_the_coreset(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "EXACT_UPTO", 10)
+    calls = []
+    real = metrics.silhouettes_by_coreset
+    monkeypatch.setattr(metrics, "silhouettes_by_coreset", lambda *a: calls.append(a[1]) or real(*a))
+    pts = cloud(spark)
+    metrics.silhouette(pts)
+    metrics.metrics_of_labelings(pts.selectExpr("id", "array(cluster, cluster % 2) AS clusters", "x"), 2)
+    assert calls == [metrics.ERROR] * 3
