@@ -18,7 +18,8 @@ discount; what the discounts leave goes to backoff.  All unknown tokens are one
 leave at order 1.  Everything that grows with the corpus stays in partitioned tables.
 
 Defined results: a null or empty text has the end as its only token; rows are scored one by one,
-so repeated rows count and score like any others; without training tokens every probability is
+so repeated rows count and score like any others (where very many are equal they are carried as one row with
+their number, and written out again at the end); without training tokens every probability is
 that of the unknown type, 1.  Rows without doc_id belong to no fold and are not learned from; they
 are dealt to all blocks by their texts.  Texts are used whole, however long; other columns are
 ignored, whatever their names; an empty table gives an empty result.
@@ -46,6 +47,8 @@ GOOD_TURING_MAX = 5
 BLOCK_BYTES = 12_000_000
 MIN_BLOCKS = 64
 MAX_RANGES = 1024
+#: Most keys of very often repeated rows that are broadcast.
+MOST_BROADCAST = 100_000
 #: Text bytes that a task holds before it hands on what it made of them.
 FLUSH_BYTES = 15_000_000
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -111,12 +114,13 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _request_rows(block: int, texts: pa.Array, train: list[bool], order: int, buckets: int) -> Iterator[tuple]:
+def _request_rows(block: int, texts: pa.Array, weight: np.ndarray, order: int, buckets: int) -> Iterator[tuple]:
     grams = Grams(texts, order)
-    learned = train[grams.doc]
+    learned = weight[grams.doc]
     for n in range(1, order + 1):
         distinct, at = grams.distinct(n)
-        counts = np.bincount(at, learned, len(distinct)).astype("<u4")
+        counts = np.bincount(at, learned, len(distinct))
+        counts = counts.astype("<u4" if counts.max(initial=0) < 2**32 else "<u8")
         cuts = _cuts(distinct, buckets)
         for b in range(buckets):
             if cuts[b] < cuts[b + 1]:
@@ -142,8 +146,8 @@ def requests(docs: DataFrame, order: int, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for block, parts in held.items():
                 table = pa.Table.from_batches(parts).combine_chunks()
-                texts, train = (table.column(c).combine_chunks() for c in ("text", "train"))
-                yield _table(list(_request_rows(block, texts, train.to_numpy(zero_copy_only=False), order, buckets)), kinds)
+                weight = table.column("copies").to_numpy() * table.column("train").to_numpy()
+                yield _table(list(_request_rows(block, table.column("text").combine_chunks(), weight, order, buckets)), kinds)
             held.clear()
 
         for batch in batches:
@@ -158,7 +162,7 @@ def requests(docs: DataFrame, order: int, buckets: int) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return docs.select("block", "train", "text").mapInArrow(run, _REQUEST)
+    return docs.select("block", "train", "copies", "text").mapInArrow(run, _REQUEST)
 
 
 def _by_block(table: pa.Table, *columns: str) -> dict[int, list[list]]:
@@ -174,7 +178,8 @@ def _answer_counts(key: tuple, table: pa.Table) -> pa.Table:
     asked = {}
     for block, parts in _by_block(table, "hashes", "counts").items():
         hashes = np.concatenate([unpacked(h) for h, _ in parts])
-        counts = np.concatenate([np.frombuffer(c, "<u4") for _, c in parts])
+        sizes = [len(h) // 8 for h, _ in parts]
+        counts = np.concatenate([np.frombuffer(c, "<u4" if len(c) == 4 * n else "<u8").astype(np.int64) for (_, c), n in zip(parts, sizes, strict=True)])
         asked[block] = (hashes, counts)
     every = np.concatenate([h for h, _ in asked.values()])
     distinct, at = np.unique(every, return_inverse=True)
@@ -224,10 +229,7 @@ def good_turing(counts_of_counts: np.ndarray) -> np.ndarray:
     return factors
 
 
-def _discounts(stats: list, order: int, buckets: int, documents: int) -> Discounts:
-    sums = {n: np.zeros(GOOD_TURING_MAX + 4, np.int64) for n in range(1, order + 1)}
-    for row in stats:
-        sums[row["n"]] += np.frombuffer(row["totals"], "<i8")
+def _discounts(sums: dict[int, np.ndarray], order: int, buckets: int, documents: int) -> Discounts:
     k = GOOD_TURING_MAX
     by_order = {n: good_turing(s[: k + 2]) for n, s in sums.items()}
     types, tokens = int(sums[1][-2]), int(sums[1][-1])
@@ -326,7 +328,7 @@ def _ask_sums(packs: pa.Table, answers: pa.Table, d: Discounts, n: int) -> pa.Ta
     kinds = [("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("higher", pa.binary()), ("lower", pa.binary())]
     if not packs.num_rows:
         return pa.Table.from_batches([_table([], kinds)])
-    contexts, higher, lower = Evaluator(_unpack_texts(packs)[1], answers, d).context_sums(n)
+    contexts, higher, lower = Evaluator(_unpack_texts(packs).column("text").combine_chunks(), answers, d).context_sums(n)
     cuts, block, rows = _cuts(contexts, d.buckets), packs.column("block")[0].as_py(), []
     for b in range(d.buckets):
         part = slice(cuts[b], cuts[b + 1])
@@ -350,17 +352,18 @@ def _answer_sums(key: tuple, table: pa.Table, n: int) -> pa.Table:
 
 
 def _evaluate(packs: pa.Table, answers: pa.Table, d: Discounts) -> pa.Table:
-    names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    names = ["doc_id", "copies", "n_tokens", "n_known", "base_score", "score"]
     kinds = [(c, pa.float64() if "score" in c else pa.int64()) for c in names]
     if not packs.num_rows:
         return pa.Table.from_batches([_table([], kinds)])
-    ids, texts = _unpack_texts(packs)
+    own = _unpack_texts(packs)
+    ids, copies, texts = (own.column(c).combine_chunks() for c in ("doc_id", "copies", "text"))
     e = Evaluator(texts, answers, d)
     docs, owner = len(texts), e.g.doc
     count = e.totals[1][e.place[1]]
     base = np.log10((count + 1.0) / (d.tokens + d.types + 1.0))
     score = np.log10(e.probability(d.order))
-    columns = [ids, e.g.sizes, np.bincount(owner, count > 0, docs).astype(np.int64), np.bincount(owner, base, docs), np.bincount(owner, score, docs)]
+    columns = [ids, copies, e.g.sizes, np.bincount(owner, count > 0, docs).astype(np.int64), np.bincount(owner, base, docs), np.bincount(owner, score, docs)]
     return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
@@ -378,7 +381,7 @@ def packs_of(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             blocks = batch.column("block").to_numpy()
-            rows = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])
+            rows = pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "text", "copies")], ["doc_id", "text", "copies"])
             for block in np.unique(blocks):
                 held.setdefault(int(block), []).append(rows.filter(pa.array(blocks == block)))
             size += batch.nbytes
@@ -387,7 +390,7 @@ def packs_of(docs: DataFrame) -> DataFrame:
                 size = 0
         yield from flush()
 
-    return docs.select("block", "doc_id", "text").mapInArrow(run, "block int, pack binary")
+    return docs.select("block", "doc_id", "text", "copies").mapInArrow(run, "block int, pack binary")
 
 
 def _pack_texts(table: pa.Table) -> bytes:
@@ -397,30 +400,73 @@ def _pack_texts(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpack_texts(packs: pa.Table) -> tuple[pa.Array, pa.Array]:
-    """Ids and texts of a block, in one order however its packs come."""
+def _unpack_texts(packs: pa.Table) -> pa.Table:
+    """doc_id, text and copies of a block, in one order however its packs come."""
     parts = [pa.ipc.open_stream(p).read_all() for p in sorted(packs.column("pack").to_pylist())]
-    table = pa.concat_tables(parts).combine_chunks()
-    return table.column("doc_id").combine_chunks(), table.column("text").combine_chunks()
+    return pa.concat_tables(parts).combine_chunks()
 
 
-def with_blocks(docs: DataFrame, train) -> tuple[DataFrame, int, int]:
-    """``docs`` with block and train columns, the number of blocks and of training documents.
+def _collapsed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, text, train and copies, and whether any row stands for several.
 
-    Blocks are ranges of doc_id, each cut further by hash where there are very many.
+    Rows that repeat an id and a text so often that together they would fill a good part of a block become one
+    row with their number; partial sums do so before anything is shuffled.
+    """
+    key = F.xxhash64("doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    many = docs.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).where((F.col("n") > 1) & (F.col("bytes") > BLOCK_BYTES // 4))
+    many = common.materialise(many.select("key"), "katz-repeats")
+    one = F.lit(1).cast("long").alias("copies")
+    if many.isEmpty():
+        common.discard(many)
+        return docs.select("doc_id", "text", "train", one), False
+    keyed = docs.withColumn("key", key)
+    few = many.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    side = F.broadcast(many) if few else many
+    rest = keyed.join(side, "key", "left_anti").select("doc_id", "text", "train", one)
+    hot = keyed.join(side, "key", "left_semi").groupBy("doc_id", "text", "train").agg(F.count(F.lit(1)).alias("copies"))
+    return rest.union(common.materialise(hot, "katz-repeated")), True
+
+
+def with_blocks(docs: DataFrame, train) -> tuple[DataFrame, int, int, bool]:
+    """doc_id, text, copies, train and block; the number of blocks and of training documents; whether any row stands for several.
+
+    Blocks are ranges of doc_id with about equally many rows; a range with more bytes than a block should have is cut further, by hash.
     """
     facts = docs.select("doc_id", train.alias("train"), F.octet_length("text").alias("size")).agg(
         F.sum("size").alias("bytes"), F.sum(F.col("train").cast("long")).alias("train")
     ).first()
-    blocks = max(MIN_BLOCKS, math.ceil((facts["bytes"] or 0) / BLOCK_BYTES))
-    ranges = min(blocks, MAX_RANGES)
-    within = math.ceil(blocks / ranges)
+    ranges = min(max(MIN_BLOCKS, math.ceil((facts["bytes"] or 0) / BLOCK_BYTES)), MAX_RANGES)
     edges = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
     edges = sorted({int(e) for e in edges})
+    docs, repeated = _collapsed(docs.select("doc_id", "text", train.alias("train")))
     place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("doc_id"))) if edges else F.lit(0)
-    block = place * within + F.pmod(F.xxhash64("doc_id", "text"), F.lit(within))
-    block = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(ranges * within))).otherwise(block)
-    return docs.select("doc_id", "text", block.cast("int").alias("block"), train.alias("train")), ranges * within, facts["train"] or 0
+    held = docs.where("doc_id IS NOT NULL").groupBy(place.alias("place")).agg(F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row for each range
+    within = np.ones(len(edges) + 1, int)
+    for row in held:
+        within[row["place"]] = max(1, math.ceil((row["bytes"] or 0) / BLOCK_BYTES))
+    blocks, first = int(within.sum()), np.cumsum(within) - within
+    at = lambda values: F.get(F.array(*(F.lit(int(v)) for v in values)), place)
+    block = at(first) + F.pmod(F.xxhash64("doc_id", "text"), at(within).cast("long"))
+    block = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(blocks))).otherwise(block)
+    return docs.select("doc_id", "text", "copies", block.cast("int").alias("block"), "train"), blocks, facts["train"] or 0, repeated
+
+
+def _summed(stats: DataFrame, order: int) -> dict[int, np.ndarray]:
+    """Counts of counts, types and tokens of each order, added up by Spark: a row for each order comes to the driver."""
+    width = GOOD_TURING_MAX + 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((order + 1, width), np.int64)
+        for batch in batches:
+            for n, totals in zip(batch.column("n").to_pylist(), batch.column("totals").to_pylist(), strict=True):
+                sums[n] += np.frombuffer(totals, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(range(1, order + 1), pa.int32()), *(pa.array(sums[1:, i]) for i in range(width))], ["n", *(f"s{i}" for i in range(width))])
+
+    parts = stats.mapInArrow(run, ", ".join(["n int", *(f"s{i} long" for i in range(width))]))
+    rows = parts.groupBy("n").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(width))).collect()
+    found = {n: np.zeros(width, np.int64) for n in range(1, order + 1)}
+    return found | {r["n"]: np.array([r[f"s{i}"] for i in range(width)], np.int64) for r in rows}
 
 
 def score(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
@@ -429,19 +475,21 @@ def score(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
     ``train`` is a boolean column expression: the documents that are learned from.
     """
     common.ship(docs.sparkSession)
-    docs, blocks, documents = with_blocks(docs.select("doc_id", "text"), F.coalesce(train, F.lit(False)))
+    placed, _ = common.by_place(docs.withColumn("_train", F.coalesce(train, F.lit(False))), "doc_id", "text", "_train")
+    docs, blocks, documents, repeated = with_blocks(placed.select("doc_id", "text", "_train"), F.col("_train"))
     asked = requests(docs, order, blocks)
     answers = common.materialise(asked.groupBy("n", "bucket").applyInArrow(_answer_counts, _ANSWER), "katz-counts", "kind")
-    stats = answers.where("kind = 'stats'").select("n", "totals").collect()  # a few numbers for each range
-    d = _discounts(stats, order, blocks, documents)
+    d = _discounts(_summed(answers.where("kind = 'stats'").select("n", "totals"), order), order, blocks, documents)
     texts = packs_of(docs).groupBy("block")
     known = answers.where("kind = 'answer'").select(*(c.split()[0] for c in _ANSWER.split(", ")))
     for n in range(2, order + 1):
         known = known.union(_backoff_sums(texts, known, d, n))
     out = texts.cogroup(known.groupBy("block")).applyInArrow(
-        lambda t, a: _evaluate(t, a, d), "doc_id long, n_tokens long, n_known long, base_score double, score double"
+        lambda t, a: _evaluate(t, a, d), "doc_id long, copies long, n_tokens long, n_known long, base_score double, score double"
     )
-    return out.withColumn("train_tokens", F.lit(d.tokens).cast("long"))
+    if repeated:
+        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_copy")
+    return out.drop("copies").withColumn("train_tokens", F.lit(d.tokens).cast("long"))
 
 
 def _backoff_sums(texts, known: DataFrame, d: Discounts, n: int) -> DataFrame:

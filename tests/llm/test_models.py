@@ -339,3 +339,24 @@ def test_katz_keeps_bigrams_seen_once(spark):
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     out = {r["doc_id"]: r["score"] for r in katz.score(df, F.col("doc_id") <= 4).collect()}
     assert out[5] > out[6] + 0.1
+
+
+def test_katz_of_one_text_repeated_very_often(spark, monkeypatch):
+    """With an id and without one; blocks stay small, and every row is counted and scored."""
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 20_000)
+    rng = np.random.default_rng(1)
+    rows = [(7, "hot words again and again", True)] * 20_000 + [(8, "hot words", False)] * 9_000
+    rows += [(i, " ".join(f"w{int(x)}" for x in rng.integers(0, 30, 8)), True) for i in range(100, 200)] + [(300 + i, "long " * 900 + str(i), False) for i in range(12)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "hot words")] * 9_000, "doc_id long, text string").repartition(4)
+    keep = (F.col("doc_id") == 7) | F.col("doc_id").between(100, 199)
+    docs, blocks, documents, repeated = katz.with_blocks(df.withColumn("_train", F.coalesce(keep, F.lit(False))), F.col("_train"))
+    assert repeated and documents == 20_100 and docs.agg(F.sum("copies")).first()[0] == len(rows) + 9_000
+    assert docs.groupBy("block").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] < 2 * katz.BLOCK_BYTES
+    assert docs.agg(F.max("block")).first()[0] < blocks
+    want, _ = brute_katz([*rows, (-1, "hot words", False)])
+    got = katz.score(df, keep).groupBy("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 9).alias("b"), F.round("score", 9).alias("s")).count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == {7: 20_000, 8: 9_000, None: 9_000, **{i: 1 for i, _, _ in rows if i >= 100}}
+    for r in got:
+        n, known, total, base, score = want[-1 if r["doc_id"] is None else r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
+        assert (r["b"], r["s"]) == pytest.approx((base, score), abs=1e-7)
