@@ -73,13 +73,13 @@ def _fillable(df: DataFrame, columns: list[str] | None, by: str) -> list[str]:
     return [c for c in (columns or df.columns) if c != by]
 
 
-def _both_ways(by: str, order: list[str]) -> tuple[Window, Window]:
+def _both_ways(by: list[str], order: list[str]) -> tuple[Window, Window]:
     """Rows of a group up to the current one, in the given order and in its reverse.
 
     A frame that only grows is kept up row by row; one that ends at the last row would be read
     again for each row.
     """
-    upto = lambda keys: Window.partitionBy(by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda keys: Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     return upto([F.col(c).asc_nulls_last() for c in order]), upto([F.col(c).desc_nulls_first() for c in order])
 
 
@@ -92,39 +92,81 @@ def fill(df: DataFrame, columns: list[str] | None = None, *, forward: bool = Tru
 
     ``forward=False`` looks after it first.  ``order`` breaks ties of time.
     """
-    before, after = _both_ways(by, order or [TIME])
+    before, after = _both_ways([by], order or [TIME])
     first, second = (before, after) if forward else (after, before)
     return df.withColumns({c: F.coalesce(_nearest(c, first), _nearest(c, second)) for c in _fillable(df, columns, by)})
 
 
 def fill_ungrouped(df: DataFrame, columns: list[str], *, forward: bool = True, time: str = TIME, order: list[str] | None = None) -> DataFrame:
-    """``fill`` over the whole table in order of time, for tables without consumers.
+    """``fill`` over the whole table in order of time, for tables without consumers."""
+    return _fill_by_day(df, columns, [], order or [time], forward)
 
-    Days are filled on their own; what a day takes from its neighbours comes from a table with a
-    row for each day.  Rows without time are the last day.
+
+def fill_long(df: DataFrame, columns: list[str] | None = None, *, forward: bool = True, by: str = KEY, order: list[str] | None = None) -> DataFrame:
+    """``fill`` with the same result, for tables in which one consumer may hold more rows than a task should take.
+
+    All consumers alike are filled day by day, so their days are dealt to tasks.
+    """
+    return _fill_by_day(df, _fillable(df, columns, by), [by], order or [TIME], forward)
+
+
+def _fill_by_day(df: DataFrame, columns: list[str], by: list[str], order: list[str], forward: bool) -> DataFrame:
+    """Days are filled on their own; what a day takes from its neighbours comes from a table with a row for each day
+    (of each consumer).  Rows without time are the last day.
     """
-    day = F.coalesce(F.date_trunc("day", F.col(time).cast("timestamp_ntz")).cast("date"), F.lit("9999-12-31").cast("date"))
-    rows = df.withColumn("_day", day)
-    before, after = _both_ways("_day", order or [time])
-    rank = F.struct(*(F.struct(F.col(c).isNull(), F.col(c)) for c in (order or [time])))
-    ends = rows.groupBy("_day").agg(
+    time = F.col(order[0]).cast("timestamp_ntz")
+    rows = df.withColumn("_day", F.coalesce(F.date_trunc("day", time).cast("date"), F.lit("9999-12-31").cast("date")))
+    before, after = _both_ways([*by, "_day"], order)
+    rank = F.struct(*(F.struct(F.col(c).isNull(), F.col(c)) for c in order))
+    ends = rows.groupBy(*by, "_day").agg(
         *(F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"_last_{c}") for c in columns),
         *(F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"_first_{c}") for c in columns),
     )
-    days = Window.orderBy("_day")
-    earlier, later = days.rowsBetween(Window.unboundedPreceding, -1), days.rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select(
-        "_day",
-        *(F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_before_{c}") for c in columns),
-        *(F.first(f"_first_{c}", ignorenulls=True).over(later).alias(f"_after_{c}") for c in columns),
-    )
-    out = rows.join(carried, "_day")
+    carried = _carried(ends, columns, by)
+    same = F.lit(True)
+    for k in [*by, "_day"]:
+        same = same & rows[k].eqNullSafe(carried[f"_of_{k}"])
+    out = rows.join(carried, same)
     filled = {}
     for c in columns:
         back = F.coalesce(_nearest(c, before), F.col(f"_before_{c}"))
         ahead = F.coalesce(_nearest(c, after), F.col(f"_after_{c}"))
         filled[c] = F.coalesce(back, ahead) if forward else F.coalesce(ahead, back)
-    return out.withColumns(filled).select(*df.columns)
+    return out.withColumns(filled).select(*(f"`{c}`" for c in df.columns))
+
+
+def _carried(ends: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """For each day the last values before it and the first ones after it.
+
+    A scan in two steps: days within their year, and years among themselves, so a window holds the days of a year
+    or the years of a consumer.
+    """
+    earlier, later = (lambda w: w.rowsBetween(Window.unboundedPreceding, -1)), (lambda w: w.rowsBetween(1, Window.unboundedFollowing))
+    days = ends.withColumn("_year", F.year("_day"))
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("_day"))
+    years = days.groupBy(*by, "_year").agg(
+        *(F.max_by(f"_last_{c}", known(f"_last_{c}")).alias(f"_last_{c}") for c in columns),
+        *(F.min_by(f"_first_{c}", known(f"_first_{c}")).alias(f"_first_{c}") for c in columns),
+    )
+    among = Window.partitionBy(*by).orderBy("_year")
+    years = years.select(
+        *(F.col(k).alias(f"_of_{k}") for k in by), F.col("_year").alias("_of_year"),
+        *(F.last(f"_last_{c}", ignorenulls=True).over(earlier(among)).alias(f"_y_before_{c}") for c in columns),
+        *(F.first(f"_first_{c}", ignorenulls=True).over(later(among)).alias(f"_y_after_{c}") for c in columns),
+    )
+    within = Window.partitionBy(*by, "_year").orderBy("_day")
+    own = days.select(
+        *by, "_day", "_year",
+        *(F.last(f"_last_{c}", ignorenulls=True).over(earlier(within)).alias(f"_d_before_{c}") for c in columns),
+        *(F.first(f"_first_{c}", ignorenulls=True).over(later(within)).alias(f"_d_after_{c}") for c in columns),
+    )
+    same = own["_year"] == years["_of_year"]
+    for k in by:
+        same = same & own[k].eqNullSafe(years[f"_of_{k}"])
+    return own.join(years, same).select(
+        *(own[k].alias(f"_of_{k}") for k in [*by, "_day"]),
+        *(F.coalesce(f"_d_{way}_{c}", f"_y_{way}_{c}").alias(f"_{way}_{c}") for c in columns for way in ("before", "after")),
+    )
 
 
 def fill_mean(df: DataFrame, columns: list[str] | None = None, *, by: str = KEY) -> DataFrame:
@@ -142,8 +184,8 @@ def fill_mean(df: DataFrame, columns: list[str] | None = None, *, by: str = KEY)
     return joined.withColumns({c: F.coalesce(c, f"_mean_{c}", F.lit(whole[f"_all_{c}"])) for c in columns}).select(*df.columns)
 
 
-def impute(df: DataFrame, method: str = "forward_fill", columns: list[str] | None = None, *, by: str | None = KEY, order: list[str] | None = None) -> DataFrame:
-    """Fill or drop nulls by one of ``IMPUTATIONS``; ``by=None`` fills over the whole table."""
+def impute(df: DataFrame, method: str = "forward_fill", columns: list[str] | None = None, *, by: str | None = KEY, order: list[str] | None = None, long_groups: bool = False) -> DataFrame:
+    """Fill or drop nulls by one of ``IMPUTATIONS``; ``by=None`` fills over the whole table, ``long_groups`` fills day by day."""
     if method not in IMPUTATIONS:
         raise ValueError(f"unknown imputation: {method}")
     if method == "drop":
@@ -153,7 +195,7 @@ def impute(df: DataFrame, method: str = "forward_fill", columns: list[str] | Non
     forward = method == "forward_fill"
     if by is None:
         return fill_ungrouped(df, [c for c in (columns or df.columns) if c != TIME], forward=forward, order=order)
-    return fill(df, columns, forward=forward, by=by, order=order)
+    return (fill_long if long_groups else fill)(df, columns, forward=forward, by=by, order=order)
 
 
 def _fill_whole_mean(df: DataFrame, columns: list[str] | None) -> DataFrame:
@@ -216,20 +258,22 @@ def clean(
     remove_outliers: bool = False,
     threshold: float = 5.0,
     order: list[str] | None = None,
+    long_consumers: bool = False,
 ) -> DataFrame:
     """Duplicates, times, calendar, ranges, gaps and, if asked for, outliers, in that order.
 
     Rows are dealt by consumer once, before duplicates are looked for; everything up to the
-    consumer's features uses that partitioning.
+    consumer's features uses that partitioning.  With ``long_consumers`` no task has to hold a consumer: duplicates are
+    looked for by whole rows, and gaps filled day by day.
     """
     rows = require_columns(df, required or [])
-    rows = rows.repartition(KEY) if KEY in rows.columns else rows
+    rows = rows.repartition(KEY) if KEY in rows.columns and not long_consumers else rows
     rows = with_calendar(parse_time(drop_repeated_rows(rows)))
     rows = blank_invalid(rows, ranges)
     if imputation == "drop":
         rows = impute(rows, "drop")
     else:
-        rows = impute(rows, imputation, [c for c in rows.columns if c != KEY and c not in CALENDAR], by=KEY if KEY in rows.columns else None, order=order)
+        rows = impute(rows, imputation, [c for c in rows.columns if c != KEY and c not in CALENDAR], by=KEY if KEY in rows.columns else None, order=order, long_groups=long_consumers)
         if imputation != "mean" and TIME in rows.columns:  # a time that was filled gives the calendar, but for is_weekend
             rows = with_calendar(rows.withColumn("_weekend", F.col("is_weekend"))).withColumn("is_weekend", F.col("_weekend")).drop("_weekend")
     return without_outliers(rows, threshold=threshold) if remove_outliers else rows

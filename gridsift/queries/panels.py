@@ -59,6 +59,25 @@ def fill_ungrouped(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.fill_ungrouped(gappy(spark, d), [VALUE], order=[TIME, "event_id"]).select("event_id", VALUE)
 
 
+def _fill_by_day(forward: bool):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return cleaning.fill_long(gappy(spark, d), [VALUE], forward=forward, order=[TIME, "event_id"]).select("event_id", KEY, VALUE)
+
+    return run
+
+
+def fill_one_consumer(spark: SparkSession, d: str) -> DataFrame:
+    """All rows as one consumer's, most of them missing for weeks."""
+    rows = gappy(spark, d).withColumns({KEY: F.lit(1), VALUE: F.when(F.dayofyear(TIME) % 30 == 0, F.col(VALUE))})
+    return cleaning.fill_long(rows, [VALUE], order=[TIME, "event_id"]).select("event_id", VALUE)
+
+
+def clean_long_consumers(spark: SparkSession, d: str) -> DataFrame:
+    rows = gappy(spark, d).drop("hour", "day_of_week", "is_weekend", "month")
+    rows = rows.union(rows.where("event_id % 5 = 0"))
+    return cleaning.clean(rows, ranges=_NARROW, order=[TIME, "event_id"], long_consumers=True).select("event_id", KEY, VALUE, "hour", "day_of_week", "is_weekend", "month")
+
+
 def mean_impute(spark: SparkSession, d: str) -> DataFrame:
     rows = gappy(spark, d).withColumn(VALUE, F.when(F.col(KEY) % 9 != 0, F.col(VALUE)))
     return rounded(cleaning.fill_mean(rows, [VALUE]).select("event_id", VALUE))
@@ -180,6 +199,10 @@ QUERIES = {
     "missing_count": missing_count,
     "ffill_bfill": _fill(True),
     "bfill_ffill": _fill(False),
+    "ffill_bfill_by_day": _fill_by_day(True),
+    "bfill_ffill_by_day": _fill_by_day(False),
+    "fill_one_consumer": fill_one_consumer,
+    "clean_long_consumers": clean_long_consumers,
     "fill_ungrouped": fill_ungrouped,
     "mean_impute": mean_impute,
     "drop_nulls": drop_nulls,
@@ -277,9 +300,13 @@ ORACLES = {
     "weekend_share": f"WITH {PANEL} SELECT consumer_id, round(avg(CAST(is_weekend AS INTEGER)), 6) + 0.0 AS weekend_share FROM panel GROUP BY consumer_id",
     "consumer_medians": f"WITH {PANEL} SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE consumer_id END AS consumer_id, round(quantile_cont({E}, 0.5), 6) + 0.0 AS {E}_median FROM panel WHERE consumer_id IS NOT NULL OR event_id % 3 = 0 GROUP BY 1 HAVING count({E}) > 0",
     "quantiles_of_orders": "SELECT o_custkey, p AS probability, round(q, 6) + 0.0 AS value FROM (SELECT o_custkey, unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]) AS p, unnest(quantile_cont(o_totalprice::DOUBLE, [0.25, 0.5, 0.75])) AS q FROM orders GROUP BY o_custkey)",
+    "fill_one_consumer": f"""WITH {PANEL}, {GAPPY}, one AS (SELECT event_id, timestamp, CASE WHEN dayofyear(timestamp) % 30 = 0 THEN {E} END AS {E} FROM gappy)
+        SELECT event_id, coalesce(last_value({E} IGNORE NULLS) OVER (ORDER BY timestamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+          first_value({E} IGNORE NULLS) OVER (ORDER BY timestamp, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {E} FROM one""",
     "archetype_by_day": f"""WITH {PANEL}, a AS (SELECT DISTINCT consumer_id, date_trunc('day', timestamp) AS day, archetype FROM panel WHERE archetype != 'click')
         SELECT p.event_id, a.archetype FROM panel p LEFT JOIN a ON p.consumer_id = a.consumer_id AND date_trunc('day', p.timestamp) = a.day""",
     "archetype_by_time": f"""WITH {PANEL}, a AS (SELECT consumer_id, timestamp, archetype FROM panel WHERE archetype != 'click')
         SELECT p.event_id, a.archetype FROM panel p LEFT JOIN a ON p.consumer_id = a.consumer_id AND p.timestamp = a.timestamp""",
 }
 ORACLES["scale_stats_spread"] = ORACLES["scale_stats"]
+ORACLES |= {"ffill_bfill_by_day": ORACLES["ffill_bfill"], "bfill_ffill_by_day": ORACLES["bfill_ffill"], "clean_long_consumers": ORACLES["clean_pipeline"]}

@@ -173,3 +173,20 @@ def test_no_row_of_a_group_reaches_the_driver(spark, monkeypatch):
     boxes = exploration.box_statistics(df, "x", "g")
     monkeypatch.undo()
     assert boxes.count() == 700
+
+
+def test_days_of_one_consumer_are_dealt_to_tasks(spark):
+    """The days of one consumer spread; the result is that of ``fill``, over years, nulls and rows without time."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(6_000).select(
+        F.when(F.col("id") % 50 != 0, F.lit(1)).alias(KEY), F.when(F.col("id") % 997 != 0, F.expr("timestamp_ntz'2022-11-01 00:00:00' + make_dt_interval(0, CAST(id * 5 AS INT), 0, 0)")).alias(TIME),
+        F.when(F.col("id") % 800 == 3, F.col("id").cast("double")).alias(VALUE), "id",
+    )
+    for forward in (True, False):
+        long = cleaning.fill_long(rows, [VALUE], forward=forward, order=[TIME, "id"])
+        want = cleaning.fill(rows, [VALUE], forward=forward, order=[TIME, "id"])
+        assert sorted(map(tuple, long.select("id", VALUE).collect())) == sorted(map(tuple, want.select("id", VALUE).collect()))
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert f"{KEY}#" in plan and "_day" in plan and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") >= 1
+    assert cleaning.fill_long(rows.where("false"), [VALUE]).count() == 0
