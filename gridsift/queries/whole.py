@@ -6,11 +6,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsift.functions.calendar import with_calendar
 from gridsift.operators import cleaning, clustering, exploration, features, metrics, profiling, scaling
+from gridsift.operators.pipeline import segmentation
 from gridsift.plans import cache, reports
 from gridsift.plans.analysis import Analysis, Settings, ablate, analyse, cached, load_components, load_kmeans, load_labels, load_metadata, views
 from gridsift.queries.clusters import _CH, _DB, _INSIGHTS, _NAME, _PROFILES, _SILHOUETTE, _X, _behavior, _points, _profiles
@@ -268,6 +270,18 @@ def content_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(name, cache.content_fingerprint(df) != base) for name, df in changed.items()], "change string, told boolean")
 
 
+def pipeline_reloaded(spark: SparkSession, d: str) -> DataFrame:
+    """A segmentation fitted on the events before July, saved and loaded, labels a panel of all events as the live one does."""
+    rows = panel(spark, d)
+    live = segmentation(ks=(3, 3), restarts=2).fit(rows.where(F.month(TIME) < 7))
+    folder = scratch(spark, "pipeline")
+    live.write().overwrite().save(folder)
+    loaded = PipelineModel.load(folder)
+    other = rows.withColumn(VALUE, F.col(VALUE) * 2)
+    both = live.transform(other).select(KEY, "cluster", "pc").join(loaded.transform(other).select(KEY, F.col("cluster").alias("again"), F.col("pc").alias("pc_again")), KEY)
+    return both.select(KEY, (F.col("cluster") == F.col("again")).alias("same"), (F.col("pc") == F.col("pc_again")).alias("same_scores"), F.col("cluster").between(0, 2).alias("known"))
+
+
 def recommendation_report(spark: SparkSession, d: str) -> DataFrame:
     text = reports.recommendation_report(profiling.recommendations(profiling.named_profiles(_profiles(spark, d))))
     return spark.createDataFrame([(line,) for line in text.split("\n") if line], "line string")
@@ -411,6 +425,7 @@ QUERIES = {
     "analysis_artifacts": analysis_artifacts,
     "metadata_keys": metadata_keys,
     "models_reloaded": models_reloaded,
+    "pipeline_reloaded": pipeline_reloaded,
     "result_cache": result_cache,
     "cache_turns": cache_turns,
     "content_fingerprints": content_fingerprints,
@@ -536,6 +551,7 @@ ORACLES = {
         "artifact",
     ),
     "metadata_keys": "SELECT key, true AS known FROM (VALUES " + ", ".join(f"('{k}')" for k in ("data_source features feature_set components variance k seed versions written_at name fingerprint n_consumers n_days cluster_sizes".split())) + ", ('version of pyspark'), ('version of java'), ('version of python')) v(key)",
+    "pipeline_reloaded": f"WITH {PANEL} SELECT DISTINCT consumer_id, true AS same, true AS same_scores, true AS known FROM panel WHERE consumer_id IS NOT NULL",
     "models_reloaded": "SELECT count(*) AS consumers, count(*) AS same FROM supplier",
     "result_cache": f"""WITH {_KINDS} SELECT CAST(turn AS INTEGER) AS turn, turn != 1 AS made, (SELECT count(*) FROM supplier) AS consumers, round((SELECT avg({E}_mean) FROM f) * CASE turn WHEN 2 THEN 100 ELSE 1 END, 6) + 0.0 AS mean FROM range(3) r(turn)""",
     "cache_turns": f"""WITH {PANEL}, turns(turn, made, again, more) AS (VALUES ('first', true, 0, 0), ('again', false, 0, 0), ('in another order', false, 0, 0), ('rows repeated', true, 1, 0), ('values changed', true, 0, 1),
