@@ -121,14 +121,14 @@ QUERIES = {
 }
 
 
-def _describe(source: str, columns: list[str], where: str = "") -> str:
+def _describe(source: str, columns: list[str], digits: int = 5) -> str:
     parts = [
         f"SELECT '{c}' AS column, avg({c}) AS mean, stddev_samp({c}) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(quantile_cont({c}, 0.25) AS DOUBLE) AS q25, "
         f"CAST(quantile_cont({c}, 0.5) AS DOUBLE) AS q50, CAST(quantile_cont({c}, 0.75) AS DOUBLE) AS q75, CAST(max({c}) AS DOUBLE) AS max, "
         f"{moment_sql('skewness', c, 3)}, {moment_sql('kurtosis', c, 4)} FROM {source}"
         for c in columns
     ]
-    return rounded_sql(" UNION ALL ".join(parts), ["mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis"], 5)
+    return rounded_sql(" UNION ALL ".join(parts), ["mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis"], digits)
 
 
 def _box_sql(by: str) -> str:

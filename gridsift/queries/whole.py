@@ -17,10 +17,11 @@ from gridsift.plans import cache, reports
 from gridsift.plans.analysis import Analysis, Settings, ablate, analyse, cached, load_components, load_kmeans, load_labels, load_metadata, views
 from gridsift.queries.clusters import _CH, _DB, _INSIGHTS, _NAME, _PROFILES, _SILHOUETTE, _X, _behavior, _points, _profiles
 from gridsift.queries.clusters import ORACLES as _CLUSTERS
+from gridsift.queries import tables as _tables
 from gridsift.queries.common import PANEL, panel, raw_features_sql, rounded, rounded_sql, table
 from gridsift.schema import ARCHETYPE, BEHAVIORAL, KEY, SCALE, TIME, VALUE, numeric_columns
 from gridsift.sources.generator import TEMPLATES, legacy_panel, perturbed, rolled, season, sinusoid_panel, synthetic_panel, templates
-from gridsift.sources.tables import read_csv, scratch, write_csv
+from gridsift.sources.tables import read_csv, read_csv_checked, scratch, write_csv
 
 E = VALUE
 _PAIR = ["peak_to_avg_ratio", "coefficient_of_variation"]
@@ -302,6 +303,31 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return read_csv(spark, folder, schema).select("event_id", KEY, F.date_format(TIME, "yyyy-MM-dd HH:mm:ss").alias("at"), VALUE, ARCHETYPE)
 
 
+def csv_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the events, some with a word for a number, a field too few or too many, read without a schema."""
+    rows = panel(spark, d).select("event_id", KEY, F.date_format(TIME, "yyyy-MM-dd HH:mm:ss").alias("at"), F.when(F.col("event_id") % 50 == 7, F.lit("many")).otherwise(F.col(VALUE).cast("string")).alias(VALUE), ARCHETYPE)
+    names = rows.columns
+    line = F.concat_ws(",", *names)
+    short = F.concat_ws(",", *names[:-1])
+    line = F.when(F.col("event_id") % 50 == 11, short).when(F.col("event_id") % 50 == 13, F.concat(line, F.lit(",more"))).otherwise(line)
+    folder = scratch(spark, "lines")
+    rows.select(line.alias("value")).write.text(folder)
+    good, rejected = read_csv_checked(spark, folder, names=names, tolerance=0.05)
+    kinds = ",".join(t for _, t in good.dtypes)
+    found = good.agg(F.lit("kept").alias("lines"), F.count(F.lit(1)).alias("n"), F.round(F.sum(VALUE), 4).alias("total"))
+    word = F.when(F.col("line").contains(",many,"), "a word").when(F.col("line").endswith(",more"), "too many").otherwise("too few")
+    return found.union(rejected.groupBy(word).agg(F.count(F.lit(1)), F.lit(None).cast("double"))).withColumn("types", F.lit(kinds))
+
+
+def csv_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """Types of a table that was written as CSV, and its sums when it is read again."""
+    folder = scratch(spark, "csv")
+    write_csv(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.col("o_orderdate").cast("date").alias("o_orderdate")), folder, files=None)
+    good, rejected = read_csv_checked(spark, folder)
+    sums = good.agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("prices"), F.count_distinct("o_orderdate").alias("days"))
+    return sums.withColumns({"types": F.lit(",".join(t for _, t in good.dtypes)), "rejected": F.lit(rejected.count())})
+
+
 def csv_sink(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "csv")
     write_csv(exploration.archetype_statistics(panel(spark, d)), folder)
@@ -390,16 +416,31 @@ def attach_archetype_rows(spark: SparkSession, d: str) -> DataFrame:
     return exploration.attach_archetype(features.hourly_means(panel(spark, d)).select(KEY, "hour"), panel(spark, d))
 
 
+def _contents(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(name, key, measure, value): every number of the tables, each with the columns that its row goes by."""
+    out = None
+    for name, (df, keys) in tables.items():
+        rest = [c for c, t in df.dtypes if c not in keys and t in ("double", "bigint", "int")]
+        numbers = F.inline(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in rest)))
+        rows = df.select(F.lit(name).alias("name"), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)).alias("key"), numbers)
+        out = rows if out is None else out.union(rows)
+    return rounded(out)
+
+
 def exploration_bundle(spark: SparkSession, d: str) -> DataFrame:
     tables = exploration.explore(panel(spark, d).select(KEY, TIME, VALUE, "hour", "day_of_week", "is_weekend"))
-    return spark.createDataFrame([(name, df.count()) for name, df in tables.items() if not name.startswith("histogram")], "name string, rows long")
+    keys = {"describe": ["column"], "hourly": ["hour"], "weekend": ["is_weekend"], "correlations": ["a", "b"], "variability": [KEY]}
+    own = lambda name: keys.get(name) or (["bin"] if name.startswith("histogram") else [name.removeprefix("box_")])
+    return _contents({name: (df, own(name)) for name, df in tables.items()})
 
 
 def panel_validation(spark: SparkSession, d: str) -> DataFrame:
     tables = exploration.validate(panel(spark, d))
+    keys = {"overview": [], "consumers": [ARCHETYPE], "statistics": [ARCHETYPE], "profiles": [ARCHETYPE, "hour"], "variation": [KEY, ARCHETYPE, "hour"]}
     lines = reports.validation_report(tables["overview"], tables["statistics"], tables["consumers"]).split("\n")
-    rows = [(name, df.count()) for name, df in tables.items()] + [("report lines on archetypes", sum(line.startswith("- ") and " consumers, mean " in line for line in lines))]
-    return spark.createDataFrame(rows, "name string, rows long")
+    told = sum(line.startswith("- ") and " consumers, mean " in line for line in lines)
+    report = spark.createDataFrame([(told,)], "lines long")
+    return _contents({name: (df, keys[name]) for name, df in tables.items()} | {"report": (report, [])})
 
 
 QUERIES = {
@@ -433,6 +474,8 @@ QUERIES = {
     "cluster_insights_older": cluster_insights_older,
     "csv_round_trip": csv_round_trip,
     "csv_sink": csv_sink,
+    "csv_quarantine": csv_quarantine,
+    "csv_inferred": csv_inferred,
     "peak_shift": peak_shift,
     "shape_perturbation": shape_perturbation,
     "season_temperature": season_temperature,
@@ -487,6 +530,17 @@ def _count_rows(pairs: list[tuple[str, str]], name: str) -> str:
     return " UNION ALL ".join(f"SELECT '{label}' AS {name}, CAST({n} AS BIGINT) AS rows" for label, n in pairs)
 
 
+def _contents_sql(parts: list[tuple[str, str, list[str], list[str]]]) -> str:
+    """(name, key, measure, value) of tables that are given as SQL, by the columns that their rows go by."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS name, concat_ws('/', {', '.join(f'CAST("{k}" AS VARCHAR)' for k in keys) or repr('')}) AS key, unnest([{', '.join(map(repr, measures))}]) AS measure, unnest([{', '.join(f'CAST("{m}" AS DOUBLE)' for m in measures)}]) AS value FROM ({sql})"
+        for name, sql, keys, measures in parts
+    )
+
+
+_EXPLORED = [E, "hour", "day_of_week"]
+
+
 def _fingerprint_sql(name: str, seed: int) -> str:
     text = (
         '{"feature_set": "behavioral", "hourly": true, "kmeans_seed": 42, "ks": [2, 11], "n_consumers": 200, "n_days": 30, "name": "behavioral_primary", '
@@ -564,6 +618,10 @@ ORACLES = {
         UNION ALL SELECT DISTINCT concat('## ', cluster_name, ' (cluster ', cluster, ')') FROM rec UNION ALL SELECT concat(rank, '. **', recommendation, '** [', upper(priority), ', ', category, ']: ', evidence) FROM rec""",
     "cluster_insights_older": f"WITH {_PROFILES} {_OLDER}",
     "csv_round_trip": f"WITH {PANEL} SELECT event_id, consumer_id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS at, {E}, archetype FROM panel",
+    "csv_quarantine": f"""WITH {PANEL}, k AS (SELECT CASE event_id % 50 WHEN 7 THEN 'a word' WHEN 11 THEN 'too few' WHEN 13 THEN 'too many' ELSE 'kept' END AS lines, {E} FROM panel)
+        SELECT lines, count(*) AS n, CASE WHEN lines = 'kept' THEN round(sum({E}), 4) END AS total, 'bigint,bigint,timestamp_ntz,double,string' AS types FROM k GROUP BY lines""",
+    "csv_inferred": """SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, round(sum(CAST(o_totalprice AS DOUBLE)), 2) AS prices, count(DISTINCT CAST(o_orderdate AS DATE)) AS days,
+        'bigint,bigint,string,double,date' AS types, CAST(0 AS BIGINT) AS rejected FROM orders""",
     "csv_sink": f"""WITH {PANEL}, c AS (SELECT consumer_id, archetype, avg({E}) AS mean, stddev_samp({E}) / nullif(avg({E}), 0) AS cv, max({E}) AS max FROM panel GROUP BY ALL) """
     + rounded_sql("SELECT archetype, avg(mean) AS avg_mean, avg(cv) AS avg_cv, avg(max) AS avg_max FROM c GROUP BY archetype", ["avg_mean", "avg_cv", "avg_max"]),
     "peak_shift": f"WITH {_SHARES} SELECT archetype, CAST(later AS INTEGER) AS later, CAST((hour + later + 24) % 24 AS INTEGER) AS hour, round(share, 6) + 0.0 AS share FROM days, range(-3, 4) r(later)",
@@ -582,22 +640,23 @@ ORACLES = {
     "range_to_null_narrow": f"WITH {PANEL} SELECT event_id, CASE WHEN {E} BETWEEN 0 AND 100 THEN {E} END AS {E} FROM panel",
     "scale_stats_older": f"WITH {PANEL} " + rounded_sql(f"SELECT consumer_id, {', '.join(_OWN_SCALE[:-1])} FROM ({raw_features_sql()})", _OWN_SCALE[:-1]),
     "attach_archetype_rows": f"WITH {PANEL}, h AS (SELECT DISTINCT consumer_id, hour FROM panel), a AS (SELECT DISTINCT consumer_id, archetype FROM panel) SELECT consumer_id, hour, archetype FROM h JOIN a USING (consumer_id)",
-    "exploration_bundle": f"WITH {PANEL} " + _count_rows(
-        [
-            ("describe", "3"), ("hourly", "(SELECT count(DISTINCT hour) FROM panel)"), ("weekend", "(SELECT count(DISTINCT is_weekend) FROM panel)"), ("correlations", "3"), ("variability", "(SELECT count(DISTINCT consumer_id) FROM panel)"),
-            ("box_hour", "(SELECT count(DISTINCT hour) FROM panel)"), ("box_day_of_week", "(SELECT count(DISTINCT day_of_week) FROM panel)"), ("box_is_weekend", "(SELECT count(DISTINCT is_weekend) FROM panel)"),
-        ],
-        "name",
-    ),
-    "panel_validation": f"""WITH {PANEL}, f AS (SELECT DISTINCT consumer_id, archetype FROM panel), k AS (SELECT consumer_id FROM f QUALIFY row_number() OVER (PARTITION BY archetype ORDER BY consumer_id) <= 10) """
-    + _count_rows(
-        [
-            ("overview", "1"), ("consumers", "(SELECT count(DISTINCT archetype) FROM panel)"), ("statistics", "(SELECT count(DISTINCT archetype) FROM panel)"),
-            ("profiles", "(SELECT count(*) FROM (SELECT DISTINCT archetype, hour FROM panel))"),
-            ("variation", "(SELECT count(*) FROM (SELECT DISTINCT consumer_id, archetype, hour FROM panel WHERE consumer_id IN (SELECT consumer_id FROM k)))"),
-            ("report lines on archetypes", "(SELECT count(DISTINCT archetype) FROM panel)"),
-        ],
-        "name",
-    ),
+    "exploration_bundle": _contents_sql([
+        ("describe", f"WITH {PANEL} " + _tables._describe("panel", _EXPLORED, 6), ["column"], ["mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis"]),
+        ("hourly", _tables.ORACLES["hourly_profile"], ["hour"], ["mean_kwh"]),
+        ("weekend", _tables.ORACLES["weekend_profile"], ["is_weekend"], ["mean_kwh"]),
+        ("correlations", f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) + 0.0 AS r FROM panel" for i, a in enumerate(_EXPLORED) for b in _EXPLORED[i + 1 :]), ["a", "b"], ["r"]),
+        ("variability", _tables.ORACLES["consumer_cv"], ["consumer_id"], ["mean_kwh", "std_kwh", "cv"]),
+        *((f"histogram_{c}", f"""WITH {PANEL}, b AS (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM panel)
+            SELECT bin, round(lo + (bin - 1) * ((hi - lo) / 30), 6) + 0.0 AS low, round(lo + bin * ((hi - lo) / 30), 6) + 0.0 AS high, count(*) AS n FROM (SELECT {_tables._bins(c)} AS bin, lo, hi FROM panel, b) GROUP BY bin, lo, hi""", ["bin"], ["low", "high", "n"]) for c in _EXPLORED),
+        *((f"box_{by}", _tables._box_sql(by), [by], ["q1", "q2", "q3", "low_whisker", "high_whisker", "outliers", "n"]) for by in ("hour", "day_of_week", "is_weekend")),
+    ]),
+    "panel_validation": _contents_sql([
+        ("overview", f"WITH {PANEL} SELECT count(DISTINCT consumer_id) AS consumers, count(*) AS rows, count(*) FILTER ({E} IS NULL) AS missing FROM panel", [], ["consumers", "rows", "missing"]),
+        ("consumers", f"WITH {PANEL} SELECT archetype, count(DISTINCT consumer_id) AS consumers, count(*) AS rows FROM panel GROUP BY archetype", ["archetype"], ["consumers", "rows"]),
+        ("statistics", _tables.ORACLES["archetype_stats"], ["archetype"], ["avg_mean", "std_mean", "avg_cv", "std_cv", "avg_max", "avg_min"]),
+        ("profiles", _tables.ORACLES["archetype_hour_profile"], ["archetype", "hour"], ["mean_kwh"]),
+        ("variation", _tables.ORACLES["archetype_variation"], ["consumer_id", "archetype", "hour"], ["mean_kwh"]),
+        ("report", f"WITH {PANEL} SELECT count(DISTINCT archetype) AS lines FROM panel", [], ["lines"]),
+    ]),
 }
 assert _X in _CH
