@@ -11,7 +11,7 @@ from gridsift.functions.stats import kurtosis_g2, ratio, skewness_g1
 from gridsift.operators import cleaning, features
 from gridsift.queries.common import GAPPY, PANEL, gappy, moment_sql, panel, raw_features_sql, rounded, rounded_sql, table
 from gridsift.schema import BEHAVIORAL, KEY, SCALE, SHAPE, TIME, VALUE
-from gridsift.sources.tables import as_panel
+from gridsift.sources.tables import as_panel, store_panel
 
 _SCALE = [s for s in SCALE if s.startswith(VALUE)]
 _NARROW = {VALUE: (5.0, 120.0)}
@@ -173,6 +173,13 @@ def archetype_by_day(spark: SparkSession, d: str) -> DataFrame:
     return attach_archetype_by_time(days.drop("archetype"), days.where("archetype != 'click'")).select("event_id", "archetype")
 
 
+def features_of_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Features of a cleaned panel that was stored by consumer."""
+    rows = gappy(spark, d).drop("hour", "day_of_week", "is_weekend", "month")
+    stored = store_panel(cleaning.clean(rows, order=[TIME, "event_id"]))
+    return rounded(features.raw_features(stored, "behavioral").na.fill(0.0))
+
+
 def consumer_medians(spark: SparkSession, d: str) -> DataFrame:
     """Medians of all consumers of a panel in which one consumer holds a third of the rows."""
     rows = panel(spark, d)
@@ -225,6 +232,7 @@ QUERIES = {
     "weekend_share": weekend_share,
     "archetype_by_time": archetype_by_time,
     "archetype_by_day": archetype_by_day,
+    "features_of_stored": features_of_stored,
     "consumer_medians": consumer_medians,
     "scale_stats_spread": scale_stats_spread,
     "quantiles_of_orders": quantiles_of_orders,
@@ -309,4 +317,4 @@ ORACLES = {
         SELECT p.event_id, a.archetype FROM panel p LEFT JOIN a ON p.consumer_id = a.consumer_id AND p.timestamp = a.timestamp""",
 }
 ORACLES["scale_stats_spread"] = ORACLES["scale_stats"]
-ORACLES |= {"ffill_bfill_by_day": ORACLES["ffill_bfill"], "bfill_ffill_by_day": ORACLES["bfill_ffill"], "clean_long_consumers": ORACLES["clean_pipeline"]}
+ORACLES |= {"features_of_stored": ORACLES["features_of_cleaned"], "ffill_bfill_by_day": ORACLES["ffill_bfill"], "bfill_ffill_by_day": ORACLES["bfill_ffill"], "clean_long_consumers": ORACLES["clean_pipeline"]}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridsift.operators import exploration, features
 from gridsift.queries.common import GAPPY, PANEL, gappy, moment_sql, panel, raw_features_sql, rounded, rounded_sql, table
 from gridsift.schema import ARCHETYPE, BEHAVIORAL, KEY, SCALE, TIME, VALUE
-from gridsift.sources.generator import synthetic_panel, templates
+from gridsift.sources.generator import TEMPLATES, synthetic_panel, templates
 
 E = VALUE
 _LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -84,12 +84,16 @@ def attach_archetype(spark: SparkSession, d: str) -> DataFrame:
 
 
 def archetype_templates(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(templates(spark))
+    """Customers given an archetype by their nation: what the customers of a nation use, hour by hour, by the templates."""
+    kinds = F.array(*map(F.lit, TEMPLATES))
+    named = table(spark, d, "customer").select("c_nationkey", F.get(kinds, F.col("c_nationkey") % 4).alias(ARCHETYPE))
+    own = named.join(F.broadcast(templates(spark)), ARCHETYPE)  # 96 rows
+    return rounded(own.groupBy("c_nationkey", ARCHETYPE, "hour").agg(F.count(F.lit(1)).alias("customers"), F.sum("share").alias("share")))
 
 
 def generated_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Random, so only its counts can be checked: consumers, rows, floor and hours of each archetype."""
-    rows = synthetic_panel(spark, 90, 14)
+    """A panel of as many consumers as there are suppliers; random, so only its counts can be checked: consumers, rows, floor and hours of each archetype."""
+    rows = synthetic_panel(spark, table(spark, d, "supplier").count(), 14)
     return rows.groupBy(ARCHETYPE).agg(
         F.count_distinct(KEY).alias("consumers"),
         F.count(F.lit(1)).alias("rows"),
@@ -143,11 +147,10 @@ def _bins(c: str) -> str:
 
 
 def _templates_sql() -> str:
-    from gridsift.sources.generator import TEMPLATES
-
-    rows = ", ".join(f"('{a}', {first}, {after}, CAST({level} AS DOUBLE))" for a, parts in TEMPLATES.items() for first, after, level in parts)
-    return f"""WITH t(archetype, a, b, level) AS (VALUES {rows}), h AS (SELECT archetype, CAST(hour AS INTEGER) AS hour, level FROM t, range(24) r(hour) WHERE hour >= a AND hour < b)
-        SELECT archetype, hour, round(level / sum(level) OVER (PARTITION BY archetype), 6) + 0.0 AS share FROM h"""
+    rows = ", ".join(f"('{a}', {i}, {first}, {after}, CAST({level} AS DOUBLE))" for i, (a, parts) in enumerate(TEMPLATES.items()) for first, after, level in parts)
+    return f"""WITH t(archetype, place, a, b, level) AS (VALUES {rows}), h AS (SELECT archetype, place, CAST(hour AS INTEGER) AS hour, level FROM t, range(24) r(hour) WHERE hour >= a AND hour < b),
+        s AS (SELECT *, level / sum(level) OVER (PARTITION BY archetype) AS share FROM h)
+        SELECT c_nationkey, archetype, hour, count(*) AS customers, round(sum(share), 6) + 0.0 AS share FROM customer JOIN s ON c_nationkey % 4 = place GROUP BY ALL"""
 
 
 _SHAPES = f"f AS ({raw_features_sql(scale=False)})"
@@ -182,6 +185,7 @@ ORACLES = {
     "attach_archetype": f"""WITH {PANEL}, h AS (SELECT DISTINCT consumer_id, hour FROM panel), a AS (SELECT DISTINCT consumer_id, archetype FROM panel)
         SELECT archetype, count(*) AS n FROM h JOIN a USING (consumer_id) GROUP BY archetype""",
     "archetype_templates": _templates_sql(),
-    "generated_panel": """SELECT archetype, CAST(n AS BIGINT) AS consumers, CAST(n * 336 AS BIGINT) AS rows, true AS above_floor, CAST(336 AS BIGINT) AS times
-        FROM (VALUES ('daytime', 22), ('evening', 22), ('flat', 22), ('weekend', 24)) t(archetype, n)""",
+    "generated_panel": """WITH n AS (SELECT count(*) AS n FROM supplier)
+        SELECT archetype, c AS consumers, c * 336 AS rows, true AS above_floor, CAST(336 AS BIGINT) AS times
+        FROM (SELECT unnest(['daytime', 'evening', 'flat', 'weekend']) AS archetype, unnest([n // 4, n // 4, n // 4, n - 3 * (n // 4)]) AS c FROM n) WHERE c > 0""",
 }

@@ -20,7 +20,7 @@ from gridsift.queries.clusters import ORACLES as _CLUSTERS
 from gridsift.queries import tables as _tables
 from gridsift.queries.common import PANEL, panel, raw_features_sql, rounded, rounded_sql, table
 from gridsift.schema import ARCHETYPE, BEHAVIORAL, KEY, SCALE, TIME, VALUE, numeric_columns
-from gridsift.sources.generator import TEMPLATES, legacy_panel, perturbed, rolled, season, sinusoid_panel, synthetic_panel, templates
+from gridsift.sources.generator import legacy_panel, perturbed, rolled, season, sinusoid_panel, synthetic_panel
 from gridsift.sources.tables import read_csv, read_csv_checked, scratch, write_csv
 
 E = VALUE
@@ -335,16 +335,21 @@ def csv_sink(spark: SparkSession, d: str) -> DataFrame:
     return rounded(back.select(ARCHETYPE, "avg_mean", "avg_cv", "avg_max"))
 
 
+def _day_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """(archetype, shape): the 24 hourly shares of each kind of event."""
+    means = [F.coalesce(F.avg(F.when(F.col("hour") == h, F.col(VALUE))), F.lit(0.0)) for h in range(24)]
+    days = panel(spark, d).groupBy(ARCHETYPE).agg(F.array(*means).alias("m"))
+    return days.select(ARCHETYPE, F.transform("m", lambda x: x / F.aggregate("m", F.lit(0.0), lambda s, v: s + v)).alias("shape"))
+
+
 def peak_shift(spark: SparkSession, d: str) -> DataFrame:
-    days = templates(spark).groupBy(ARCHETYPE).agg(F.transform(F.sort_array(F.collect_list(F.struct("hour", "share"))), lambda x: x["share"]).alias("shape"))
-    moved = days.withColumn("later", F.explode(F.sequence(F.lit(-3), F.lit(3))))
+    moved = _day_shapes(spark, d).withColumn("later", F.explode(F.sequence(F.lit(-3), F.lit(3))))
     return rounded(moved.select(ARCHETYPE, "later", F.posexplode(rolled(F.col("shape"), F.col("later"))).alias("hour", "share")))
 
 
 def shape_perturbation(spark: SparkSession, d: str) -> DataFrame:
-    days = templates(spark).groupBy(ARCHETYPE).agg(F.transform(F.sort_array(F.collect_list(F.struct("hour", "share"))), lambda x: x["share"]).alias("shape"))
     noise = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: (h % 5 - 2) / 20.0)
-    return rounded(days.select(ARCHETYPE, F.posexplode(perturbed(F.col("shape"), noise)).alias("hour", "share")))
+    return rounded(_day_shapes(spark, d).select(ARCHETYPE, F.posexplode(perturbed(F.col("shape"), noise)).alias("hour", "share")))
 
 
 def season_temperature(spark: SparkSession, d: str) -> DataFrame:
@@ -352,21 +357,23 @@ def season_temperature(spark: SparkSession, d: str) -> DataFrame:
 
 
 def generated_panel_rules(spark: SparkSession, d: str) -> DataFrame:
-    """What holds for every panel of the generators, by archetype; the older one has none."""
-    rows = synthetic_panel(spark, 80, 7)
+    """What holds for panels of as many consumers as there are customers, by archetype; the older generator has none."""
+    n = table(spark, d, "customer").count()
+    rows = synthetic_panel(spark, n, 7)
     current = F.abs(F.col("current_a") * F.col("voltage_v") * F.col("power_factor") - F.col(VALUE) * 1000.0) < 1e-6 * (1 + F.col(VALUE) * 1000.0)
     missing = F.avg(F.col("voltage_v").isNull().cast("double"))
     own = rows.groupBy(ARCHETYPE).agg(
         F.min(F.col("power_factor").between(0.85, 0.98)).alias("power_factor_fits"), F.min(F.coalesce(current, F.lit(True))).alias("current_fits"), missing.between(0.001, 0.03).alias("voltage_gaps_fit"), F.count_distinct(KEY).alias("consumers")
     )
-    older = sinusoid_panel(spark, 20, 7)
+    older = sinusoid_panel(spark, n, 7)
     bounded = older.agg(F.lit("older").alias(ARCHETYPE), F.lit(True).alias("power_factor_fits"), (F.min(VALUE) > 0).alias("current_fits"), missing.between(0.005, 0.05).alias("voltage_gaps_fit"), F.count_distinct(KEY).alias("consumers"))
     return own.union(bounded)
 
 
 def legacy_wrapper(spark: SparkSession, d: str) -> DataFrame:
-    one, two = legacy_panel(spark, 30, 3), synthetic_panel(spark, 30, 3)
-    return two.exceptAll(one).agg(F.count(F.lit(1)).alias("differing")).withColumn("rows", F.lit(one.count()))
+    n = table(spark, d, "supplier").count()
+    one, two = legacy_panel(spark, n, 3), synthetic_panel(spark, n, 3)
+    return two.exceptAll(one).agg(F.count(F.lit(1)).alias("differing")).withColumn("rows", F.lit(one.count()).cast("long"))
 
 
 def settings_fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -522,8 +529,8 @@ _KINDS = f"""kinds AS (SELECT s_suppkey AS consumer_id, CAST(tick % 24 AS INTEGE
     pr AS (SELECT count(*) AS size, 100.0 * count(*) / sum(count(*)) OVER () AS size_percentage, avg({E}_mean) AS avg_consumption, avg(coefficient_of_variation) AS avg_cv, avg(peak_to_avg_ratio) AS avg_peak_to_avg,
       avg(weekend_ratio) AS weekend_ratio, avg(morning_usage) AS morning_usage, avg(afternoon_usage) AS afternoon_usage, avg(evening_usage) AS evening_usage, avg(night_usage) AS night_usage FROM f GROUP BY consumer_id % 2)"""
 _HALVES = "(SELECT min(n) AS smallest, max(n) AS largest, CAST(sum(n) AS BIGINT) AS total FROM (SELECT count(*) AS n FROM supplier GROUP BY s_suppkey % 2))"
-_TEMPLATE_ROWS = ", ".join(f"('{a}', {first}, {after}, CAST({level} AS DOUBLE))" for a, parts in TEMPLATES.items() for first, after, level in parts)
-_SHARES = f"t(archetype, a, b, level) AS (VALUES {_TEMPLATE_ROWS}), days AS (SELECT archetype, CAST(hour AS INTEGER) AS hour, level / sum(level) OVER (PARTITION BY archetype) AS share FROM t, range(24) r(hour) WHERE hour >= a AND hour < b)"
+_SHARES = f"""{PANEL}, m AS (SELECT archetype, [{", ".join(f"coalesce(avg({E}) FILTER (hour = {h}), 0)" for h in range(24))}] AS m FROM panel GROUP BY archetype),
+    days AS (SELECT archetype, CAST(unnest(range(24)) AS INTEGER) AS hour, unnest(m) / list_sum(m) AS share FROM m)"""
 
 
 def _count_rows(pairs: list[tuple[str, str]], name: str) -> str:
@@ -628,8 +635,8 @@ ORACLES = {
     "shape_perturbation": f"""WITH {_SHARES}, n AS (SELECT archetype, hour, greatest(share + (hour % 5 - 2) / 20.0::DOUBLE, 0.01) AS v FROM days)
         SELECT archetype, hour, round(v / sum(v) OVER (PARTITION BY archetype), 6) + 0.0 AS share FROM n""",
     "season_temperature": f"SELECT event_id, round(20 + 5 * sin(2 * {math.pi!r} * (hour(ts) - 14) / 24) + 5 * sin(2 * {math.pi!r} * (dayofyear(ts) - 172) / 365), 6) + 0.0 AS temperature FROM events",
-    "generated_panel_rules": "SELECT archetype, true AS power_factor_fits, true AS current_fits, true AS voltage_gaps_fit, CAST(20 AS BIGINT) AS consumers FROM (VALUES ('daytime'), ('evening'), ('flat'), ('weekend'), ('older')) v(archetype)",
-    "legacy_wrapper": "SELECT CAST(0 AS BIGINT) AS differing, 2160 AS rows",
+    "generated_panel_rules": "SELECT archetype, true AS power_factor_fits, true AS current_fits, true AS voltage_gaps_fit, consumers FROM (SELECT unnest(['daytime', 'evening', 'flat', 'weekend', 'older']) AS archetype, unnest([n // 4, n // 4, n // 4, n - 3 * (n // 4), n]) AS consumers FROM (SELECT count(*) AS n FROM customer))",
+    "legacy_wrapper": "SELECT CAST(0 AS BIGINT) AS differing, count(*) * 72 AS rows FROM supplier",
     "settings_fingerprint": " UNION ALL ".join(_fingerprint_sql(n, s) for n, s in (("defaults", 42), ("other output", 42), ("other seed", 7))),
     "settings_defaults": "SELECT * FROM (VALUES ('n_consumers', '200'), ('n_days', '30'), ('hourly', 'True'), ('seed', '42'), ('feature_set', 'behavioral'), ('variance', '0.95'), ('ks', '(2, 11)'), ('test_stability', 'True'), ('remove_outliers', 'False'), ('name', 'behavioral_primary'), ('restarts', '10')) v(field, value)",
     "required_columns": f"SELECT * FROM (VALUES ('{KEY},{TIME},{VALUE}', ''), ('{KEY},voltage_v', 'voltage_v'), ('zone,current_a,{TIME}', 'current_a,zone')) v(required, missing)",

@@ -105,6 +105,20 @@ def write_csv(df: DataFrame, path: str, *, files: int | None = 1) -> None:
     (df.coalesce(files) if files else df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def store_panel(df: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The panel as a table dealt by consumer into buckets and sorted by time, one file each.
+
+    What goes by consumer later (features, fills, duplicates of a consumer) finds its rows together and shuffles nothing.
+    The table's files lie in the shared folder; its name is known to this session.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"gridsift_panel_{uuid.uuid4().hex}"
+    order = [KEY, TIME] if TIME in df.columns else [KEY]
+    df.repartition(buckets, KEY).write.bucketBy(buckets, KEY).sortBy(*order).option("path", scratch(spark, "panel")).saveAsTable(name)
+    return spark.table(name)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in any store that Spark reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,9 +7,6 @@ import pytest
 from gridsift import queries
 
 FOLDER = "/root/testdata/sf0.001"
-HEAVY = {"ablation", "analysis", "stability_runs", "k_sweep", "kmeans_labels"}
-#: A minute each; a comparison with SQL at another scale runs them, and test_plans.py what they are made of.
-SLOW = {"ablation_of_two_kinds", "analysis_artifacts", "analysis_summary", "metadata_keys", "result_cache", "stability_apart"}
 
 
 def plain(df):
@@ -18,7 +15,7 @@ def plain(df):
     return sorted(rows, key=lambda r: [(x is None, str(x)) for x in r])
 
 
-@pytest.mark.parametrize("name", sorted((set(queries.QUERIES) & set(queries.ORACLES)) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) & set(queries.ORACLES)))
 def test_query_equals_sql(spark, duck, name):
     got = queries.QUERIES[name](spark, FOLDER)
     want = duck.execute(queries.ORACLES[name]).df()
@@ -29,7 +26,7 @@ def test_query_equals_sql(spark, duck, name):
         assert all(p == q or (isinstance(p, float) and isinstance(q, float) and math.isclose(p, q, rel_tol=1e-6, abs_tol=2e-5)) for p, q in zip(x, y, strict=True)), (x, y)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_query_without_sql_has_rows(spark, name):
     assert queries.QUERIES[name](spark, FOLDER).count() > 0
 

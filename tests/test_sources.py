@@ -39,3 +39,24 @@ def test_files_without_rows_or_header(spark, tmp_path):
     assert good.columns == ["id", "odd.name"] and good.count() == 2 and bad.count() == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         tables.read_csv_checked(spark, str(tmp_path / "missing"))
+
+
+def test_features_of_a_stored_panel_shuffle_nothing(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from gridsift.operators import cleaning, features
+    from gridsift.schema import KEY, TIME, VALUE
+    from gridsift.sources.generator import synthetic_panel
+
+    cleaned = cleaning.clean(synthetic_panel(spark, 15, 3))
+    stored = tables.store_panel(cleaned, 6)
+    found = features.raw_features(stored)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert "Exchange" not in cleaning.fill(stored, [VALUE])._jdf.queryExecution().executedPlan().toString()
+    want = {r[KEY]: tuple(r) for r in features.raw_features(cleaned).collect()}
+    got = {r[KEY]: tuple(r) for r in found.collect()}
+    assert got.keys() == want.keys()
+    assert all(a == pytest.approx(b) for k in want for a, b in zip(got[k], want[k], strict=True) if b is not None)
+    assert stored.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(KEY, TIME))).where("n > 1").count() == 0
