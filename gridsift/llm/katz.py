@@ -444,7 +444,7 @@ def with_blocks(docs: DataFrame, train) -> tuple[DataFrame, int, int, bool]:
     held = docs.where("doc_id IS NOT NULL").groupBy(place.alias("place")).agg(F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row for each range
     within = np.ones(len(edges) + 1, int)
     for row in held:
-        within[row["place"]] = max(1, math.ceil((row["bytes"] or 0) / BLOCK_BYTES))
+        within[row["place"]] = max(1, round((row["bytes"] or 0) / BLOCK_BYTES))  # a block has one and a half times its bytes at most
     blocks, first = int(within.sum()), np.cumsum(within) - within
     at = lambda values: F.get(F.array(*(F.lit(int(v)) for v in values)), place)
     block = at(first) + F.pmod(F.xxhash64("doc_id", "text"), at(within).cast("long"))
