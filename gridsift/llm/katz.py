@@ -147,6 +147,7 @@ def requests(docs: DataFrame, order: int, buckets: int) -> DataFrame:
             for block, parts in held.items():
                 table = pa.Table.from_batches(parts).combine_chunks()
                 weight = table.column("copies").to_numpy() * table.column("train").to_numpy()
+                weight = weight.astype(np.uint8) if weight.max(initial=0) < 256 else weight  # one byte a token
                 yield _table(list(_request_rows(block, table.column("text").combine_chunks(), weight, order, buckets)), kinds)
             held.clear()
 
@@ -179,7 +180,7 @@ def _answer_counts(key: tuple, table: pa.Table) -> pa.Table:
     for block, parts in _by_block(table, "hashes", "counts").items():
         hashes = np.concatenate([unpacked(h) for h, _ in parts])
         sizes = [len(h) // 8 for h, _ in parts]
-        counts = np.concatenate([np.frombuffer(c, "<u4" if len(c) == 4 * n else "<u8").astype(np.int64) for (_, c), n in zip(parts, sizes, strict=True)])
+        counts = np.concatenate([np.frombuffer(c, "<u4" if len(c) == 4 * n else "<u8") for (_, c), n in zip(parts, sizes, strict=True)])
         asked[block] = (hashes, counts)
     every = np.concatenate([h for h, _ in asked.values()])
     distinct, at = np.unique(every, return_inverse=True)
@@ -358,6 +359,7 @@ def _evaluate(packs: pa.Table, answers: pa.Table, d: Discounts) -> pa.Table:
         return pa.Table.from_batches([_table([], kinds)])
     own = _unpack_texts(packs)
     ids, copies, texts = (own.column(c).combine_chunks() for c in ("doc_id", "copies", "text"))
+    del own
     e = Evaluator(texts, answers, d)
     docs, owner = len(texts), e.g.doc
     count = e.totals[1][e.place[1]]
