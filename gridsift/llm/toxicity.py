@@ -8,7 +8,10 @@ logistic regression turns them into a score.
 
 Insults are learned from labelled rows by sequential covering: again and again the whole word or
 word beginning that explains most toxic documents not yet explained, and hardly any other, joins
-the lexicon.  Copies of one document thus add nothing once it is explained.
+the lexicon.  Copies of one document thus add nothing once it is explained.  A learned term is a
+threat instead where it goes before its target: where at least half of the toxic documents that
+hold it have a target within ``THREAT_REACH`` words after it in its clause ("crush you"), or where
+it starts like one of the given threats (an inflection of it).
 
 Bound: at most about ``SAMPLE`` labelled rows are learned from (drawn by a hash of doc_id), which
 bounds the lexicon too.
@@ -50,6 +53,8 @@ WORDS_KEPT = 200_000
 #: Terms that a task counts before it hands them on.
 TERMS_HELD = 250_000
 NEGATION_REACH = 3
+#: How many words after a threat its target may stand.
+THREAT_REACH = 2
 
 TAGS = ["other", "insult", "threat", "target", "negation", "report"]
 MATCHES = ["plain", "aimed", "negated", "quoted", "threat"]
@@ -59,6 +64,9 @@ _SEEDS = {
     "negation": "not no never nobody nicht kein keine nie ne pas jamais nunca",
     "report": "said says say wrote quoted claimed called sagt sagte schrieb dit disait dijo dice",
 }
+_ENDINGS = re.compile(r"(en|er|ar|e)$")
+#: Beginnings that the given threats share with their inflections.
+_STEMS = tuple(sorted(stem for w in _SEEDS["threat"].split() if len(stem := _ENDINGS.sub("", w)) >= 4))
 _CLAUSE_END = re.compile(r"[.!?;:,|]\W*$")
 
 
@@ -110,13 +118,14 @@ class Model:
     words: set[str]
     prefixes: set[str]
     weights: np.ndarray  # of the features, the last one of the constant
+    threats: set[str] = field(default_factory=set)  # of the words (marked) and prefixes
 
 
 class Matcher:
     """Tags words under a lexicon and runs the grammar over clauses with a match."""
 
-    def __init__(self, words: set[str], prefixes: set[str]) -> None:
-        self.words, self.prefixes = words, prefixes
+    def __init__(self, words: set[str], prefixes: set[str], threats: Iterable[str] = ()) -> None:
+        self.words, self.prefixes, self.threats = words, prefixes, frozenset(threats)
         self.lengths = sorted({len(p) for p in prefixes})
         self.fixed = {w: TAGS.index(tag) for tag, ws in _SEEDS.items() for w in ws.split()}
         self.known: dict[str, int] = {}
@@ -124,11 +133,31 @@ class Matcher:
 
     def _tag(self, word: str) -> int:
         bare = letters_of(word)
-        insult = bare in self.words or any(bare[:n] in self.prefixes for n in self.lengths)
-        tag = 1 if insult else self.fixed.get(bare, 0)
+        term = self.term(bare)
+        tag = (2 if term in self.threats else 1) if term else self.fixed.get(bare, 0)
         self.known[word] = tag
         return tag
 
+    def term(self, bare: str) -> str | None:
+        """The learned term that a word falls under: itself (marked), or its shortest learned beginning."""
+        if bare in self.words:
+            return f"={bare}"
+        return next((bare[:n] for n in self.lengths if bare[:n] in self.prefixes), None)
+
+    def before_targets(self, text: str | None) -> dict[str, bool]:
+        """For each learned term of a text, whether a target ever follows it within reach in its clause."""
+        words, out = (text or "").split(), {}
+        for i, word in enumerate(words):
+            if not (term := self.term(letters_of(word))):
+                continue
+            follows = False
+            for j in range(i, min(i + THREAT_REACH, len(words) - 1)):
+                if _CLAUSE_END.search(words[j]):
+                    break
+                follows |= self.fixed.get(letters_of(words[j + 1])) == 3
+            out[term] = out.get(term, False) or follows
+        return out
+
     def matches(self, text: str | None) -> tuple[list[tuple[int, int, str, float]], int]:
         """(first word, last word, kind, weight) of each match, and the number of words."""
         words = (text or "").split()
@@ -195,6 +224,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"term": list(other), "n_toxic": [0] * len(other), "n_other": list(other.values())}, schema=_TALLY)
 
 
+_PLACES = pa.schema([("term", pa.string()), ("held", pa.int64()), ("after", pa.int64())])
 _TALLY = pa.schema([("term", pa.string()), ("n_toxic", pa.int64()), ("n_other", pa.int64())])
 
 
@@ -230,6 +260,12 @@ def cover(terms_of: list[set[str]], allowed: dict[str, float]) -> list[str]:
     return chosen
 
 
+def threats_among(chosen: Iterable[str], places: dict[str, tuple[int, int]]) -> set[str]:
+    """The chosen terms that are threats; ``places`` has documents that hold a term, and those with a target after it."""
+    out = {t for t in chosen if t.lstrip("=").startswith(_STEMS)}
+    return out | {t for t in chosen if places.get(t, (0, 0))[1] >= max(MIN_SUPPORT, places.get(t, (0, 0))[0] / 2)}
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
     """Newton's method on the bounded sample; the last weight is the constant."""
     x = np.c_[x, np.ones(len(x))]
@@ -270,8 +306,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     words = {t[1:] for t in chosen if t[0] == "="}
     prefixes = {t for t in chosen if t[0] != "="}
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(words, prefixes)
+        for batch in batches:
+            held, after = Counter(), Counter()
+            for text in batch.column("text").to_pylist():
+                seen = matcher.before_targets(text)
+                held.update(seen.keys())
+                after.update(t for t, follows in seen.items() if follows)
+            yield pa.RecordBatch.from_pydict({"term": list(held), "held": list(held.values()), "after": [after[t] for t in held]}, schema=_PLACES)
+
+    places = rows.where("toxic = 1").mapInArrow(place, "term string, held long, after long").groupBy("term").agg(F.sum("held"), F.sum("after"))
+    threats = threats_among(chosen, {t: (held, after) for t, held, after in places.collect()})  # a row for each chosen term
+
+    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(words, prefixes, threats)
         for batch in batches:
             own = [matcher.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
@@ -284,7 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         weights = fit_logistic(np.array(seen["x"].tolist()), y)
     else:
         weights = np.r_[np.zeros(N_FEATURES), 40.0 * (2 * share - 1)]
-    return Model(words, prefixes, weights)
+    return Model(words, prefixes, weights, threats)
 
 
 def score(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
@@ -300,7 +349,7 @@ def score(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        matcher = common.tenant(kept_as, lambda: Matcher(m.words, m.prefixes))
+        matcher = common.tenant(kept_as, lambda: Matcher(m.words, m.prefixes, m.threats))
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
                 texts = batch.column("text").to_pylist()

@@ -233,6 +233,19 @@ def test_toxic_held_out_documents(spark):
     assert auc > 0.9 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
 
 
+def test_threats_and_their_inflections_are_learned_from_labels(spark):
+    said = ["i crush you", "we crush the them", "crushing her now", "i was crushed he said", "you fool", "that fool. you see", "the fool we know", "a fool too", "he was killing it", "killing time"]
+    said += ["killing", "killing all"]
+    calm = ["rain and wind", "you and me", "a tree", "he said so"]
+    rows = [(i, t, 1) for i, t in enumerate(said * 2)] + [(100 + i, t, 0) for i, t in enumerate(calm * 10)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    matcher = toxicity.Matcher(model.words, model.prefixes, model.threats)
+    kinds = {text: [k for *_, k, _ in matcher.matches(text)[0]] for text in ("i crush you", "fool", "you fool", "killing", "no crush", "he said crush", "rain")}
+    assert kinds == {"i crush you": ["threat"], "fool": ["plain"], "you fool": ["aimed"], "killing": ["threat"], "no crush": ["negated"], "he said crush": ["quoted"], "rain": []}
+    assert matcher.before_targets("fool. you fool") == {matcher.term("fool"): False} and matcher.before_targets(None) == {}
+
+
 def test_toxicity_without_labels_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "old"), (2, None, "old"), (3, "x " * 50_000, "old")], "doc_id long, text string, tox_score string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))

@@ -149,9 +149,25 @@ def toxicity_by_hand(docs, labels):
             wanted[i] -= best in terms[i]
     fixed = {w: tag for tag, ws in toxicity._SEEDS.items() for w in ws.split()}
 
-    def lexicon(word):
+    def term(word):
         bare = letters(word)
-        return "insult" if f"={bare}" in chosen or any(bare.startswith(t) for t in chosen if t[0] != "=") else fixed.get(bare, "other")
+        return f"={bare}" if f"={bare}" in chosen else min((t for t in chosen if t[0] != "=" and bare.startswith(t)), key=len, default=None)
+
+    threats = {t for t in chosen if any(t.lstrip("=").startswith(s) for s in toxicity._STEMS)}
+    held, after = Counter(), Counter()
+    for i, text in docs:
+        if labels.get(i):
+            words = (text or "").split()
+            ends = [bool(toxicity._CLAUSE_END.search(w)) for w in words]
+            target = [fixed.get(letters(w)) == "target" for w in words]
+            own = {k: t for k, w in enumerate(words) if (t := term(w))}
+            held.update(set(own.values()))
+            after.update({t for k, t in own.items() if any(target[k + 1 : k + 2]) and not ends[k] or any(target[k + 2 : k + 3]) and not any(ends[k : k + 2])})
+    threats |= {t for t in chosen if after[t] >= toxicity.MIN_SUPPORT and 2 * after[t] >= held[t]}
+
+    def lexicon(word):
+        found = term(word)
+        return ("threat" if found in threats else "insult") if found else fixed.get(letters(word), "other")
 
     def features(text):
         words, clause, sums, hit = (text or "").split(), [], dict.fromkeys(toxicity.MATCHES, 0.0), 0
