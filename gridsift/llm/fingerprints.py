@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gridsift.llm import common
 
-SAMPLES = 24
+SAMPLES = 64
 #: Samples computed in one pass over a term's row.
 _TOGETHER = 4
 EMPTY = "empty"
@@ -44,7 +44,7 @@ def _offer(draw: Column, weight: Column) -> Column:
 
 
 def _draws(term: Column, k: Column) -> Column:
-    a, b, c = F.xxhash64(term, k, F.lit(1)), F.xxhash64(term, k, F.lit(2)), F.xxhash64(term, k, F.lit(3))
+    a, b, c = (F.xxhash64(term, k * 3 + i) for i in range(3))
     return F.struct(
         (-F.log(_uniform(a, True) * _uniform(a, False))).alias("r"),
         F.log(-F.log(_uniform(b, True) * _uniform(b, False))).alias("ln_c"),
