@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gridsift.llm import common
 
-SAMPLES = 64
+SAMPLES = 36
 #: Samples computed in one pass over a term's row.
 _TOGETHER = 4
 EMPTY = "empty"
