@@ -76,10 +76,23 @@ class Stack:
         """For stretches of points: the points, their nearest centre in each model (by its place in the stack), its squared distance."""
         step = max(1, CELLS // len(self.all))
         cuts = [*self.first.tolist(), len(self.all)]
+        middle = self.all.mean(0)
+        centers = self.all - middle
+        norms = (centers * centers).sum(1)[:, None]
         for some in (x[i : i + step] for i in range(0, len(x), step)):
-            far = distances(some, self.all)
-            at = np.stack([a + far[:, a:b].argmin(1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], 1)
-            yield some, at, np.take_along_axis(far, at, 1)
+            moved = some - middle
+            far = centers @ (-2 * moved).T  # a row for each centre, so that the least of few is found along whole rows
+            far += norms
+            far += (moved * moved).sum(1)
+            np.maximum(far, 0, out=far)
+            at, least = np.empty((len(cuts) - 1, len(some)), np.int64), np.empty((len(cuts) - 1, len(some)))
+            for m, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                at[m], least[m] = a, far[a]
+                for j in range(a + 1, b):
+                    nearer = far[j] < least[m]
+                    np.copyto(least[m], far[j], where=nearer)
+                    np.copyto(at[m], j, where=nearer)
+            yield some, at.T, least.T
 
 
 def _gathered(points: DataFrame, centers: int) -> tuple[DataFrame, int]:
@@ -101,13 +114,12 @@ def _sums(points: DataFrame, x: str, stack: Stack, tasks: int) -> tuple[np.ndarr
         n, total, cost = np.zeros(len(stack.all)), np.zeros((len(stack.all), width)), np.zeros(len(stack.all))
         for batch in batches:
             for some, at, far in stack.nearest(_points_of(batch, x)):
-                place = at.ravel()
+                place = at.T.ravel()
                 n += np.bincount(place, minlength=len(n))
-                cost += np.bincount(place, far.ravel(), len(n))
-                rows = np.repeat(np.arange(len(some)), at.shape[1])
-                order = np.argsort(place, kind="stable")
-                hit = np.unique(place)
-                total[hit] += np.add.reduceat(some[rows[order]], np.searchsorted(place[order], hit))
+                cost += np.bincount(place, far.T.ravel(), len(n))
+                member = np.zeros((len(n), len(some)))
+                member[at.T, np.arange(len(some))] = 1
+                total += member @ some
         own = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own]), pa.array(cost[own]), pa.array(list(total[own]), pa.list_(pa.float64()))], names=["at", "n", "cost", "total"])
 

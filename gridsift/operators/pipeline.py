@@ -62,7 +62,9 @@ class ScaledComponents(Estimator, _Stage):
         self._setDefault(threshold=THRESHOLD)
 
     def _fit(self, dataset: DataFrame) -> ScaledComponentsModel:
-        found = fit_components(dataset, self.getOrDefault(self.threshold))
+        rows = dataset.persist()
+        found = fit_components(rows, self.getOrDefault(self.threshold))
+        rows.unpersist()
         return ScaledComponentsModel().with_values(
             columns=found.scaler.columns, means=found.scaler.means, deviations=found.scaler.stds, ratios=found.ratios, loadings=found.matrix.ravel().tolist(), kept=found.n
         )

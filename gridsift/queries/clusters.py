@@ -35,7 +35,8 @@ def covariance_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _components(spark: SparkSession, d: str) -> tuple[DataFrame, scaling.Components]:
-    rows = features.consumer_features(panel(spark, d))
+    raw = features.raw_features(panel(spark, d), "behavioral").persist()  # a row for each consumer, read again by the scaler, the components and the scores
+    rows = raw.select(KEY, *features.varying_columns(raw)).na.fill(0.0)
     return rows, scaling.fit_components(rows)
 
 

@@ -277,3 +277,52 @@ def test_many_points_take_the_coreset(spark, monkeypatch):
     metrics.silhouette(pts)
     metrics.metrics_of_labelings(pts.selectExpr("id", "array(cluster, cluster % 2) AS clusters", "x"), 2)
     assert calls == [metrics.ERROR] * 3
+
+
+def test_equal_points_count_once_toward_the_exact_limit(spark, monkeypatch):
+    """455 points, 91 different ones: exact silhouettes of all, where a limit of 100 sent them to the coreset."""
+    monkeypatch.setattr(metrics, "EXACT_UPTO", 100)
+    monkeypatch.setattr(metrics, "silhouettes_by_coreset", None)
+    once = cloud(spark)
+    pts = once.selectExpr("explode(sequence(0, 4)) AS copy", "*").selectExpr("id + 1000 * copy AS id", "cluster", "x")
+    _, sil, _, _ = brute(pts.collect())
+    assert metrics.silhouette(pts) == pytest.approx(sil.mean(), abs=1e-12)
+    both = metrics.metrics_of_labelings(pts.selectExpr("id", "array(cluster, cluster % 2) AS clusters", "x"), 2)
+    _, halves, _, _ = brute(pts.selectExpr("id", "cluster % 2 AS cluster", "x").collect())
+    assert [m["silhouette"] for m in both] == pytest.approx([sil.mean(), halves.mean()], abs=1e-12)
+
+
+def test_points_are_sent_to_a_bounded_number_of_tasks(spark):
+    """Small blocks are joined, so that a point is not copied once for each 256 others."""
+    assert [metrics._blocks(n, 256) for n in (0, 500, 102_564, 615_384)] == [1, 2, 24, 24]
+    assert metrics._blocks(3_276_800, 256) == 100
+    pts = cloud(spark, n=120)
+    _, sil, _, _ = brute(pts.orderBy("id").collect())
+    assert [r["silhouette"] for r in metrics.silhouettes(pts, 1).orderBy("id").collect()] == pytest.approx(sil.tolist())
+
+
+def test_distances_of_near_points_far_from_the_rest():
+    rng = np.random.default_rng(4)
+    for d in (2, 20):
+        for n in (3, 40):  # few and many near pairs
+            a, b = rng.normal(0, 1, (50, d)), rng.normal(0, 1, (60, d)) + 1e3
+            a[:n] = b[:n] + rng.normal(0, 1e-4, (n, d))
+            b[n : 2 * n] = b[:1] if n == 40 else b[n : 2 * n]
+            want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+            assert metrics._distances(a, b) == pytest.approx(want, rel=1e-9, abs=0)
+
+
+def test_clusters_that_cannot_be_the_nearest_are_passed_over(spark):
+    """Far, near and nested clusters by whole coresets equal brute force."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(m, s, (30, 2)) for m, s in ((0, 1), (0.5, 4), (6, 1), (300, 1), (302, 9))])
+    pts = spark.createDataFrame([(i, i // 30, r.tolist()) for i, r in enumerate(x)], "id long, cluster int, x array<double>")
+    _, sil, _, _ = brute(pts.orderBy("id").collect())
+    assert [r["silhouette"] for r in metrics.silhouettes_by_coreset(pts).orderBy("id").collect()] == pytest.approx(sil.tolist())
+
+
+def test_features_are_kept_for_scaler_components_and_scores(spark):
+    from gridsift.queries import clusters
+
+    rows, _ = clusters._components(spark, "/root/testdata/sf0.001")
+    assert "InMemoryTableScan" in rows._jdf.queryExecution().executedPlan().toString()
