@@ -97,10 +97,10 @@ def stability(points: DataFrame, k: int, runs: int = 10, seed: int = SEED, resta
     """Per-pair adjusted Rand indices (a, b, ari) and per-run inertia (run, inertia)."""
     fitted = fit_all(points, [(k, seed + i + 1000 * j) for i in range(runs) for j in range(restarts)], x=x, key=key)
     models = [_best(fitted[i * restarts : (i + 1) * restarts]) for i in range(runs)]
-    wide = labelings(points.select(x), models, x).select("clusters")
+    wide = labelings(points.select(x), models, x).groupBy("clusters").agg(F.count(F.lit(1)).alias("n"))  # few rows, however many points
     of = lambda i: F.get("clusters", F.lit(i))
     both = F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), of(a).alias("x"), of(b).alias("y")) for a, b in combinations(range(runs), 2))))
-    ari = metrics.rand_table(wide.select(both), "x", "y", "a", "b")
+    ari = metrics.rand_table(wide.select("n", both), "x", "y", "a", "b", number="n")
     inertia = points.sparkSession.createDataFrame([(i, m.inertia) for i, m in enumerate(models)], "run int, inertia double")
     return ari, inertia
 

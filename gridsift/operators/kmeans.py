@@ -12,6 +12,8 @@ join.  The draw needs no sum over all points first, and no partition or order of
 are weighed by the points nearest to them, and the K starts are drawn from that small table.
 
 Points are (key, x array<double>) without nulls.  With fewer distinct points than K a model has fewer centres.
+Equal points are one row with their number, which weighs in draws, sums and costs as they would: a pass
+costs what the different points cost.
 """
 
 from __future__ import annotations
@@ -71,11 +73,14 @@ class Stack:
     def __init__(self, centers: list[np.ndarray]) -> None:
         self.first = np.cumsum([0, *map(len, centers)])[:-1]
         self.all = np.concatenate(centers)
+        sizes = np.array([*map(len, centers)])
+        cuts = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1], True]).tolist()
+        #: Models next to each other with equally many centres: from, to, centres of each.
+        self.alike = [(a, b, int(sizes[a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def nearest(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For stretches of points: the points, their nearest centre in each model (by its place in the stack), its squared distance."""
         step = max(1, CELLS // len(self.all))
-        cuts = [*self.first.tolist(), len(self.all)]
         middle = self.all.mean(0)
         centers = self.all - middle
         norms = (centers * centers).sum(1)[:, None]
@@ -85,16 +90,23 @@ class Stack:
             far += norms
             far += (moved * moved).sum(1)
             np.maximum(far, 0, out=far)
-            at, least = np.empty((len(cuts) - 1, len(some)), np.int64), np.empty((len(cuts) - 1, len(some)))
-            for m, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                at[m], least[m] = a, far[a]
-                for j in range(a + 1, b):
-                    nearer = far[j] < least[m]
-                    np.copyto(least[m], far[j], where=nearer)
-                    np.copyto(at[m], j, where=nearer)
+            at, least = np.zeros((len(self.first), len(some)), np.int32), np.empty((len(self.first), len(some)))
+            for a, b, k in self.alike:
+                own = far[self.first[a] : self.first[a] + (b - a) * k].reshape(b - a, k, len(some))
+                least[a:b] = own[:, 0]
+                for j in range(1, k):
+                    nearer = own[:, j] < least[a:b]
+                    np.minimum(least[a:b], own[:, j], out=least[a:b])
+                    np.maximum(at[a:b], nearer * np.int32(j), out=at[a:b])  # the last that is nearer than all before it
+            at += self.first[:, None].astype(np.int32)
             yield some, at.T, least.T
 
 
+def _different(points: DataFrame, key: str, x: str) -> DataFrame:
+    """(x, _key, _n): each different point once, with the least hash of its keys and how many there are."""
+    return points.groupBy(x).agg(F.min(F.xxhash64(key)).alias("_key"), F.count(F.lit(1)).cast("double").alias("_n"))
+
+
 def _gathered(points: DataFrame, centers: int) -> tuple[DataFrame, int]:
     """``points`` in no more partitions than their work in a pass is worth, and that number."""
     tasks = max(1, math.ceil(points.count() * centers / SHARE))
@@ -107,23 +119,26 @@ def _points_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _sums(points: DataFrame, x: str, stack: Stack, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Points, their sum and their cost for each centre of the stack, in one pass."""
+    """Points (x, _n), their sum and their cost for each centre of the stack, in one pass."""
     width = stack.all.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, cost = np.zeros(len(stack.all)), np.zeros((len(stack.all), width)), np.zeros(len(stack.all))
         for batch in batches:
+            number, first = batch.column("_n").to_numpy(), 0
             for some, at, far in stack.nearest(_points_of(batch, x)):
+                own = number[first : first + len(some)]
+                first += len(some)
                 place = at.T.ravel()
-                n += np.bincount(place, minlength=len(n))
-                cost += np.bincount(place, far.T.ravel(), len(n))
+                n += np.bincount(place, np.tile(own, at.shape[1]), len(n))
+                cost += np.bincount(place, (far.T * own).ravel(), len(n))
                 member = np.zeros((len(n), len(some)))
-                member[at.T, np.arange(len(some))] = 1
+                member[at.T, np.arange(len(some))] = own
                 total += member @ some
         own = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own]), pa.array(cost[own]), pa.array(list(total[own]), pa.list_(pa.float64()))], names=["at", "n", "cost", "total"])
 
-    parts = points.select(x).mapInArrow(run, "at long, n double, cost double, total array<double>")
+    parts = points.select(x, "_n").mapInArrow(run, "at long, n double, cost double, total array<double>")
     if tasks * len(stack.all) > FEW:
         added = parts.groupBy("at").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *(F.sum(F.get("total", F.lit(i))).alias(f"t{i}") for i in range(width)))
         parts = added.select("at", "n", "cost", F.array(*(f"t{i}" for i in range(width))).alias("total"))
@@ -135,14 +150,15 @@ def _sums(points: DataFrame, x: str, stack: Stack, tasks: int) -> tuple[np.ndarr
     return n, total, cost
 
 
-def lloyd(points: DataFrame, starts: list[np.ndarray], x: str, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> list[tuple[np.ndarray, float, int]]:
+def lloyd(points: DataFrame, starts: list[np.ndarray], x: str, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE, number: str | None = None) -> list[tuple[np.ndarray, float, int]]:
     """(centres, cost, passes) of every model from its given starts.
 
-    A model rests once no centre moves by more than ``tolerance``; a centre without points stays.
+    A model rests once no centre moves by more than ``tolerance``; a centre without points stays.  A row may stand for
+    a ``number`` of equal points.
     """
     ship(points.sparkSession)
     centers, passes = [np.array(s, float) for s in starts], [0] * len(starts)
-    points, tasks = _gathered(points.select(x), sum(map(len, starts)))
+    points, tasks = _gathered(points.select(x, (F.col(number) if number else F.lit(1.0)).alias("_n")), sum(map(len, starts)))
     active = list(range(len(starts)))
     for _ in range(max_iter):
         if not active:
@@ -172,19 +188,19 @@ def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _earliest(points: DataFrame, x: str, models: list[tuple[int, int]], stack: Stack | None, turn: int) -> dict[int, np.ndarray]:
-    """For each model the points drawn in a round, in the order of their times; the first one is drawn evenly."""
+    """For each model the points drawn in a round, in the order of their times; the first one is drawn evenly among all points."""
     wanted = [2 * k if stack else 1 for k, _ in models]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple[float, int, list[float]]]] = [[] for _ in models]
         for batch in batches:
-            keys, at = batch.column("_key").to_numpy(), 0
+            keys, number, at = batch.column("_key").to_numpy(), batch.column("_n").to_numpy(), 0
             stretches = stack.nearest(_points_of(batch, x)) if stack else [(_points_of(batch, x), None, None)]
             for some, _, far in stretches:
-                own = keys[at : at + len(some)]
+                own, n = keys[at : at + len(some)], number[at : at + len(some)]
                 at += len(some)
                 for m, (_, seed) in enumerate(models):
-                    time = -np.log(_uniform(own, (seed * 1_000_003 + turn) * 1_000_003 + models[m][0]))
+                    time = -np.log(_uniform(own, (seed * 1_000_003 + turn) * 1_000_003 + models[m][0])) / n
                     if far is not None:
                         with np.errstate(divide="ignore", invalid="ignore"):
                             time = np.where(far[:, m] > 0, time / far[:, m], np.inf)
@@ -226,8 +242,12 @@ def _reduce(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.
 
 def starts(points: DataFrame, models: list[tuple[int, int]], key: str, x: str) -> list[np.ndarray]:
     """Starting centres for each (k, seed); all models share every pass."""
-    ship(points.sparkSession)
-    keyed, tasks = _gathered(points.select(F.xxhash64(key).alias("_key"), x), sum(k for k, _ in models))
+    return _starts(_different(points, key, x), models, x)
+
+
+def _starts(different: DataFrame, models: list[tuple[int, int]], x: str) -> list[np.ndarray]:
+    ship(different.sparkSession)
+    keyed, tasks = _gathered(different, sum(k for k, _ in models))
     first = _earliest(keyed, x, models, None, 0)
     held = [first[m] for m in range(len(models))]
     if not len(held[0]):
@@ -242,8 +262,10 @@ def starts(points: DataFrame, models: list[tuple[int, int]], key: str, x: str) -
 
 
 def fit(points: DataFrame, models: list[tuple[int, int]], key: str, x: str, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE) -> list[Clusters]:
-    """A model for each (k, seed), in shared passes; the caller may persist the points."""
-    found = lloyd(points, starts(points, models, key, x), x, max_iter, tolerance)
+    """A model for each (k, seed), in shared passes."""
+    different = _different(points, key, x).persist()
+    found = lloyd(different, _starts(different, models, x), x, max_iter, tolerance, "_n")
+    different.unpersist()
     return [Clusters(k, seed, centers, cost, passes) for (k, seed), (centers, cost, passes) in zip(models, found, strict=True)]
 
 

@@ -410,9 +410,12 @@ def _pairs(n: Column) -> Column:
     return n.cast("double") * (n - 1) / 2
 
 
-def rand_table(labelings: DataFrame, a: str, b: str, *by: str) -> DataFrame:
-    """(*by, ari): adjusted Rand index of two labelings from their contingency table; 1 if they agree fully."""
-    cells = labelings.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("n"))
+def rand_table(labelings: DataFrame, a: str, b: str, *by: str, number: str | None = None) -> DataFrame:
+    """(*by, ari): adjusted Rand index of two labelings from their contingency table; 1 if they agree fully.
+
+    A row may stand for a ``number`` of points.
+    """
+    cells = labelings.groupBy(*by, a, b).agg((F.sum(number) if number else F.count(F.lit(1))).alias("n"))
     joint = cells.groupBy(*by).agg(F.sum(_pairs(F.col("n"))).alias("s_ab"), F.sum("n").alias("total"))
     side = lambda c, name: cells.groupBy(*by, c).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(_pairs(F.col("n"))).alias(name))
     parts = [joint, side(a, "s_a"), side(b, "s_b")]

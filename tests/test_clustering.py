@@ -209,6 +209,50 @@ def test_starts_do_not_depend_on_partitions_and_few_points_suffice(spark):
         clustering.fit_kmeans(same.where("false"), 2)
 
 
+def test_equal_points_are_one_row_of_a_pass(spark, monkeypatch):
+    """455 points, 91 different ones: passes read 91 rows, and draws, centres and costs are those of all points."""
+    read, real = [], kmeans._gathered
+    monkeypatch.setattr(kmeans, "_gathered", lambda points, n: read.append(points.count()) or real(points, n))
+    once = cloud(spark).selectExpr("id AS consumer_id", "x AS pc")
+    pts = once.selectExpr("explode(sequence(0, 4)) AS copy", "*").selectExpr("consumer_id + 1000 * copy AS consumer_id", "pc").persist()
+    models = clustering.fit_all(pts, [(3, 1), (4, 2)])
+    assert read == [91, 91]
+    x = np.array([r["pc"] for r in pts.collect()])
+    for m in models:
+        assert m.inertia == pytest.approx(((x[:, None] - m.centers[None]) ** 2).sum(2).min(1).sum())
+    starts = [np.array(x[:3]), np.array(x[10:14])]
+    weighed = once.selectExpr("pc", "IF(consumer_id % 2 = 0, 5D, 1D) AS n")
+    long = once.selectExpr("explode(sequence(1, IF(consumer_id % 2 = 0, 5, 1)))", "pc")
+    for (a, cost, n), (b, want, m) in zip(kmeans.lloyd(weighed, starts, "pc", number="n"), kmeans.lloyd(long, starts, "pc"), strict=True):
+        assert a == pytest.approx(b) and cost == pytest.approx(want) and n == m
+
+
+def test_stability_pairs_what_is_labelled_alike(spark, monkeypatch):
+    """The table that pairs of runs are made from has a row for each different array of labels, not for each point."""
+    rows, real = [], metrics.rand_table
+    monkeypatch.setattr(metrics, "rand_table", lambda df, *names, **more: rows.append(df.count()) or real(df, *names, **more))
+    points = cloud(spark).selectExpr("id AS consumer_id", "x AS pc").persist()
+    ari, _ = clustering.stability(points, 3, runs=3, restarts=2)
+    assert rows[0] <= 3 * 27
+    models = [clustering._best(clustering.fit_all(points, [(3, 42 + i), (3, 1042 + i)])) for i in range(3)]
+    wide = clustering.labelings(points, models)
+    for r in ari.collect():
+        assert r["ari"] == pytest.approx(real(wide.selectExpr(f"clusters[{r['a']}] AS x", f"clusters[{r['b']}] AS y"), "x", "y").first()["ari"])
+
+
+def test_nearest_centres_of_stacks_of_any_sizes():
+    """Models of equal and unequal numbers of centres, some centres equal: the first of the nearest."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (50, 2)).astype(float)
+    centers = [rng.integers(0, 4, (k, 2)).astype(float) for k in (1, 3, 3, 2, 5, 5, 1)]
+    stack = kmeans.Stack(centers)
+    (_, at, least), = stack.nearest(x)
+    for m, own in enumerate(centers):
+        far = ((x[:, None] - own[None]) ** 2).sum(2)
+        assert least[:, m] == pytest.approx(far.min(1), abs=1e-9)
+        assert far[np.arange(50), at[:, m] - stack.first[m]] == pytest.approx(far.min(1), abs=1e-9)
+
+
 def test_correlations_of_gaps_constants_and_nothing(spark):
     from gridsift.operators import exploration
 
