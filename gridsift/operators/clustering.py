@@ -49,8 +49,8 @@ def label(points: DataFrame, model: Clusters, x: str = "pc") -> DataFrame:
 def sweep(points: DataFrame, ks: range, x: str = "pc", key: str = KEY, seed: int = SEED, restarts: int = RESTARTS, error: float | None = None) -> tuple[DataFrame, dict[int, Clusters]]:
     """(k, inertia, silhouette, ch, db) for each K, and the models.
 
-    All labelings are one table, so distances between points are taken once for all K.  With an ``error``, or beyond
-    ``metrics.EXACT_UPTO`` points, silhouettes are taken against drawn points of each cluster.
+    All labelings are one table, so distances between points are taken once for all K.  Silhouettes are exact at every
+    size; with an ``error`` they are taken against drawn points of each cluster.
     """
     fitted = fit_all(points, [(k, seed + i) for k in ks for i in range(restarts)], x=x, key=key)
     models = {k: _best(fitted[i * restarts : (i + 1) * restarts]) for i, k in enumerate(ks)}

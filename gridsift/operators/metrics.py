@@ -25,10 +25,12 @@ BLOCK, SPREAD, MOST = 2048, 24, 32_768
 SLICE = 1024
 #: Sides of the tile of distances that a task holds at a time.
 TILE, WIDE_TILE = 512, 1024
+#: Stretches of equal labels in a side of a tile that are added up one by one; of more, one matrix product adds up all.
+STRETCHES = 64
 #: Up to so many components distances are taken component by component; beyond, squares that are this small beside the norms are taken again.
 NARROW, LOST = 6, 1e-5
-#: Up to so many different points silhouettes are exact unless an error is given; beyond, ``ERROR`` is.
-EXACT_UPTO = 100_000
+#: Different points from which silhouettes take ``ERROR`` although none is given: none, they are exact at every size.
+EXACT_UPTO = math.inf
 ERROR, DOUBT = 0.05, 0.01
 
 
@@ -121,18 +123,19 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         middle = b.mean(0)
         a, b = a - middle, b - middle
         norms = np.einsum("ij,ij->i", a, a)
-        square = a @ (-2 * b).T
-        square += norms[:, None]
-        square += np.einsum("ij,ij->i", b, b)
+        # Both norms are two more components of the product.
+        square = np.c_[a, norms, np.ones(len(a))] @ np.c_[-2 * b, np.ones(len(b)), np.einsum("ij,ij->i", b, b)].T
         # Where a square is small beside the norms, both norms are nearly the same.
-        lost = square < (2.1 * LOST * norms)[:, None]
+        least = 2.1 * LOST * norms
+        near = np.flatnonzero(square.min(1, initial=np.inf) < least)
+        lost = square[near] < least[near, None]
         n = np.count_nonzero(lost)
         if n > square.size // 16:
             square = _squares(a, b)
         elif n:
             i, j = np.nonzero(lost)
+            i = near[i]
             square[i, j] = ((a[i] - b[j]) ** 2).sum(1)
-        np.maximum(square, 0, out=square)
     return np.sqrt(square, out=square)
 
 
@@ -158,18 +161,35 @@ class _Block:
         first = np.cumsum([0, *map(len, names)])
         self.width = int(first[-1])
         self.place = np.stack([at + np.searchsorted(own, self.clusters[:, i]) for i, (at, own) in enumerate(zip(first, names, strict=False))], 1)
+        self.known: dict[tuple[int, int], tuple[list[tuple[int, int]], np.ndarray, np.ndarray]] = {}
+
+    def members(self, some: slice) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+        """Stretches of ``some`` with equal labels, the places that they have, and which stretch counts there; of many, the weights of the points there.
+
+        Kept, as a block is cut in the same way for all tiles.
+        """
+        key = some.start, some.stop
+        if key not in self.known:
+            place, w = self.place[some], self.w[some, None]
+            cuts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(1)])
+            stretches = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(w)], strict=True))
+            if len(cuts) > STRETCHES:
+                stretches = []
+            else:
+                place, w = place[cuts], np.ones((len(cuts), 1))
+            at, own = np.unique(place, return_inverse=True)
+            weights = np.zeros((len(place), len(at)))
+            np.put_along_axis(weights, own.reshape(place.shape), w, 1)
+            self.known[key] = stretches, at, weights
+        return self.known[key]
 
     def add(self, out: np.ndarray, far: np.ndarray, some: slice) -> None:
         """To ``out`` (rows, clusters) the sums of ``far`` (rows, points of ``some``) by cluster."""
-        place, w = self.place[some], self.w[some]
-        cuts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(1)]).tolist()
-        if len(cuts) > 32:
-            weights = np.zeros((len(w), self.width))
-            np.put_along_axis(weights, place, w[:, None], 1)
-            out += far @ weights
-            return
-        for i, j in zip(cuts, [*cuts[1:], len(w)], strict=True):
-            out[:, place[i]] += (far[:, i:j] @ w[i:j])[:, None]
+        stretches, at, weights = self.members(some)
+        w = self.w[some]
+        if stretches:
+            far = np.stack([far[:, i:j] @ w[i:j] for i, j in stretches], 1)
+        out[:, at] += far @ weights
 
 
 _SUMS = "block int, slice int, other int, ids array<long>, w array<double>, clusters array<int>, totals array<double>"
@@ -368,14 +388,14 @@ def silhouettes(pts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def silhouette(pts: DataFrame, block: int = BLOCK, error: float | None = None) -> float | None:
-    """The mean silhouette: exact for up to ``EXACT_UPTO`` different points unless an error is given."""
+    """The mean silhouette: exact, whatever the number of points, unless an error is given."""
     if error is not None:
         return silhouettes_by_coreset(pts, error).agg(F.avg("silhouette").alias("s")).first()["s"]
     return _mean_silhouettes(pts.select("id", F.array("cluster").alias("clusters"), "x"), 1, block)[0]
 
 
 def _mean_silhouettes(pts: DataFrame, n: int, block: int = BLOCK) -> list[float | None]:
-    """The mean silhouette of each labeling: exact for up to ``EXACT_UPTO`` different points."""
+    """The mean silhouette of each labeling, exact; equal points count once, with their number."""
     different = _different(pts).persist()
     if different.count() > EXACT_UPTO:
         found = [silhouette(pts.select("id", F.get("clusters", F.lit(i)).alias("cluster"), "x"), error=ERROR) for i in range(n)]

@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridsift.operators import clustering, kmeans, metrics, scaling
@@ -370,3 +371,36 @@ def test_features_are_kept_for_scaler_components_and_scores(spark):
 
     rows, _ = clusters._components(spark, "/root/testdata/sf0.001")
     assert "InMemoryTableScan" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_than_100000_different_points_are_exact(spark):
+    """On a line, sums of distances come from running sums; no point is drawn, however many there are."""
+    n = 100_003
+    pts = spark.range(n).selectExpr("id", "CAST(id % 3 = 0 OR id > 70000 AS int) AS cluster", "array(sqrt(id)) AS x")
+    x, at = np.sqrt(np.arange(n)), np.arange(n)
+    c = ((at % 3 == 0) | (at > 70000)).astype(int)
+    means = []
+    for k in (0, 1):
+        number, total = np.cumsum(c == k), np.cumsum(x * (c == k))
+        sums = x * number - total + (total[-1] - total) - x * (number[-1] - number)
+        means.append(sums / np.where(c == k, number[-1] - 1, number[-1]))
+    a, b = np.where(c == 0, means, means[::-1])
+    want = ((b - a) / np.maximum(a, b)).mean()
+    assert metrics.metrics_of_labelings(pts.selectExpr("id", "array(cluster) AS clusters", "x"), 1)[0]["silhouette"] == pytest.approx(want, abs=1e-10)
+
+
+def test_sums_by_stretches_of_labels_and_by_one_product():
+    """Few and many stretches of equal labels in a tile give the same sums, with weights."""
+    rng = np.random.default_rng(6)
+    n, width = 200, 5
+    names = [np.arange(2, dtype=np.int32), np.arange(3, dtype=np.int32)]
+    labels = [rng.integers(0, 2, n), rng.integers(0, 3, n)]
+    far, w = rng.random((7, n)), rng.integers(1, 4, n).astype(float)
+    table = pa.table({"id": np.arange(n), "w": w, "x": pa.array(rng.random((n, 2)).tolist()), "clusters": pa.array(np.stack(labels, 1).tolist(), pa.list_(pa.int32()))})
+    for stretches in (0, 64):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(metrics, "STRETCHES", stretches)
+            block, out = metrics._Block(table, names), np.zeros((7, width))
+            block.add(out, far[:, block.ids], slice(0, n))
+        want = [(far * w)[:, labels[i] == k].sum(1) for i, k in ((0, 0), (0, 1), (1, 0), (1, 1), (1, 2))]
+        assert out == pytest.approx(np.stack(want, 1))
