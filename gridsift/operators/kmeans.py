@@ -1,8 +1,8 @@
 """K-Means of many (K, seed) at once: every pass over the points advances all models that still move.
 
-A pass is one scan.  A task stacks the centres of all models, takes the distances of a stretch of points to all
-of them by one matrix product, and hands on a row for each centre: how many points it has, their sum
-and their cost.  Spark adds the rows of all tasks up, so the driver sees as many rows as there are centres.  A model
+A pass is one scan of kept batches of points.  A task stacks the centres of all models, takes the distances of a
+stretch of points to all of them by one matrix product, and hands on how many points each centre has, their sum
+and their cost.  Spark adds up what many tasks have, so the driver sees as many rows as there are centres.  A model
 whose centres have come to rest leaves, and later passes cost less.
 
 Starts are drawn by D^2 oversampling for all models in shared passes too.  A point's chance to be drawn is
@@ -21,9 +21,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +40,8 @@ ROUNDS = 2
 CELLS, SHARE = 1_000_000, 20_000_000
 #: Rows of sums that the driver adds up itself; of more, Spark does.
 FEW = 20_000
+#: Points of a batch with how many each stands for.
+Batch = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -107,10 +111,9 @@ def _different(points: DataFrame, key: str, x: str) -> DataFrame:
     return points.groupBy(x).agg(F.min(F.xxhash64(key)).alias("_key"), F.count(F.lit(1)).cast("double").alias("_n"))
 
 
-def _gathered(points: DataFrame, centers: int) -> tuple[DataFrame, int]:
-    """``points`` in no more partitions than their work in a pass is worth, and that number."""
-    tasks = max(1, math.ceil(points.count() * centers / SHARE))
-    return points.coalesce(tasks), tasks
+def _gathered(points: DataFrame, centers: int) -> DataFrame:
+    """``points`` in no more partitions than their work in a pass is worth."""
+    return points.coalesce(max(1, math.ceil(points.count() * centers / SHARE)))
 
 
 def _points_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -118,36 +121,49 @@ def _points_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return values.reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
 
 
-def _sums(points: DataFrame, x: str, stack: Stack, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Points (x, _n), their sum and their cost for each centre of the stack, in one pass."""
-    width = stack.all.shape[1]
+def _packed(points: DataFrame, x: str) -> RDD[Batch]:
+    """Batches of points (x, _n) as arrays, kept: a pass over them needs no plan of its own and ships the centres only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, cost = np.zeros(len(stack.all)), np.zeros((len(stack.all), width)), np.zeros(len(stack.all))
         for batch in batches:
-            number, first = batch.column("_n").to_numpy(), 0
-            for some, at, far in stack.nearest(_points_of(batch, x)):
+            if batch.num_rows:
+                own = [batch.column("_n").to_numpy().tobytes(), np.ascontiguousarray(_points_of(batch, x), float).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in own], names=["n", "x"])
+
+    def arrays(row: tuple[bytes, bytes]) -> Batch:
+        n = np.frombuffer(row[0])
+        return n, np.frombuffer(row[1]).reshape(len(n), -1)
+
+    return points.select(x, "_n").mapInArrow(run, "n binary, x binary").rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _sums(points: RDD[Batch], stack: Stack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points, their sum and their cost for each centre of the stack, in one pass."""
+    size, width = stack.all.shape
+
+    def run(batches: Iterator[Batch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        n, total, cost = np.zeros(size), np.zeros((size, width)), np.zeros(size)
+        for number, x in batches:
+            first = 0
+            for some, at, far in stack.nearest(x):
                 own = number[first : first + len(some)]
                 first += len(some)
                 place = at.T.ravel()
-                n += np.bincount(place, np.tile(own, at.shape[1]), len(n))
-                cost += np.bincount(place, (far.T * own).ravel(), len(n))
-                member = np.zeros((len(n), len(some)))
+                n += np.bincount(place, np.tile(own, at.shape[1]), size)
+                cost += np.bincount(place, (far.T * own).ravel(), size)
+                member = np.zeros((size, len(some)))
                 member[at.T, np.arange(len(some))] = own
                 total += member @ some
-        own = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own]), pa.array(cost[own]), pa.array(list(total[own]), pa.list_(pa.float64()))], names=["at", "n", "cost", "total"])
+        yield n, total, cost
+
+    def add(a: tuple, b: tuple) -> tuple:
+        return tuple(p + q for p, q in zip(a, b, strict=True))
 
-    parts = points.select(x, "_n").mapInArrow(run, "at long, n double, cost double, total array<double>")
-    if tasks * len(stack.all) > FEW:
-        added = parts.groupBy("at").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *(F.sum(F.get("total", F.lit(i))).alias(f"t{i}") for i in range(width)))
-        parts = added.select("at", "n", "cost", F.array(*(f"t{i}" for i in range(width))).alias("total"))
-    n, total, cost = np.zeros(len(stack.all)), np.zeros((len(stack.all), width)), np.zeros(len(stack.all))
-    for r in parts.collect():  # a row for each centre, or for each centre of a few tasks
-        n[r["at"]] += r["n"]
-        cost[r["at"]] += r["cost"]
-        total[r["at"]] += r["total"]
-    return n, total, cost
+    zero = np.zeros(size), np.zeros((size, width)), np.zeros(size)
+    parts = points.mapPartitions(run)
+    if points.getNumPartitions() * size > FEW:
+        return parts.treeAggregate(zero, add, add)
+    return reduce(add, parts.collect(), zero)  # a row for each centre of a few tasks
 
 
 def lloyd(points: DataFrame, starts: list[np.ndarray], x: str, max_iter: int = MAX_ITER, tolerance: float = TOLERANCE, number: str | None = None) -> list[tuple[np.ndarray, float, int]]:
@@ -158,12 +174,12 @@ def lloyd(points: DataFrame, starts: list[np.ndarray], x: str, max_iter: int = M
     """
     ship(points.sparkSession)
     centers, passes = [np.array(s, float) for s in starts], [0] * len(starts)
-    points, tasks = _gathered(points.select(x, (F.col(number) if number else F.lit(1.0)).alias("_n")), sum(map(len, starts)))
+    packed = _packed(_gathered(points.select(x, (F.col(number) if number else F.lit(1.0)).alias("_n")), sum(map(len, starts))), x)
     active = list(range(len(starts)))
     for _ in range(max_iter):
         if not active:
             break
-        n, total, _ = _sums(points, x, Stack([centers[m] for m in active]), tasks)
+        n, total, _ = _sums(packed, Stack([centers[m] for m in active]))
         at, moving = 0, []
         for m in active:
             some = slice(at, at + len(centers[m]))
@@ -174,7 +190,8 @@ def lloyd(points: DataFrame, starts: list[np.ndarray], x: str, max_iter: int = M
             centers[m], passes[m] = new, passes[m] + 1
         active = moving
     stack = Stack(centers)
-    cost = np.add.reduceat(_sums(points, x, stack, tasks)[2], stack.first)
+    cost = np.add.reduceat(_sums(packed, stack)[2], stack.first)
+    packed.unpersist()
     return [(c, float(v), p) for c, v, p in zip(centers, cost, passes, strict=True)]
 
 
@@ -247,7 +264,7 @@ def starts(points: DataFrame, models: list[tuple[int, int]], key: str, x: str) -
 
 def _starts(different: DataFrame, models: list[tuple[int, int]], x: str) -> list[np.ndarray]:
     ship(different.sparkSession)
-    keyed, tasks = _gathered(different, sum(k for k, _ in models))
+    keyed = _gathered(different, sum(k for k, _ in models))
     first = _earliest(keyed, x, models, None, 0)
     held = [first[m] for m in range(len(models))]
     if not len(held[0]):
@@ -256,7 +273,9 @@ def _starts(different: DataFrame, models: list[tuple[int, int]], x: str) -> list
         more = _earliest(keyed, x, models, Stack(held), turn)
         held = [np.concatenate([c, more[m]]) if len(more[m]) else c for m, c in enumerate(held)]
     held = [np.unique(c, axis=0) for c in held]
-    weights, stack = _sums(keyed, x, Stack(held), tasks)[0], Stack(held)
+    packed, stack = _packed(keyed, x), Stack(held)
+    weights = _sums(packed, stack)[0]
+    packed.unpersist()
     split = np.split(weights, stack.first[1:])
     return [_reduce(c, w, k, np.random.default_rng([seed, k])) for c, w, (k, seed) in zip(held, split, models, strict=True)]
 

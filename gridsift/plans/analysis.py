@@ -7,11 +7,13 @@ import json
 import os
 import platform
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
 import numpy as np
 import pyspark
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,13 +252,14 @@ def save_ablation(table: DataFrame, folder: str) -> None:
 def ablate(spark: SparkSession, settings: Settings = Settings(), panel: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
     """A row for each feature set: size, components, chosen K and its quality, stability, balance.
 
-    The panel is cleaned and aggregated once; feature sets are columns of that table.
+    The panel is cleaned and aggregated once; feature sets are columns of that table.  They are analysed side by side,
+    since the passes of one are short jobs that leave most cores idle.
     """
     raw = panel if panel is not None else synthetic_panel(spark, settings.n_consumers, settings.n_days, settings.hourly, settings.seed)
     everything = features.raw_features(clean(raw.drop(ARCHETYPE), order=order), "combined").persist()
     combined = everything.select(KEY, *features.varying_columns(everything)).na.fill(0.0)
-    rows = []
-    for name in features.FEATURE_SETS:
+
+    def compared(name: str) -> tuple:
         own = features.select_features(combined, name)
         components = fit_components(own, settings.variance)
         scores = components.scores(own).persist()
@@ -265,9 +268,12 @@ def ablate(spark: SparkSession, settings: Settings = Settings(), panel: DataFram
         best = table.where(F.col("k") == k).first()
         sizes = sorted((r["cluster"], r["size"]) for r in clustering.sizes(clustering.label(scores, models[k])).collect())
         stable = clustering.stability_summary(*clustering.stability(scores, k, seed=settings.kmeans_seed, restarts=settings.restarts), k)
-        counts = [n for _, n in sizes]
-        rows.append((name, len(own.columns) - 1, components.n, k, best["silhouette"], best["ch"], best["db"], stable["mean_ari"], stable["std_ari"], counts, min(counts) / max(counts)))
         scores.unpersist()
+        counts = [n for _, n in sizes]
+        return name, len(own.columns) - 1, components.n, k, best["silhouette"], best["ch"], best["db"], stable["mean_ari"], stable["std_ari"], counts, min(counts) / max(counts)
+
+    with ThreadPoolExecutor(len(features.FEATURE_SETS)) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(compared), features.FEATURE_SETS))
     everything.unpersist()
     return spark.createDataFrame(
         rows,

@@ -404,3 +404,27 @@ def test_sums_by_stretches_of_labels_and_by_one_product():
             block.add(out, far[:, block.ids], slice(0, n))
         want = [(far * w)[:, labels[i] == k].sum(1) for i, k in ((0, 0), (0, 1), (1, 0), (1, 1), (1, 2))]
         assert out == pytest.approx(np.stack(want, 1))
+
+
+def test_a_pass_makes_no_plan_of_its_own(spark, monkeypatch):
+    """However many passes models take, the points are handed to Python's tasks by one plan."""
+    pts = cloud(spark).selectExpr("x AS pc")
+    plans, real = [], type(pts).mapInArrow
+    monkeypatch.setattr(type(pts), "mapInArrow", lambda self, *a, **more: plans.append(1) or real(self, *a, **more))
+    x, kept = np.array([r["pc"] for r in pts.collect()]), len(spark.sparkContext._jsc.getPersistentRDDs())
+    found = kmeans.lloyd(pts, [x[:2], x[:5]], "pc")
+    assert max(n for _, _, n in found) > 1 and len(plans) == 1
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == kept
+
+
+def test_feature_sets_are_analysed_side_by_side(spark, monkeypatch):
+    """No sweep of an ablation waits for the end of another; rows stay in the order of the feature sets."""
+    from threading import Barrier
+
+    from gridsift.operators import features
+    from gridsift.plans.analysis import Settings, ablate
+
+    begun, real = Barrier(len(features.FEATURE_SETS), timeout=100), clustering.sweep
+    monkeypatch.setattr(clustering, "sweep", lambda *a, **more: begun.wait() >= 0 and real(*a, **more))
+    table = ablate(spark, Settings(n_consumers=12, n_days=3, ks=(2, 4), restarts=1))
+    assert [r["feature_set"] for r in table.collect()] == list(features.FEATURE_SETS)
